@@ -5,24 +5,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lsm, pii
+from . import lsm, pii, rlz, simhash, suffix
 from .common import read
 
+ID = F.col("_id").alias("doc_id")
+
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(read(spark, sf_dir, "documents"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.PATTERNS]
-    return found.select(F.col("_id").alias("doc_id"), *counts[:4], F.sha2(pii.spans_text(*pii.BASE), 256).alias("base_sha256"), pii.spans_text(*pii.PATTERNS).alias("spans"))
+    return found.select(ID, *counts[:4], F.sha2(pii.spans_text(*pii.BASE), 256).alias("base_sha256"), pii.spans_text(*pii.PATTERNS).alias("spans"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rlz.duplicate_words(read(spark, sf_dir, "documents"))
+    return found.select(ID, "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.duplicate_bytes(read(spark, sf_dir, "documents"))
+    return found.select(ID, "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select(ID, simhash.hex64(F.col("_fp")).alias("fingerprint"), F.col("_root").alias("component_id"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lsm.exact_dedup(read(spark, sf_dir, "documents"))
-    return found.select(F.col("_id").alias("doc_id"), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_kept").alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"))
+    return found.select(ID, F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_kept").alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op6_simhash": op6_simhash,
+    "op10_exact_dedup": op10_exact_dedup,
+}
 
 ORACLES = {
+    "op2_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k
+                FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+        source AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN source USING (k) WHERE m < doc_id),
+        each AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+        done AS (SELECT each.doc_id, count(*) AS n_words, count(gone.p) AS n_removed,
+                        string_agg(word, ' ' ORDER BY each.p) FILTER (gone.p IS NULL) AS kept
+                 FROM each LEFT JOIN gone USING (doc_id, p) GROUP BY each.doc_id)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents LEFT JOIN done USING (doc_id)
+    """,
+    "op3_suffix_dedup": """
+        WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS k
+                FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM b WHERE length(h) >= 100)),
+        source AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+        dup AS (SELECT doc_id, i AS s, i + 50 AS e FROM win JOIN source USING (k) WHERE m < doc_id),
+        runs AS (SELECT doc_id, min(s) AS s, max(e) AS e
+                 FROM (SELECT *, sum(CASE WHEN s <= prev THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS g
+                       FROM (SELECT *, lag(e) OVER (PARTITION BY doc_id ORDER BY s) AS prev FROM dup)) GROUP BY doc_id, g),
+        gaps AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS prev FROM runs),
+        done AS (SELECT b.doc_id, any_value(h) AS h, coalesce(sum(gaps.e - gaps.s), 0) AS n_removed, count(gaps.s) AS n_spans,
+                        coalesce(string_agg(substr(h, 2 * prev + 1, 2 * (s - prev)), '' ORDER BY s), '') || substr(any_value(h), 2 * coalesce(max(gaps.e), 0) + 1) AS kept
+                 FROM b LEFT JOIN gaps ON b.doc_id = gaps.doc_id GROUP BY b.doc_id)
+        SELECT doc_id, length(h) // 2 AS n_bytes, n_removed::BIGINT AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM done
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
