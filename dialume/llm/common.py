@@ -54,3 +54,17 @@ def documents_view(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that an operator needs, under names of its own;
     whatever else the table holds cannot clash. A null text counts as empty."""
     return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+
+
+#: Identifiers that may go to every executor (8 bytes each).
+FEW_IDS = 250_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose identifier is in ``ids`` (column ``_id``).
+    A counted, short list goes to every executor and the texts stay where they
+    are; a longer one is joined by exchange."""
+    gone = materialize(ids.select("_id").filter("_id is not null").distinct(), "gone")
+    few = gone.count() <= FEW_IDS
+    named = gone.withColumnRenamed("_id", "_gone_id")
+    return docs.join(F.broadcast(named) if few else named, docs[id_col] == named["_gone_id"], "left_anti")
