@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_view, materialize, partitions
+from .common import documents_view, new_path, partitions, small_batches
 
-#: Bytes of text in a block, unless a single document has more.
-BLOCK_BYTES = 2 << 20
+#: Bytes of text in a block, unless a single document has more: this many times
+#: the root of the whole input's bytes, within these bounds. So there are never
+#: very many blocks to hold one passage, and rows stay small in small inputs.
+BLOCK_ROOTS, LEAST_BLOCK, MOST_BLOCK = 8, 1 << 18, 1 << 26
 #: Bytes of text for which the exchanges get a partition.
 BYTES_PER_PARTITION = 16 << 20
 #: Stands for a missing identifier: later than all others.
@@ -47,7 +49,7 @@ class Block:
     bodies: dict[int, list[bytes]]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, seq = TaskContext.get().partitionId(), 0
@@ -67,7 +69,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = batch.column(0).to_pylist()
         for key, text in zip(keys, batch.column(1).cast(pa.binary())):
             text = text.as_py()
-            if texts and size + len(text) > BLOCK_BYTES:
+            if texts and size + len(text) > most:
                 yield block()
             ids.append(NO_ID if key is None else key)
             texts.append(text)
@@ -86,9 +88,19 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The blocks, written to the shared folder, so that their numbers hold for good."""
-    view = documents_view(docs, id_col, text_col)
-    return materialize(view.select(F.col("_id").cast("long"), "_text").mapInArrow(_pack, BLOCK_SCHEMA), "blocks", compression="uncompressed")
+    """The blocks, written to the shared folder, so that their numbers hold for
+    good. The table is bucketed by block as the exchanges are partitioned: joined
+    with answers, the texts stay where they are."""
+    spark = docs.sparkSession
+    view = documents_view(docs, id_col, text_col).select(F.col("_id").cast("long"), "_text")
+    total = view.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
+    most = int(min(MOST_BLOCK, max(LEAST_BLOCK, BLOCK_ROOTS * total**0.5)))
+    path = new_path(spark, "blocks")
+    name = "dialume_blocks_" + path.rpartition("-")[2]
+    packed = view.mapInArrow(lambda batches: _pack(batches, most), BLOCK_SCHEMA)
+    with small_batches(spark):
+        packed.write.option("path", path).option("compression", "uncompressed").bucketBy(partitions(spark), "block").sortBy("block").saveAsTable(name)
+    return spark.table(name)
 
 
 def exchange_width(blocks: DataFrame) -> int:
@@ -147,25 +159,47 @@ def rolling(codes: np.ndarray, n: int, base: int) -> np.ndarray:
     return mix(out)
 
 
-def owners(grams: np.ndarray, w: int, chunk: int = 1 << 20) -> np.ndarray:
+LOW = U((1 << 24) - 1)
+
+
+def owners(grams: np.ndarray, w: int, chunk: int = 1 << 15) -> np.ndarray:
     """For every run of ``w`` hashes the place of the smallest (of its upper 40
     bits; the first of equals)."""
     n = len(grams) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
     out = np.empty(n, np.int64)
-    low = U((1 << 24) - 1)
     for at in range(0, n, chunk):
-        part = (grams[at : min(at + chunk + w - 1, len(grams))] & ~low)
+        part = grams[at : min(at + chunk + w - 1, len(grams))] & ~LOW
         part |= np.arange(len(part), dtype=np.uint64)
         level, width = part, 1
         while width * 2 <= w:
             level, width = np.minimum(level[:-width], level[width:]), width * 2
         size = len(part) - w + 1
-        out[at : at + size] = (np.minimum(level[:size], level[w - width : w - width + size]) & low).astype(np.int64) + at
+        out[at : at + size] = np.minimum(level[:size], level[w - width : w - width + size]) & LOW
+        out[at : at + size] += at
     return out
 
 
+def anchor_runs(codes: np.ndarray, gram: int, w: int, base: int, chunk: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that share an anchor, in stretches that stay in the CPU's
+    cache: the first window of each run, the anchor's place and its hash."""
+    n = len(codes) - gram - w + 2
+    starts, places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    before = -1
+    for at in range(0, max(n, 0), chunk):
+        grams = rolling(codes[at : at + chunk + w + gram - 2], gram, base)
+        own = owners(grams, w, len(grams))
+        new = np.flatnonzero(own[1:] != own[:-1]) + 1
+        if own[0] + at != before:
+            new = np.r_[0, new]
+        starts.append(new + at)
+        places.append(own[new] + at)
+        hashes.append(grams[own[new]])
+        before = own[-1] + at
+    return np.concatenate(starts), np.concatenate(places), np.concatenate(hashes)
+
+
 def place(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((mix(keys ^ U(0x5851F42D4C957F2D)) >> U(33)) % U(buckets)).astype(np.int64)
 
@@ -192,6 +226,25 @@ def shared_here(anchors: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> np.nda
 # first exchange: anchors that more than one block holds --------------------
 
 ANCHOR_SCHEMA = "bucket int, block long, body binary"
+#: Bits of an anchor's hash that the exchange carries. The bucket, from all 64,
+#: adds its own, more of them the larger the input; a rare chance match only
+#: costs a closer look.
+SENT = 40
+
+
+def brief(h: np.ndarray) -> np.ndarray:
+    return h & U((1 << SENT) - 1)
+
+
+def _bytes(h: np.ndarray) -> np.ndarray:
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : SENT // 8]
+
+
+def _from_bytes(body: bytes) -> np.ndarray:
+    part = np.frombuffer(body, np.uint8).reshape(-1, SENT // 8)
+    out = np.zeros((len(part), 8), np.uint8)
+    out[:, : SENT // 8] = part
+    return out.view("<u8")[:, 0]
 
 
 def anchors_out(key: int, anchors: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -202,7 +255,7 @@ def anchors_out(key: int, anchors: np.ndarray, buckets: int) -> pa.RecordBatch:
     b, h = b[order], h[order]
     cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, int)
     ends = np.r_[cuts[1:], len(b)] if len(b) else cuts
-    return _batch(ANCHOR_SCHEMA, [(int(b[s]), key, h[s:e].tobytes()) for s, e in zip(cuts, ends)])
+    return _batch(ANCHOR_SCHEMA, [(int(b[s]), key, _bytes(h[s:e]).tobytes()) for s, e in zip(cuts, ends)])
 
 
 def shared_among(hot_blocks: int):
@@ -214,7 +267,7 @@ def shared_among(hot_blocks: int):
         for batch in batches:
             keys += batch.column(1).to_pylist()
             for x in batch.column(2):
-                body = np.frombuffer(x.as_py(), np.uint64)
+                body = _from_bytes(x.as_py())
                 bodies.append(body)
                 sizes.append(len(body))
         if not bodies:
@@ -228,7 +281,7 @@ def shared_among(hot_blocks: int):
         n = np.repeat(counts, counts)
         for kind, held in enumerate(((n > 1) & (n <= hot_blocks), n > hot_blocks)):
             at = order[held]
-            yield from by_owner(owner[at], keys, kind, h[at])
+            yield from by_owner(owner[at], keys, kind, _bytes(h[at]))
 
     return run
 
@@ -244,7 +297,7 @@ def by_owner(owner: np.ndarray, keys: list[int], kind: int, values: np.ndarray)
 
 
 def flagged(block: Block, anchors: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes that repeat across documents, and those of them that are hot."""
-    read = lambda kind: np.concatenate([np.frombuffer(b, np.uint64) for b in block.bodies.get(kind, [])] or [np.zeros(0, np.uint64)])
+    """Sorted brief hashes that repeat across documents, and those of them that are hot."""
+    read = lambda kind: np.concatenate([_from_bytes(b) for b in block.bodies.get(kind, [])] or [np.zeros(0, np.uint64)])
     hot = np.unique(read(1))
-    return np.unique(np.concatenate([shared_here(anchors, doc, block.ids), read(0), hot])), hot
+    return np.unique(np.concatenate([brief(shared_here(anchors, doc, block.ids)), read(0), hot])), hot

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 
 from . import blocks as B
 from .blocks import NO_ID, U
+from .common import materialize
 
 #: Words in an indexed k-gram; of window - GRAM + 1 of them one is an anchor.
 GRAM = 6
@@ -77,7 +78,7 @@ def _repeated(block: B.Block, words: Words, window: int) -> tuple[np.ndarray, np
     """Starts of windows that may repeat, and their keys and checks."""
     at, anchor, anchors, doc = _windows(words, window)
     some, _ = B.flagged(block, anchors, doc)
-    at = at[B.isin(anchor, some)]
+    at = at[B.isin(B.brief(anchor), some)]
     key, check = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
     for j in range(window):
         h = words.hash[at + j]
@@ -109,7 +110,7 @@ def duplicate_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     hot = 1 << 62  # windows are dealt by their own content, so no anchor needs splitting
     shared = packed.mapInArrow(ask_anchors, B.ANCHOR_SCHEMA).repartitionById(width, "bucket").mapInArrow(B.shared_among(hot), B.RESPONSE_SCHEMA)
-    shared = B.materialize(shared, "shared")
+    shared = materialize(shared, "shared")
 
     def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.unpack(batches):
@@ -130,7 +131,7 @@ def duplicate_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for block in B.unpack(batches):
             yield _parse(block, window)
 
-    return B.answered(packed, shared.unionByName(B.materialize(sources, "sources"))).mapInArrow(parse, "_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string")
+    return B.answered(packed, shared.unionByName(materialize(sources, "sources"))).mapInArrow(parse, "_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string")
 
 
 SOURCE = np.dtype([("key", "<u8"), ("id", "<i8")])

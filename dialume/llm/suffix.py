@@ -1,17 +1,20 @@
 """Substring dedup of bytes by sorted suffixes.
 
 Suffixes are sampled (see ``blocks``: one anchor for each window), and only
-those whose first ``GRAM`` bytes occur in two documents are sorted. A suffix
-travels with the bytes of all the windows it is the anchor of (a *segment*), once
-per distinct segment and block. Splitters, from the suffixes of a sample of
-blocks, range-partition the segments by the suffixes' leading bytes; whatever
-shares ``GRAM`` leading bytes lands in one bucket, so no group lies across a
-boundary. A bucket is sorted by multikey quicksort, eight bytes a key. In a group
-whose segments are all equal the smallest identifier answers for all windows;
-else the group's windows are cut out and sorted in turn, and equal neighbours
-share the smallest identifier. Suffixes found in more than ``HOT_BLOCKS`` blocks
-travel as single windows instead, range-partitioned by the whole window, so that
-a common line with many surroundings is spread over buckets.
+those whose first ``GRAM`` bytes occur in two documents are looked at. The bytes
+of all the windows of one document that share an anchor are a *segment*; a block
+answers for each distinct segment once. An exchange of digests first tells the
+groups (segments whose suffixes share ``GRAM`` bytes) in which all segments are
+equal: there the smallest identifier answers for all windows.
+
+The suffixes of mixed groups are sorted. Splitters, from the suffixes of a sample
+of blocks, range-partition them by their leading bytes; whatever shares ``GRAM``
+leading bytes lands in one bucket, so no group lies across a boundary. A bucket is
+sorted by multikey quicksort, eight bytes a key; each group's windows are cut out
+and sorted in turn, and equal neighbours share the smallest identifier. Anchors
+found in more than ``HOT_BLOCKS`` blocks are compared as single windows, each a
+group of its own, so that a common line with many surroundings is spread over
+buckets.
 """
 
 from __future__ import annotations
@@ -25,12 +28,15 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .blocks import NO_ID, U
+from .common import materialize
 from .rlz import _power
 
-GRAM = 16
+GRAM = 24
 HOT_BLOCKS = 256
 #: Blocks whose suffixes give the splitters, and suffixes taken from each.
 SAMPLE_BLOCKS, SAMPLE_EACH = 24, 512
+#: Windows that a sort holds at once (a single group may have more).
+WINDOWS_AT_ONCE = 1 << 19
 BASE = 0xD1342543DE82EF95
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -73,62 +79,76 @@ def _matrix(data: np.ndarray, start: np.ndarray, width: int) -> list[np.ndarray]
     return out
 
 
+def _digests(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each range of bytes, from one running sum."""
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.multiply(B.BYTE_CODES[data], _power(BASE, len(data))[: len(data)], out=prefix[1:])
+    np.cumsum(prefix, out=prefix)
+    found = prefix[start + size]
+    found -= prefix[start]
+    found *= _power(BASE_INVERSE, len(data) + 1)[start]
+    return B.mix(found + size.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+
+
 class Segments:
-    """A block's distinct segments: text range, anchor, number of windows,
-    smallest identifier; and every occurrence."""
+    """A block's segments: the windows of one document that share an anchor."""
 
     def __init__(self, block: B.Block, window: int):
-        data, lens = block.data, block.lens
         gram = min(GRAM, window)
-        grams = B.rolling(B.BYTE_CODES[data], gram, BASE)
-        own = B.owners(grams, window - gram + 1)
-        doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
-        at = np.flatnonzero(doc[: len(own)] == doc[window - 1 : window - 1 + len(own)]) if len(own) else np.zeros(0, np.int64)
-        own = own[at]
-        new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (doc[at[1:]] != doc[at[:-1]])]) if len(own) else np.zeros(0, np.int64)
-        self.start, self.count = at[new], np.diff(np.r_[new, len(at)])
-        self.anchor, self.doc = own[new], doc[at[new]]
-        self.hash = grams[self.anchor]
+        run, place, hash_ = B.anchor_runs(B.BYTE_CODES[block.data], gram, window - gram + 1, BASE)
+        lens = block.lens
+        first = np.cumsum(lens) - lens
+        end = first + np.maximum(lens - window + 1, 0)  # windows of a document start before this
+        cut = np.unique(np.concatenate([run, first, end]))
+        doc = np.searchsorted(first, cut, "right") - 1
+        count = np.diff(np.r_[cut, len(block.data)])
+        keep = np.flatnonzero((cut < end[doc]) & (count > 0)) if len(doc) else cut
+        of = np.searchsorted(run, cut[keep], "right") - 1
+        self.start, self.count, self.doc = cut[keep], count[keep], doc[keep]
+        self.anchor, self.hash = place[of], hash_[of]
         self.block, self.window, self.gram = block, window, gram
 
     def select(self) -> None:
         """Keeps what may repeat and numbers the distinct segments, in an order
         that only the block and the answers decide."""
         some, hot = B.flagged(self.block, self.hash, self.doc)
-        keep = np.flatnonzero(B.isin(self.hash, some))
-        start, count, anchor, doc = (x[keep] for x in (self.start, self.count, self.anchor, self.doc))
-        is_hot = B.isin(self.hash[keep], hot)
+        keep = np.flatnonzero(B.isin(B.brief(self.hash), some))
+        start, count, anchor, doc, gram = (x[keep] for x in (self.start, self.count, self.anchor, self.doc, self.hash))
+        is_hot = B.isin(B.brief(gram), hot)
         if is_hot.any():  # single windows
             n = np.where(is_hot, count, 1)
             shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start, anchor, doc, count, is_hot = np.repeat(start, n), np.repeat(anchor, n), np.repeat(doc, n), np.repeat(np.where(is_hot, 1, count), n), np.repeat(is_hot, n)
+            start, anchor, doc, count, gram, is_hot = np.repeat(start, n), np.repeat(anchor, n), np.repeat(doc, n), np.repeat(np.where(is_hot, 1, count), n), np.repeat(gram, n), np.repeat(is_hot, n)
             start = start + np.where(is_hot, shift, 0)
             anchor = np.where(is_hot, start, anchor)
         size = count + self.window - 1
-        data = self.block.data
-        prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(B.BYTE_CODES[data] * _power(BASE, len(data))[: len(data)], out=prefix[1:])
-        text = (prefix[start + size] - prefix[start]) * _power(BASE_INVERSE, len(data) + 1)[start]
-        text = B.mix(text) * U(1024) + (size * 2 + is_hot).astype(np.uint64) + (anchor - start).astype(np.uint64) * U(0x9E3779B97F4A7C15)
-        _, first, self.back = np.unique(text, return_index=True, return_inverse=True)
+        text = _digests(self.block.data, start, size) if len(start) else np.zeros(0, np.uint64)
+        text ^= B.mix((anchor - start).astype(np.uint64) * U(2) + is_hot)
+        text, first, self.back = np.unique(text, return_index=True, return_inverse=True)
         self.occ_start, self.occ_doc = start, doc
         self.u_start, self.u_count, self.u_anchor, self.u_hot = start[first], count[first], anchor[first], is_hot[first]
-        self.u_size = size[first]
+        self.u_size, self.u_text = size[first], text
+        self.u_gram = np.where(self.u_hot, B.mix(text), gram[first])  # a hot window is its own group
         self.u_id = self.block.ids[doc[first]] if len(first) else np.zeros(0, np.int64)
 
-    def leading(self) -> np.ndarray:
-        """What the range partition looks at: the gram, or the whole window."""
-        out = np.zeros((len(self.u_start), self.window), np.uint8)
-        padded = np.r_[self.block.data, np.zeros(self.window, np.uint8)]
-        width = np.where(self.u_hot, self.window, self.gram)
-        for j in range(self.window):
-            some = width > j
-            out[some, j] = padded[self.u_anchor[some] + j]
-        return out.view(f"S{self.window}")[:, 0] if len(out) else np.zeros(0, f"S{self.window}")
+    def mixed(self) -> np.ndarray:
+        """Numbers of the segments whose group holds different segments."""
+        told = self.block.bodies.get(4, [])
+        return np.unique(np.concatenate([np.frombuffer(b, "<u4") for b in told])) if told else np.zeros(0, np.uint32)
+
+    def leading(self, some: np.ndarray) -> np.ndarray:
+        """The leading bytes of these segments' suffixes, which the range partition looks at."""
+        out = np.zeros((len(some), self.gram), np.uint8)
+        for j in range(self.gram):
+            out[:, j] = self.block.data[self.u_anchor[some] + j]
+        return out.view(f"S{self.gram}")[:, 0] if len(out) else np.zeros(0, f"S{self.gram}")
 
 
-SEGMENT_SCHEMA = "bucket int, block long, first binary, sizes binary, places binary, ids binary, data binary"
+DIGEST_SCHEMA = "bucket int, block long, numbers binary, grams binary, texts binary, ids binary"
+SEGMENT_SCHEMA = "bucket int, block long, numbers binary, sizes binary, places binary, ids binary, data binary"
 ANSWER = np.dtype([("segment", "<u4"), ("first", "<u2"), ("last", "<u2"), ("id", "<i8")])
+#: As ``last``: to the segment's last window.
+ALL = 0xFFFF
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -139,54 +159,75 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.arange(size.sum()) + np.repeat(start - at, size)]
 
 
-def _answers(window: int, gram: int):
+def _columns(batches: Iterator[pa.RecordBatch], kinds: tuple) -> tuple[list[int], list[np.ndarray], np.ndarray]:
+    """All rows' blocks, their binary columns joined, and whose each value is."""
+    keys: list[int] = []
+    parts: list[list[np.ndarray]] = [[] for _ in kinds]
+    for batch in batches:
+        keys += batch.column(1).to_pylist()
+        for j, t in enumerate(kinds):
+            parts[j] += [np.frombuffer(x.as_py(), t) for x in batch.column(j + 2)]
+    owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(p) for p in parts[0]])
+    return keys, [np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, kinds)], owner
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups segments by gram: where all are equal, tells the smallest
+    identifier (kind 3); else, that the group is mixed (kind 4)."""
+    keys, (number, gram, text, ids), owner = _columns(batches, ("<u4", "<u8", "<u8", "<i8"))
+    if not keys:
+        return
+    order = np.argsort(gram, kind="stable")
+    g = gram[order]
+    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    counts = np.diff(np.r_[first, len(g)])
+    t, i = text[order], ids[order]
+    mixed = np.repeat(np.maximum.reduceat(t, first) != np.minimum.reduceat(t, first), counts)
+    least = np.repeat(np.minimum.reduceat(i, first), counts)
+    tell = ~mixed & (least < i)
+    at = order[tell]
+    out = np.zeros(len(at), ANSWER)
+    out["segment"], out["last"], out["id"] = number[at], ALL, least[tell]
+    yield from B.by_owner(owner[at], keys, 3, out)
+    at = order[mixed]
+    yield from B.by_owner(owner[at], keys, 4, number[at])
+
+
+def _sort(window: int, gram: int):
+    """Sorts the suffixes of mixed groups, cuts out the windows of each group and
+    sorts those: equal neighbours share the smallest identifier (kind 3)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, parts = [], []
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = [batch.column(j)[i].as_py() for j in range(1, 7)]
-                keys.append(row[0])
-                parts.append([np.frombuffer(x, t) for x, t in zip(row[1:], ("<u4", "<u2", "<u2", "<i8", np.uint8))])
-        if not parts:
+        keys, (number, size, place, ids, data), owner = _columns(batches, ("<u4", "<u2", "<u2", "<i8", np.uint8))
+        if not keys:
             return
-        number, size, place, ids, data = (np.concatenate([p[j] for p in parts]) for j in range(5))
-        owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(p[0]) for p in parts])
-        del parts
-        size, hot, place = size.astype(np.int64) >> 1, (size & 1).astype(np.uint64), place.astype(np.int64)
+        size, place = size.astype(np.int64), place.astype(np.int64)
         start = np.cumsum(size) - size
-        lead = _matrix(data, start + place, min(gram, window))
-        prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(B.BYTE_CODES[data] * _power(BASE, len(data))[: len(data)], out=prefix[1:])
-        text = B.mix((prefix[start + size] - prefix[start]) * _power(BASE_INVERSE, len(data) + 1)[start]) ^ size.astype(np.uint64)
-        # hot single windows are groups of their own text
-        lead = [hot, *[np.where(hot == 1, U(0), k) for k in lead], np.where(hot == 1, text, U(0)), text]
+        lead = _matrix(data, start + place, gram)
         order = multikey_quicksort(lead)
-        cols = [k[order] for k in lead]
         change = np.zeros(len(order), bool)
-        change[0] = True
-        for k in cols[:-1]:
-            change[1:] |= k[1:] != k[:-1]
-        first = np.flatnonzero(change)
-        counts = np.diff(np.r_[first, len(order)])
-        other = np.r_[False, cols[-1][1:] != cols[-1][:-1]] & ~change
-        mixed = np.repeat(np.add.reduceat(other, first) > 0, counts)
-        least = np.repeat(np.minimum.reduceat(ids[order], first), counts)
-        tell = ~mixed & (least < ids[order])
-        at = order[tell]
-        out = np.empty(len(at), ANSWER)
-        out["segment"], out["first"], out["last"], out["id"] = number[at], 0, size[at] - window, least[tell]
-        yield from B.by_owner(owner[at], keys, 3, out)
-        # groups of different segments: cut their windows out
-        at = order[mixed]
-        if not len(at):
-            return
-        n = size[at] - window + 1
+        for k in lead:
+            change[1:] |= k[order][1:] != k[order][:-1]
+        # whole groups at a time, as many as make up to WINDOWS_AT_ONCE windows
+        n = size - window + 1
+        total = np.cumsum(n[order])
+        cut, done = [0], 0
+        for at in np.r_[np.flatnonzero(change), len(order)]:
+            if at > cut[-1] and total[at - 1] - done > WINDOWS_AT_ONCE:
+                cut.append(at)
+                done = total[at - 1]
+        for a, b in zip(cut, [*cut[1:], len(order)]):
+            if a < b:
+                yield from by_window(order[a:b], n, start, data, ids, number, owner, keys)
+
+    def by_window(at, n, start, data, ids, number, owner, keys) -> Iterator[pa.RecordBatch]:
+        n = n[at]
         shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         seg = np.repeat(at, n)
         win = _matrix(data, start[seg] + shift, window)
         order = multikey_quicksort(win)
         change = np.zeros(len(order), bool)
-        change[0] = True
+        change[:1] = True
         for k in win:
             s = k[order]
             change[1:] |= s[1:] != s[:-1]
@@ -206,6 +247,14 @@ def _answers(window: int, gram: int):
     return run
 
 
+def _dealt(b: np.ndarray, rows) -> list[tuple]:
+    """Rows (bucket, ...) from bucket numbers and a function of places."""
+    order = np.argsort(b, kind="stable")
+    b = b[order]
+    cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
+    return [(int(b[s]), *rows(order[s:e])) for s, e in zip(cuts, np.r_[cuts[1:], len(b)] if len(b) else [])]
+
+
 def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """Per row of ``docs``: ``_id``, ``n_bytes``, ``n_removed``, ``spans``
     (array of start, end in bytes of UTF-8, end exclusive) and ``kept`` (binary:
@@ -226,42 +275,49 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield B.anchors_out(block.key, Segments(block, window).hash, width)
 
     shared = packed.mapInArrow(ask_anchors, B.ANCHOR_SCHEMA).repartitionById(width, "bucket").mapInArrow(B.shared_among(hot_blocks), B.RESPONSE_SCHEMA)
-    shared = B.materialize(shared, "shared")
+    shared = materialize(shared, "shared")
+
+    def ask_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in B.unpack(batches):
+            g = Segments(block, window)
+            g.select()
+            yield B._batch(DIGEST_SCHEMA, _dealt(B.place(g.u_gram, width), lambda i: (block.key, i.astype("<u4").tobytes(), g.u_gram[i].tobytes(), g.u_text[i].tobytes(), g.u_id[i].tobytes())))
+
+    told = B.answered(packed, shared).mapInArrow(ask_digests, DIGEST_SCHEMA).repartitionById(width, "bucket").mapInArrow(_compare, B.RESPONSE_SCHEMA)
+    told = shared.unionByName(materialize(told, "compared"))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.unpack(batches):
-            segments = Segments(block, window)
-            segments.select()
-            found = segments.leading()
+            g = Segments(block, window)
+            g.select()
+            found = g.leading(g.mixed())
             some = np.random.default_rng(7).choice(len(found), min(SAMPLE_EACH, len(found)), replace=False) if len(found) else []
             yield B._batch("key binary", [(bytes(found[i]),) for i in some])
 
     every = max(1, packed.count() // SAMPLE_BLOCKS)
     few = packed.filter(F.pmod(F.xxhash64("block"), F.lit(every)) == 0)
-    drawn = sorted(r[0] for r in B.answered(few, shared).mapInArrow(sample, "key binary").collect())
-    splitters = np.array(sorted({bytes(drawn[len(drawn) * i // width]) for i in range(1, width)}) if drawn else [], f"S{window}")
+    drawn = sorted(r[0] for r in B.answered(few, told).mapInArrow(sample, "key binary").collect())
+    splitters = np.array(sorted({bytes(drawn[len(drawn) * i // width]) for i in range(1, width)}) if drawn else [], f"S{gram}")
 
     def ask_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.unpack(batches):
             g = Segments(block, window)
             g.select()
-            b = np.searchsorted(splitters, g.leading(), "right")
-            order = np.argsort(b, kind="stable")
-            b = b[order]
-            cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
-            rows = []
-            for s, e in zip(cuts, np.r_[cuts[1:], len(b)] if len(b) else []):
-                i = order[s:e]
-                rows.append((int(b[s]), block.key, i.astype("<u4").tobytes(), (g.u_size[i] * 2 + g.u_hot[i]).astype("<u2").tobytes(), (g.u_anchor[i] - g.u_start[i]).astype("<u2").tobytes(), g.u_id[i].tobytes(), _gather(block.data, g.u_start[i], g.u_size[i]).tobytes()))
-            yield B._batch(SEGMENT_SCHEMA, rows)
-
-    told = B.answered(packed, shared).mapInArrow(ask_segments, SEGMENT_SCHEMA).repartitionById(width, "bucket").mapInArrow(_answers(window, gram), B.RESPONSE_SCHEMA)
+            mixed = g.mixed().astype(np.int64)
+
+            def row(at: np.ndarray) -> tuple:
+                i = mixed[at]
+                return block.key, i.astype("<u4").tobytes(), g.u_size[i].astype("<u2").tobytes(), (g.u_anchor[i] - g.u_start[i]).astype("<u2").tobytes(), g.u_id[i].tobytes(), _gather(block.data, g.u_start[i], g.u_size[i]).tobytes()
+
+            yield B._batch(SEGMENT_SCHEMA, _dealt(np.searchsorted(splitters, g.leading(mixed), "right"), row))
+
+    last = B.answered(packed, told).mapInArrow(ask_segments, SEGMENT_SCHEMA).repartitionById(width, "bucket").mapInArrow(_sort(window, gram), B.RESPONSE_SCHEMA)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.unpack(batches):
             yield _cut(block, window)
 
-    return B.answered(packed, shared.unionByName(B.materialize(told, "told"))).mapInArrow(cut, "_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
+    return B.answered(packed, told.unionByName(materialize(last, "sorted"))).mapInArrow(cut, "_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
 
 
 def _cut(block: B.Block, window: int) -> pa.RecordBatch:
@@ -272,7 +328,8 @@ def _cut(block: B.Block, window: int) -> pa.RecordBatch:
     least = np.repeat(g.u_id, g.u_count)
     for body in block.bodies.get(3, []):
         told = np.frombuffer(body, ANSWER)
-        n = told["last"].astype(np.int64) - told["first"] + 1
+        stop = np.where(told["last"] == ALL, g.u_count[told["segment"]] - 1, told["last"])
+        n = stop - told["first"].astype(np.int64) + 1
         at = np.repeat(offset[told["segment"]] + told["first"], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         np.minimum.at(least, at, np.repeat(told["id"], n))
     n = g.u_count[g.back]

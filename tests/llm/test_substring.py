@@ -62,9 +62,10 @@ def corpus(seed, n=120, vocabulary=400):
     return rows
 
 
-@pytest.mark.parametrize("seed,size", [(1, 2 << 20), (2, 3000)])
+@pytest.mark.parametrize("seed,size", [(1, 1 << 20), (2, 3000)])
 def test_duplicate_words(spark, monkeypatch, seed, size):
-    monkeypatch.setattr(blocks, "BLOCK_BYTES", size)
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", size)
+    monkeypatch.setattr(blocks, "BLOCK_ROOTS", 1)
     rows = corpus(seed)
     got = sorted((r["_id"] if r["_id"] is not None else -1, r["n_words"], r["n_removed"], r["kept"], [tuple(s) for s in r["spans"]]) for r in rlz.duplicate_words(table(spark, rows)).collect())
     want = []
@@ -73,9 +74,10 @@ def test_duplicate_words(spark, monkeypatch, seed, size):
     assert got == sorted(want)
 
 
-@pytest.mark.parametrize("seed,size,hot", [(3, 2 << 20, 256), (4, 3000, 256), (5, 3000, 3)])
+@pytest.mark.parametrize("seed,size,hot", [(3, 1 << 20, 256), (4, 3000, 256), (5, 3000, 3)])
 def test_duplicate_bytes(spark, monkeypatch, seed, size, hot):
-    monkeypatch.setattr(blocks, "BLOCK_BYTES", size)
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", size)
+    monkeypatch.setattr(blocks, "BLOCK_ROOTS", 1)
     rows = corpus(seed)
     got = sorted((r["_id"] if r["_id"] is not None else -1, r["n_bytes"], r["n_removed"], bytes(r["kept"]), [tuple(s) for s in r["spans"]]) for r in suffix.duplicate_bytes(table(spark, rows), hot_blocks=hot).collect())
     want = []
@@ -104,3 +106,12 @@ def test_owner_is_the_first_smallest():
         top = grams >> np.uint64(24)
         want = [i + int(np.argmin(top[i : i + w])) for i in range(len(grams) - w + 1)]
         assert blocks.owners(grams, w, chunk=700).tolist() == want
+
+
+def test_anchor_runs():
+    rng = np.random.default_rng(1)
+    codes = blocks.mix(rng.integers(0, 3, 5000).astype(np.uint64))
+    own = blocks.owners(blocks.rolling(codes, 4, 7), 9)
+    start, place, _ = blocks.anchor_runs(codes, 4, 9, 7, chunk=300)
+    assert np.array_equal(np.repeat(place, np.diff(np.r_[start, len(own)])), own)
+    assert (place[1:] != place[:-1]).all()
