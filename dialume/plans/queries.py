@@ -741,3 +741,78 @@ def top_users(spark, sf):
 def equi_join_rollup(spark, sf):
     j = V.table(spark, sf, "part").select(F.col("p_partkey").alias("a")).join(V.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), "l_quantity"), "a")
     return j.groupBy("a").agg(F.sum("l_quantity").cast("double").alias("qty"))
+
+
+# summaries of turn errors ------------------------------------------------------------
+
+DER_ROWS = (
+    DER
+    + """, rows AS (SELECT l.clip_id, total_ms, miss_ms, fa_ms, both_ms - coalesce(correct, 0) AS conf_ms, n_ref_speakers, coalesce(k, 0) AS n_hyp_speakers
+      FROM lim l JOIN tm USING (clip_id) LEFT JOIN pick USING (clip_id) LEFT JOIN (SELECT clip_id, count(DISTINCT speaker) AS k FROM hyp_b GROUP BY ALL) USING (clip_id))"""
+)
+DER_RATES = """count(*) AS n_clips, round(100 * sum(miss_ms + fa_ms + conf_ms) / sum(total_ms), 2) AS der, round(100 * sum(miss_ms) / sum(total_ms), 2) AS miss, round(100 * sum(fa_ms) / sum(total_ms), 2) AS fa,
+    round(100 * sum(conf_ms) / sum(total_ms), 2) AS confusion, round(100 * avg((miss_ms + fa_ms + conf_ms) / total_ms), 2) AS der_clip_mean, round(100 * avg(CASE WHEN n_ref_speakers = n_hyp_speakers THEN 1 ELSE 0 END), 2) AS count_accuracy,
+    round(avg(abs(n_hyp_speakers - n_ref_speakers)), 4) AS count_mae, round(avg(n_hyp_speakers - n_ref_speakers), 4) AS count_bias"""
+
+
+def _der_b(spark, sf):
+    return E.der(V.turns_ref(spark, sf), V.turns_hyp(spark, sf, "b")).withColumn("system", F.lit("b"))
+
+
+@query(DER_ROWS + f" SELECT 'b' AS system, {DER_RATES} FROM rows")
+def der_summary(spark, sf):
+    return report.der_summary(_der_b(spark, sf), ["system"])
+
+
+@query(DER_ROWS + f" SELECT n_ref_speakers, {DER_RATES} FROM rows GROUP BY n_ref_speakers")
+def der_by_speakers(spark, sf):
+    return report.der_summary(_der_b(spark, sf), ["n_ref_speakers"])
+
+
+@query(
+    DER_ROWS
+    + f""", sh AS (SELECT *, 1.0::DOUBLE * fa_ms / total_ms AS f FROM rows), q AS (SELECT quantile_cont(f, 1/3.0) AS a, quantile_cont(f, 2/3.0) AS b FROM sh)
+    SELECT CASE WHEN f <= a THEN 'low' WHEN f <= b THEN 'mid' ELSE 'high' END AS tercile, {DER_RATES} FROM sh, q GROUP BY tercile"""
+)
+def der_by_tercile(spark, sf):
+    """Thirds by the share of false alarms, over the system's rows."""
+    rows = _der_b(spark, sf).withColumn("f", F.col("fa_ms") / F.col("total_ms"))
+    return report.der_summary(report.terciles(rows, "f"), ["tercile"])
+
+
+# tables and reasons -------------------------------------------------------------------
+
+
+@query("SELECT clip_id, o_orderkey AS row FROM (SELECT o_orderkey, printf('%d__%09d_%09d', o_custkey, (o_orderkey % 50) * 1000, (o_orderkey % 50 + 7) * 1000) AS clip_id FROM orders WHERE o_orderkey % 9 <> 4) QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY o_orderkey) = 1")
+def load_segments(spark, sf):
+    o = V.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("video_id"), F.col("o_orderkey").alias("row"), (F.col("o_orderkey") % 50).cast("string").alias("start_sec"), F.when(F.col("o_orderkey") % 9 == 4, "none").otherwise((F.col("o_orderkey") % 50 + 7).cast("string")).alias("end_sec"))
+    return P.load_segments(o).select("clip_id", "row")
+
+
+@query(f"WITH {V.sql('ref', 'hyp')}, r AS (SELECT clip_id, sum(CASE WHEN clip_id % 5 = 0 THEN 0 ELSE n_tok END) AS n FROM ref WHERE clip_id % 7 <> 0 GROUP BY ALL) SELECT coalesce(CASE WHEN n IS NULL THEN 'no reference' WHEN n = 0 THEN 'empty reference' END, 'scored') AS reason, count(*) AS n_clips FROM (SELECT DISTINCT clip_id FROM hyp_a) LEFT JOIN r USING (clip_id) GROUP BY ALL")
+def skip_reasons(spark, sf):
+    ref = V.turns_ref(spark, sf).filter("clip_id % 7 <> 0").groupBy("clip_id").agg(F.sum(F.when(F.col("clip_id") % 5 == 0, 0).otherwise(F.col("n_tok"))).alias("n_words"))
+    hyp = V.turns_hyp(spark, sf).select("clip_id").distinct()
+    return S.with_reason(hyp, ref).groupBy(F.coalesce("reason", F.lit("scored")).alias("reason")).agg(F.count(F.lit(1)).alias("n_clips"))
+
+
+@query(LOG + ", it AS (SELECT DISTINCT user_id AS key FROM events) SELECT key, coalesce((status = 'ok' AND key % 3 <> 0) OR (status = 'failed' AND key % 2 = 0), false) AS skip FROM it LEFT JOIN last USING (key)")
+def resume_verified(spark, sf):
+    log = S.latest(V.manifest(spark, sf)).withColumns({"error_class": F.when(F.col("key") % 2 == 0, "gone").otherwise("net"), "n_samples": F.col("key") * 10})
+    files = log.filter("key % 3 <> 0").select("key", "n_samples")
+    return S.resume_verified(log.select("key"), log, files, ("gone",)).select("key", "skip")
+
+
+@query(UNITS.replace("string_agg(w, ' ' ORDER BY wid) AS text", "substr(string_agg(w, ' ' ORDER BY wid), 1, 220) AS text") + ", c AS (SELECT clip_id FROM units GROUP BY ALL HAVING count(*) <= 25) SELECT clip_id, string_agg('[' || unit::BIGINT || '] ' || spk || ' (' || printf('%.2f', start_ms / 1000) || '-' || printf('%.2f', end_ms / 1000) || '): ' || text, chr(10) ORDER BY unit) AS prompt FROM units JOIN c USING (clip_id) GROUP BY ALL")
+def prompts(spark, sf):
+    u = I.units(_units(spark, sf))
+    p = R.render_prompt(R.prompt_windows(u))
+    one = p.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"), F.first("prompt").alias("prompt"), F.max("last_edit").alias("last")).filter("n = 1 and last < 25")
+    return one.select("clip_id", "prompt")
+
+
+@query()
+def similarity_of_transcripts(spark, sf):
+    r = M.word_list(V.words_ref(spark, sf), ["clip_id"], ["wid"])
+    h = M.word_list(V.words_hyp(spark, sf), ["clip_id"], ["wid"], name="h")
+    return r.join(h, "clip_id").select("clip_id", F.round(T.sequence_similarity("ws", "h"), 6).alias("ratio"))
