@@ -8,7 +8,7 @@ turn is an aggregate, not a sorted window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -32,54 +32,53 @@ def overlaps(words: DataFrame, turns: DataFrame, bucket_ms: int = BUCKET_MS) ->
     return met.filter(over > 0).select("clip_id", "wid", F.struct(over.alias("overlap"), F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), "idx", "speaker").alias("turn"))
 
 
-def _rank(turn: str = "turn") -> Column:
-    """Most overlap first; of equals the earlier turn."""
-    t = F.col(turn)
-    return F.struct(t["overlap"], -t["start"], -t["end"], -t["idx"])
-
-
 def attribute(words: DataFrame, turns: DataFrame, nearest: bool = True, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """``words`` with ``spk``, the speaker of the turn that overlaps a word most
     (of equals the earlier turn); a word that none overlaps is an ``orphan`` and
     gets the nearest turn's speaker, or null without ``nearest``. Words of clips
-    without turns have no speaker."""
-    best = overlaps(words, turns, bucket_ms).groupBy("clip_id", "wid").agg(F.max_by(F.col("turn")["speaker"], _rank()).alias("_spk"), F.count(F.lit(1)).alias("n_spans"))
-    out = words.join(best, ["clip_id", "wid"], "left").withColumn("orphan", F.col("n_spans").isNull())
-    if nearest:
-        near = nearest_turn(out.filter("orphan").select("clip_id", "wid", "start_ms", "end_ms"), turns)
-        out = out.join(near.withColumnRenamed("speaker", "_near"), ["clip_id", "wid"], "left").withColumn("_spk", F.coalesce("_spk", "_near")).drop("_near")
-    return out.withColumnRenamed("_spk", "spk").withColumn("n_spans", F.coalesce("n_spans", F.lit(0)))
+    without turns have no speaker. ``n_spans`` counts the turns that a word
+    overlaps. One join and one aggregate: the word's columns travel along."""
+    rest = [c for c in words.columns if c not in ("clip_id", "wid")]
+    a = _bucketed(words, bucket_ms).select("clip_id", "wid", "_b", F.struct(*rest).alias("_w"))
+    b = _bucketed(turns.filter("end_ms > start_ms").select("clip_id", "idx", "speaker", "start_ms", "end_ms"), bucket_ms)
+    b = b.select(F.col("clip_id").alias("_clip"), F.col("_b").alias("_tb"), F.col("start_ms").alias("_ts"), F.col("end_ms").alias("_te"), F.col("idx").alias("_idx"), F.col("speaker").alias("_speaker"))
+    # flat columns: a field of a struct on the outer side would be taken for never null
+    ws, we, ts, te = F.col("_w.start_ms"), F.col("_w.end_ms"), F.col("_ts"), F.col("_te")
+    over = F.least(we, te) - F.greatest(ws, ts)
+    first = F.greatest(F.floor(ws / bucket_ms), F.floor(ts / bucket_ms))  # a pair counts in the first bucket that both touch
+    met = a.join(b, (F.col("clip_id") == F.col("_clip")) & (F.col("_b") == F.col("_tb")) & (ts < we) & (te > ws) & (over > 0) & (F.col("_b") == first), "left")
+    rank = F.when(ts.isNotNull(), F.struct(over, -ts, -te, -F.col("_idx")))
+    out = met.groupBy("clip_id", "wid").agg(F.first("_w").alias("_w"), F.max_by("_speaker", rank).alias("spk"), F.count("_ts").alias("n_spans"))
+    out = out.select("clip_id", "wid", "_w.*", "spk", "n_spans", (F.col("n_spans") == 0).alias("orphan"))
+    if not nearest:
+        return out
+    near = nearest_turn(out.filter("orphan").select("clip_id", "wid", "start_ms", "end_ms"), turns, bucket_ms)
+    out = out.join(near.withColumnRenamed("speaker", "_near"), ["clip_id", "wid"], "left")
+    return out.withColumn("spk", F.coalesce("spk", "_near")).drop("_near")
 
 
 def nearest_turn(words: DataFrame, turns: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """``clip_id, wid, speaker`` of the turn with the smallest gap (of equals the
     earlier) for words that no turn overlaps. Such a word's nearest turn is the
     last to end before it, the first to start after it or, if the word has no
-    length, one around it: two sorted passes and a bucketed join, no pairing up
-    of a clip."""
+    length, one around it. The first two come from running aggregates over each
+    clip's marks in time, dealt out once; nothing pairs up a clip."""
     t = turns.filter("end_ms > start_ms")
     info = F.struct(F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), "idx", "speaker")
-    kind = t.select(info.alias("t")).schema["t"].dataType
     word = F.struct("wid", F.col("start_ms").alias("ws"), F.col("end_ms").alias("we"))
-    word_kind = words.select(word.alias("w")).schema["w"].dataType
-
-    def side(at: str, turn_key, first: bool) -> DataFrame:
-        """Each word with the closest turn on one side; at one time turns that
-        end come before words, turns that start after them."""
-        marks = t.select("clip_id", F.col("end_ms" if first else "start_ms").alias("at"), F.lit(0).alias("o"), info.alias("t"), F.lit(None).cast(word_kind).alias("w"))
-        marks = marks.unionByName(words.select("clip_id", F.col(at).alias("at"), F.lit(1).alias("o"), F.lit(None).cast(kind).alias("t"), word.alias("w")))
-        order = ["at", "o"] if first else [F.desc("at"), "o"]
-        seen = W.partitionBy("clip_id").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        best = (F.max if first else F.min)(F.when(F.col("t").isNotNull(), turn_key)).over(seen)
-        return marks.withColumn("_best", best).filter("o = 1").select("clip_id", "w", F.col("_best")["t"].alias("t"))
-
-    tt = F.col("t")
-    before = side("start_ms", F.struct(tt["end"], -tt["start"], -tt["idx"], tt.alias("t")), True)
-    after = side("end_ms", F.struct(tt["start"], tt["end"], tt["idx"], tt.alias("t")), False)
+    none = F.lit(None).cast(words.select(word.alias("w")).schema["w"].dataType)
+    # at one time ends come first, then words, then starts
+    ends = F.array(F.struct(F.col("end_ms").alias("at"), F.lit(0).alias("o")), F.struct(F.col("start_ms").alias("at"), F.lit(2).alias("o")))
+    marks = t.select("clip_id", F.inline(ends), info.alias("t"), none.alias("w"))
+    marks = marks.unionByName(words.select("clip_id", F.col("start_ms").alias("at"), F.lit(1).alias("o"), F.lit(None).cast(marks.schema["t"].dataType).alias("t"), word.alias("w")))
+    tt, seen = F.col("t"), W.partitionBy("clip_id")
+    ended = F.max(F.when(F.col("o") == 0, F.struct(tt["end"], -tt["start"], -tt["idx"], tt.alias("t")))).over(seen.orderBy("at", "o").rowsBetween(W.unboundedPreceding, -1))
+    begun = F.min(F.when(F.col("o") == 2, F.struct(tt["start"], tt["end"], tt["idx"], tt.alias("t")))).over(seen.orderBy(F.desc("at"), F.desc("o")).rowsBetween(W.unboundedPreceding, -1))
+    sides = marks.select("clip_id", "o", "w", ended.alias("a"), begun.alias("b")).filter("o = 1").select("clip_id", "w", F.explode(F.array("a.t", "b.t")).alias("t"))
     points = _bucketed(words.filter("end_ms = start_ms"), bucket_ms).select("clip_id", "_b", word.alias("w"))
     around = points.join(_bucketed(t, bucket_ms).select("clip_id", "_b", info.alias("t")), ["clip_id", "_b"]).filter("t.start < w.ws and t.end > w.ws").select("clip_id", "w", "t")
     gap = F.greatest(F.lit(0), F.col("t.start") - F.col("w.we"), F.col("w.ws") - F.col("t.end"))
-    each = before.unionByName(after).unionByName(around).filter("t is not null")
+    each = sides.unionByName(around).filter("t is not null")
     return each.groupBy("clip_id", F.col("w.wid").alias("wid")).agg(F.min(F.struct(gap.alias("gap"), "t.start", "t.end", "t.idx", "t.speaker"))["speaker"].alias("speaker"))
 
 

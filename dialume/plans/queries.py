@@ -706,7 +706,7 @@ def _ders(spark, sf):
 )
 def long_results(spark, sf):
     s = V.scores(spark, sf)
-    models = s.select("asr", "diar", "method").dropDuplicates()
+    models = [(a, d, m) for a in "xy" for d in "ab" for m in ("baseline", "rule")]
     edits = s.filter("method = 'rule'").select(*report.KEY, F.lit(1).alias("n_applied"))
     long = report.build_long(s, _meta(spark, sf), _ders(spark, sf), edits, models)
     b = F.col("diar") == "b"
@@ -718,10 +718,10 @@ def invariants(spark, sf):
     """What must be empty is."""
     s = V.scores(spark, sf)
     per = s.withColumn("wer_errors", F.first("wer_errors").over(report.W.partitionBy("asr", "diar", "clip_id").orderBy("method")))
-    n = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
     totals = s.groupBy("asr").agg(report.rate("wer_errors", "length").alias("wer"))
-    out = n(report.wer_changes(per), "wer_changes")
-    return out.join(n(report.twins_differ(s, s, ["wer_errors", "cp_errors"], report.KEY), "twins")).join(n(report.differs(totals, totals, ["asr"], "wer"), "totals"))  # one row each
+    found = {"wer_changes": report.wer_changes(per), "twins": report.twins_differ(s, s, ["wer_errors", "cp_errors"], report.KEY), "totals": report.differs(totals, totals, ["asr"], "wer")}
+    rows = S.union_all([d.agg(F.count(F.lit(1)).alias(name)) for name, d in found.items()])
+    return rows.agg(*[F.sum(F.coalesce(name, F.lit(0))).alias(name) for name in found])
 
 
 @query(SCORES + " SELECT DISTINCT asr, diar, method, CASE asr WHEN 'y' THEN 1 WHEN 'x' THEN 2 END * 100 + CASE method WHEN 'rule' THEN 1 WHEN 'baseline' THEN 2 END AS rank FROM scores")

@@ -62,12 +62,13 @@ def speaker_bucket(n: Column) -> Column:
     return F.when(n >= 5, "5+").otherwise(n.cast("string"))
 
 
-def build_long(scores: DataFrame, meta: DataFrame, ders: DataFrame, edits: DataFrame, models: DataFrame) -> DataFrame:
+def build_long(scores: DataFrame, meta: DataFrame, ders: DataFrame, edits: DataFrame, models: list[tuple[str, str, str]]) -> DataFrame:
     """One row for every model and clip: scores, DER of the system and of its
-    control (the same turns without relabelling), edits, and rates. Models and
-    clips without scores have nulls."""
+    control (the same turns without relabelling), edits, and rates. ``models`` lists (asr,
+    diar, method); models and clips without scores have nulls."""
     sys_ = F.when(F.col("method") == BASELINE, F.col("diar")).otherwise(F.concat_ws("+", F.concat_ws("__", "asr", "diar"), "method"))
-    grid = models.crossJoin(meta.select("clip_id", "language", "n_speakers", "duration_ms"))  # the result is this grid; models are a handful
+    each = F.array(*[F.struct(F.lit(a).alias("asr"), F.lit(d).alias("diar"), F.lit(m).alias("method")) for a, d, m in models])
+    grid = meta.select("clip_id", "language", "n_speakers", "duration_ms", F.inline(each))
     out = grid.join(scores, KEY, "left").withColumns({"sys": sys_, "sys_ctrl": F.col("diar")})
     d = ders.select(F.col("system").alias("sys"), "clip_id", "total_ms", "miss_ms", "fa_ms", "conf_ms")
     c = ders.select(F.col("system").alias("sys_ctrl"), "clip_id", *[F.col(x).alias(f"{x}_ctrl") for x in ("total_ms", "miss_ms", "fa_ms", "conf_ms")])
