@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-A token is a run of letters, lower-cased; its features are the word and its
-prefixes. A feature's weight is the log-odds of the documents that hold it,
+A token is a run of characters between white space; its features are its runs of
+letters, lower-cased, and their prefixes. A feature's weight is the log-odds of the documents that hold it,
 toxic against clean, under a Dirichlet prior in proportion to its overall
 frequency; features whose log-odds are not clearly positive (by their standard
 error) weigh nothing. A token scores its best feature's weight, or ``-DRIFT``.
@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,42 +33,56 @@ from .training import SAMPLE, labelled_sample
 
 PREFIXES = (4, 5, 6)
 #: Strength of the prior in documents, least z of a feature, least toxic documents that hold it.
-PRIOR, LEAST_Z, LEAST_DOCS = 20.0, 3.0, 3
+PRIOR, LEAST_Z, LEAST_DOCS = 1000.0, 3.0, 3
+#: Least prior count of a feature in clean documents, least log-odds of a weight.
+LEAST_PRIOR, LEAST_ODDS = 0.3, 1.5
 DRIFT, K, SIGNIFICANT = 0.25, 0.1, 0.05
 #: Features that a model may hold, by z; token scores that a worker remembers.
-MOST_FEATURES, MEMO = 50_000, 500_000
+MOST_FEATURES, MEMO = 50_000, 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def tokens(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
-
-
-def features(word: str) -> Iterator[str]:
-    yield word
-    for n in PREFIXES:
-        if len(word) > n:
-            yield word[:n] + "*"
-
-
-def log_odds(docs: Iterable[tuple[list[str], int]]) -> dict[str, float]:
-    """Weights of the features that clearly speak for toxic documents."""
-    held, n = (Counter(), Counter()), [0, 0]
-    for words, y in docs:
-        n[y] += 1
-        held[y].update({f for w in set(words) for f in features(w)})
-    if not n[0] or not n[1]:
-        return {}
+    return text.split()
+
+
+def features(token: str) -> Iterator[str]:
+    """A token's lower-cased runs of letters and their prefixes."""
+    for word in LETTERS.findall(token.lower()):
+        yield word
+        for n in PREFIXES:
+            if len(word) > n:
+                yield word[:n] + "*"
+
+
+def _held(text: str) -> set[str]:
+    return {f for w in set(tokens(text)) for f in features(w)}
+
+
+def log_odds(docs: list[tuple[str, int]]) -> dict[str, float]:
+    """Weights of the features that clearly speak for toxic documents. A feature
+    counts once a document, and its odds are against all such counts, so long
+    documents and common words weigh nothing. Texts are read one at a time, and
+    clean ones only for features that enough toxic ones hold."""
+    total, toxic, clean = [0, 0], Counter(), Counter()
+    for text, y in docs:
+        if y:
+            held = _held(text)
+            total[1] += len(held)
+            toxic.update(held)
+    toxic = {f: k for f, k in toxic.items() if k >= LEAST_DOCS}
+    for text, y in docs:
+        if not y:
+            held = _held(text)
+            total[0] += len(held)
+            clean.update(f for f in held if f in toxic)
     found = []
-    for f, toxic in held[1].items():
-        if toxic < LEAST_DOCS:
-            continue
-        clean = held[0][f]
-        prior = max(PRIOR * (toxic + clean) / (n[0] + n[1]), 0.05)
-        a, b = toxic + prior, clean + prior
-        odds = math.log(a / (n[1] + PRIOR + 1 - a)) - math.log(b / (n[0] + PRIOR + 1 - b)) if a < n[1] + PRIOR + 1 and b < n[0] + PRIOR + 1 else 0.0
+    for f, k in toxic.items():
+        share = (k + clean[f]) / (total[0] + total[1])
+        a, b = k + PRIOR * share, clean[f] + max(PRIOR * share, LEAST_PRIOR)
+        odds = math.log(a / (total[1] + PRIOR - a)) - math.log(b / (total[0] + PRIOR - b))
         z = odds / math.sqrt(1 / a + 1 / b)
-        if z >= LEAST_Z:
+        if z >= LEAST_Z and odds >= LEAST_ODDS:
             found.append((z, f, odds))
     found.sort(reverse=True)
     return {f: odds for _, f, odds in found[:MOST_FEATURES]}
@@ -116,7 +130,11 @@ class Model:
         if not self.weights or not words:
             return []
         scores = list(map(self.score_of, words))
-        places = [i for i, s in enumerate(scores) if s]
+        places, seen = [], set()
+        for i, s in enumerate(scores):
+            if s and words[i] not in seen:  # a token repeated over and over speaks once
+                seen.add(words[i])
+                places.append(i)
         if not places:
             return []
         base = math.log(K * len(words) + 1)
@@ -134,13 +152,16 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def _decay(weights: dict[str, float], clean: list[list[str]]) -> float:
+def _decay(weights: dict[str, float], docs: list[tuple[str, int]]) -> float:
     """lambda: the positive root of sum p(s) exp(lambda s) = 1 over clean tokens."""
-    model, counts = Model(weights), Counter()
-    for words in clean:
-        counts.update(round(s, 1) if (s := model.score_of(w)) else -DRIFT for w in words)
-    counts[round(max(weights.values(), default=1.0), 1)] += 1
-    total = sum(counts.values())
+    model, counts, total = Model(weights), Counter(), 1
+    counts[round(max(weights.values(), default=1.0), 1)] = 1
+    for text, y in docs:
+        if not y:
+            words = tokens(text)
+            total += len(words)
+            counts.update(round(s, 1) for s in map(model.score_of, words) if s)
+    counts[-DRIFT] = total - sum(counts.values())
     low, high = 1e-3, 5.0
     for _ in range(50):
         mid = (low + high) / 2
@@ -155,25 +176,24 @@ def fit(docs: list[tuple[str, int]]) -> Model:
     """Weights from all documents, the curve from documents that the weights did
     not see (two folds). Without documents of both labels every score is the
     share of toxic ones (0 without any)."""
-    parsed = [(tokens(t), y) for t, y in docs]
     share = sum(y for _, y in docs) / len(docs) if docs else 0.0
     if share in (0.0, 1.0):
         return Model(curve=(-30.0 if share == 0 else 30.0, 0.0, 0.0))
     x, ys = [], []
     for half in (0, 1):
-        part = _weighted([d for i, d in enumerate(parsed) if i % 2 != half])
-        for words, y in parsed[half::2]:
-            best, total = part.evidence(part.passages(words))
+        part = _weighted(docs[1 - half :: 2])
+        for text, y in docs[half::2]:
+            best, total = part.evidence(part.passages(tokens(text)))
             x.append((1.0, math.log1p(best), math.log1p(total)))
             ys.append(y)
-    model = _weighted(parsed)
+    model = _weighted(docs)
     model.curve = _logistic(np.array(x), np.array(ys, float))
     return model
 
 
-def _weighted(parsed: list[tuple[list[str], int]]) -> Model:
-    weights = log_odds(parsed)
-    return Model(weights, _decay(weights, [w for w, y in parsed if not y]))
+def _weighted(docs: list[tuple[str, int]]) -> Model:
+    weights = log_odds(docs)
+    return Model(weights, _decay(weights, docs))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, ...]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import documents_view
 
 #: Labelled documents that a classifier is fitted on, at most, and the bytes of each.
-SAMPLE, SAMPLE_BYTES = 12_000, 1 << 16
+SAMPLE, SAMPLE_BYTES = 8_000, 1 << 16
 
 
 def fold(id_: Column, folds: int) -> Column:
