@@ -61,15 +61,23 @@ def count_reference_words(text: Column) -> Column:
     return F.size(F.filter(F.split(F.regexp_replace(text, r"\([^)]*\)", " "), r"\s+"), lambda w: w != "")).cast("long")
 
 
-def detect_language(text: Column) -> Column:
-    """The language of the script that most letters outside brackets belong to;
-    ``unknown`` without letters of a known script. Of equals the first by name."""
+def script_counts(text: Column) -> dict[str, Column]:
+    """Letters of each known script outside brackets. Counts add up over texts."""
     plain = F.regexp_replace(text, r"\[[^\]]*\]|\([^)]*\)", "")
-    counts = [F.struct((-F.regexp_count(plain, F.lit(rf"\p{{{JAVA_NAMES.get(s, 'Is' + s)}}}"))).alias("n"), F.lit(s).alias("script"), F.lit(name).alias("name")) for s, name in SCRIPTS.items()]
-    best = F.array_min(F.array(*counts))
+    return {s: F.regexp_count(plain, F.lit(rf"\p{{{JAVA_NAMES.get(s, 'Is' + s)}}}")) for s in SCRIPTS}
+
+
+def language_of(counts: dict[str, Column]) -> Column:
+    """The language of the script with most letters (of equals the first by
+    name); ``unknown`` without any."""
+    best = F.array_min(F.array(*[F.struct((-n).alias("n"), F.lit(s).alias("script"), F.lit(SCRIPTS[s]).alias("name")) for s, n in counts.items()]))
     return F.when(best["n"] < 0, best["name"]).otherwise("unknown")
 
 
+def detect_language(text: Column) -> Column:
+    return language_of(script_counts(text))
+
+
 def clip_id(video: Column, start_sec: Column, end_sec: Column) -> Column:
     """Video and window in whole milliseconds, nine digits each; ties to even."""
     ms = lambda c: F.bround(c * 1000, 0).cast("long")

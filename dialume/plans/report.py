@@ -50,10 +50,12 @@ def der_summary(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clips"), rate_or_null(wrong, "total_ms").alias("der"), rate_or_null(F.col("miss_ms"), "total_ms").alias("miss"), rate_or_null(F.col("fa_ms"), "total_ms").alias("fa"), rate_or_null(F.col("conf_ms"), "total_ms").alias("confusion"), F.round(100 * F.avg(wrong / F.nullif("total_ms", F.lit(0))), 2).alias("der_clip_mean"), F.round(100 * F.avg((d == 0).cast("int")), 2).alias("count_accuracy"), F.round(F.avg(F.abs(d)), 4).alias("count_mae"), F.round(F.avg(d), 4).alias("count_bias"))
 
 
-def terciles(rows: DataFrame, value: str, name: str = "tercile") -> DataFrame:
-    """``rows`` with low, mid or high by the exact thirds of ``value`` over the
-    rows given (linear between neighbours; each class holds its upper edge)."""
-    cuts = rows.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_q"))
+def terciles(rows: DataFrame, value: str, name: str = "tercile", accuracy: int | None = None) -> DataFrame:
+    """``rows`` with low, mid or high by the thirds of ``value`` over the rows
+    given (each class holds its upper edge): exact and linear between neighbours,
+    or, for very many rows, from a sketch of the given accuracy."""
+    thirds = [1 / 3, 2 / 3]
+    cuts = rows.agg((F.percentile(value, F.array(*map(F.lit, thirds))) if accuracy is None else F.percentile_approx(value, thirds, accuracy)).alias("_q"))
     at = lambda i: F.get("_q", F.lit(i))
     return rows.crossJoin(F.broadcast(cuts)).withColumn(name, F.when(F.col(value) <= at(0), "low").when(F.col(value) <= at(1), "mid").otherwise("high")).drop("_q")  # one row
 
