@@ -143,20 +143,22 @@ BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U
 
 
 def rolling(codes: np.ndarray, n: int, base: int) -> np.ndarray:
-    """Polynomial hash of every run of ``n`` codes, by doubling."""
-    if len(codes) < n:
+    """Polynomial hash of every run of ``n`` codes, by doubling: the hashes of
+    runs of 1, 2, 4 .. codes, of which those that make up ``n`` are joined. The
+    upper bits are as random as the codes'; ``mix`` spreads them to all."""
+    size = len(codes) - n + 1
+    if size <= 0:
         return np.zeros(0, np.uint64)
-    size, out, done = len(codes) - n + 1, None, 0
-    while done < n:
-        step = 1 << ((n - done).bit_length() - 1)  # the largest power of two that fits
-        level, width = codes, 1
-        while width < step:
-            level = level[: len(level) - width] * U(pow(base, width, 1 << 64)) + level[width:]
-            width *= 2
-        part = level[done : done + size]
-        out = part if out is None else out * U(pow(base, step, 1 << 64)) + part
-        done += step
-    return mix(out)
+    level, width, out, done = codes, 1, None, 0
+    while True:
+        if n & width:
+            part = level[done : done + size]
+            out = part if out is None else out * U(pow(base, width, 1 << 64)) + part
+            done += width
+        if done == n:
+            return out
+        level = level[:-width] * U(pow(base, width, 1 << 64)) + level[width:]
+        width *= 2
 
 
 LOW = U((1 << 24) - 1)
@@ -195,7 +197,7 @@ def anchor_runs(codes: np.ndarray, gram: int, w: int, base: int, chunk: int = 1
             new = np.r_[0, new]
         starts.append(new + at)
         places.append(own[new] + at)
-        hashes.append(grams[own[new]])
+        hashes.append(mix(grams[own[new]]))
         before = own[-1] + at
     return np.concatenate(starts), np.concatenate(places), np.concatenate(hashes)
 

@@ -70,8 +70,9 @@ def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     own = B.owners(grams, window - gram + 1)
     at = np.flatnonzero(words.doc[: len(own)] == words.doc[window - 1 : window - 1 + len(own)]) if len(own) else np.zeros(0, np.int64)
     own = own[at]
-    new = np.r_[True, own[1:] != own[:-1]] if len(own) else np.zeros(0, bool)
-    return at, grams[own], grams[own[new]], words.doc[own[new]]
+    new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    anchors = B.mix(grams[own[new]])
+    return at, np.repeat(anchors, np.diff(np.r_[new, len(own)])), anchors, words.doc[own[new]]
 
 
 def _repeated(block: B.Block, words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +182,7 @@ def _parse(block: B.Block, window: int) -> pa.RecordBatch:
         np.minimum.at(least, where, told["id"])
     held = at[least[back] < block.ids[words.doc[at]]] if len(at) else at
     start, end = _factors(held, window)
-    change = np.zeros(len(words.start) + 1, np.int64)
+    change = np.zeros(len(words.start) + 1, np.int32)
     np.add.at(change, start, 1)
     np.add.at(change, end, -1)
     covered = np.cumsum(change[:-1]) > 0

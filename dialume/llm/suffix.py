@@ -34,7 +34,7 @@ from .rlz import _power
 GRAM = 24
 HOT_BLOCKS = 256
 #: Blocks whose suffixes give the splitters, and suffixes taken from each.
-SAMPLE_BLOCKS, SAMPLE_EACH = 24, 512
+SAMPLE_BLOCKS, SAMPLE_EACH = 64, 256
 #: Windows that a sort holds at once (a single group may have more).
 WINDOWS_AT_ONCE = 1 << 19
 BASE = 0xD1342543DE82EF95
@@ -99,7 +99,8 @@ class Segments:
         lens = block.lens
         first = np.cumsum(lens) - lens
         end = first + np.maximum(lens - window + 1, 0)  # windows of a document start before this
-        cut = np.unique(np.concatenate([run, first, end]))
+        cut = np.sort(np.concatenate([run, first, end]), kind="stable")
+        cut = cut[np.r_[True, cut[1:] != cut[:-1]]] if len(cut) else cut
         doc = np.searchsorted(first, cut, "right") - 1
         count = np.diff(np.r_[cut, len(block.data)])
         keep = np.flatnonzero((cut < end[doc]) & (count > 0)) if len(doc) else cut
@@ -337,12 +338,10 @@ def _cut(block: B.Block, window: int) -> pa.RecordBatch:
     start = np.repeat(g.occ_start, n) + shift
     own = np.repeat(block.ids[g.occ_doc], n) if len(n) else least
     start = start[least[np.repeat(offset[g.back], n) + shift] < own]
-    change = np.zeros(len(data) + 1, np.int64)
-    np.add.at(change, start, 1)
-    np.add.at(change, start + window, -1)
-    gone = np.cumsum(change[:-1]) > 0
+    change = np.bincount(start, minlength=len(data) + 1) - np.bincount(start + window, minlength=len(data) + 1)
+    gone = np.cumsum(change[:-1], dtype=np.int32) > 0
     first = np.r_[0, np.cumsum(block.lens)]
-    total = np.r_[0, np.cumsum(gone)]
+    total = np.r_[0, np.cumsum(gone, dtype=np.int32)]
     removed = total[first[1:]] - total[first[:-1]]
     edge = np.flatnonzero(np.diff(np.r_[False, gone, False]))
     inner = np.unique(first[(first > 0) & (first < len(gone))])
