@@ -590,14 +590,44 @@ def jer(spark, sf):
     return E.jer(V.turns_ref(spark, sf), V.turns_hyp(spark, sf, "b"))
 
 
-@query()
+def _regions_sql(choices: str) -> str:
+    """The DER tables over regions of each clip: ``choices`` are rows (p, condition
+    over k, the speakers active, and z, whether in a collar); clips are numbered
+    clip * 4 + p."""
+    head, tail = V.SQL["der"].split("cells AS", 1)
+    tail = ("cells AS" + tail).replace("refi", "refx").replace("hypi", "hypx")
+    return (
+        f"WITH {V.sql('ref', 'hyp')},{head}"
+        + """edges AS (SELECT clip_id, s AS pt, 1 AS k, 0 AS z FROM refi UNION ALL SELECT clip_id, e, -1, 0 FROM refi UNION ALL SELECT clip_id, unnest([start_ms, end_ms]) - 125, 0, 1 FROM ref
+                 UNION ALL SELECT clip_id, unnest([start_ms, end_ms]) + 125, 0, -1 FROM ref UNION ALL SELECT clip_id, unnest([0, dur]), 0, 0 FROM lim),
+        spots AS (SELECT clip_id, pt, sum(k) AS k, sum(z) AS z FROM edges GROUP BY ALL),
+        parts AS (SELECT clip_id, pt AS s, lead(pt) OVER w AS e, sum(k) OVER w AS k, sum(z) OVER w AS z FROM spots WINDOW w AS (PARTITION BY clip_id ORDER BY pt)),"""
+        + f"reg AS (SELECT clip_id * 4 + p AS clip_id, clip_id AS c, s, e FROM (SELECT parts.*, dur, {choices} FROM parts JOIN lim USING (clip_id)) WHERE ok AND s >= 0 AND e <= dur),"
+        + """refx AS (SELECT g.clip_id, speaker, greatest(r.s, g.s) AS s, least(r.e, g.e) AS e FROM refi r JOIN reg g ON r.clip_id = g.c AND r.s < g.e AND r.e > g.s),
+        hypx AS (SELECT g.clip_id, speaker, greatest(r.s, g.s) AS s, least(r.e, g.e) AS e FROM hypi r JOIN reg g ON r.clip_id = g.c AND r.s < g.e AND r.e > g.s),"""
+        + tail
+    )
+
+
+@query(
+    _regions_sql("unnest([0, 1]) AS p, unnest([k >= 2, k < 2]) AS ok")
+    + """, x AS (SELECT clip_id // 4 AS clip_id, clip_id % 4 AS p, total_ms, miss_ms, fa_ms, both_ms - coalesce(correct, 0)::BIGINT AS conf_ms FROM tm LEFT JOIN pick USING (clip_id))
+    SELECT l.clip_id, region, coalesce(total_ms, 0) AS total_ms, coalesce(miss_ms, 0) AS miss_ms, coalesce(fa_ms, 0) AS fa_ms, coalesce(conf_ms, 0) AS conf_ms,
+           coalesce(round((miss_ms + fa_ms + conf_ms) / nullif(total_ms, 0), 6), -1) AS der, n_ref_speakers
+    FROM lim l CROSS JOIN (VALUES (0, 'overlap'), (1, 'single')) v(p, region) LEFT JOIN x USING (clip_id, p)"""
+)
 def der_regions(spark, sf):
     ref, hyp = V.turns_ref(spark, sf), V.turns_hyp(spark, sf, "b")
     many, single = E.regions_by_overlap(ref)
-    return S.union_all([E.der(ref, hyp, r).withColumn("region", F.lit(n)) for n, r in (("overlap", many), ("single", single))])
+    both = S.union_all([E.der(ref, hyp, r).withColumn("region", F.lit(n)) for n, r in (("overlap", many), ("single", single))])
+    return both.select("clip_id", "region", "total_ms", "miss_ms", "fa_ms", "conf_ms", F.coalesce("der", F.lit(-1.0)).alias("der"), "n_ref_speakers")
 
 
-@query()
+@query(
+    _regions_sql("unnest([0, 1, 2, 3]) AS p, unnest([true, k < 2, z = 0, z = 0 AND k < 2]) AS ok")
+    + """ SELECT CASE WHEN clip_id % 4 < 2 THEN 0 ELSE 250 END::BIGINT AS collar_ms, clip_id % 2 = 1 AS skip_overlap, sum(total_ms)::BIGINT AS total_ms, sum(miss_ms)::BIGINT AS miss_ms, sum(fa_ms)::BIGINT AS fa_ms,
+    sum(both_ms - coalesce(correct, 0))::BIGINT AS conf_ms FROM tm LEFT JOIN pick USING (clip_id) GROUP BY ALL"""
+)
 def der_policies(spark, sf):
     return E.policies(V.turns_ref(spark, sf), V.turns_hyp(spark, sf, "b"))
 
@@ -803,12 +833,17 @@ def resume_verified(spark, sf):
     return S.resume_verified(log.select("key"), log, files, ("gone",)).select("key", "skip")
 
 
-@query(UNITS.replace("string_agg(w, ' ' ORDER BY wid) AS text", "substr(string_agg(w, ' ' ORDER BY wid), 1, 220) AS text") + ", c AS (SELECT clip_id FROM units GROUP BY ALL HAVING count(*) <= 25) SELECT clip_id, string_agg('[' || unit::BIGINT || '] ' || spk || ' (' || printf('%.2f', start_ms / 1000) || '-' || printf('%.2f', end_ms / 1000) || '): ' || text, chr(10) ORDER BY unit) AS prompt FROM units JOIN c USING (clip_id) GROUP BY ALL")
+@query(
+    UNITS.replace("string_agg(w, ' ' ORDER BY wid) AS text", "substr(string_agg(w, ' ' ORDER BY wid), 1, 220) AS text")
+    + """, c AS (SELECT clip_id, count(*) AS n, greatest(0, ceil((count(*) - 25) / 17.0))::BIGINT AS last FROM units GROUP BY ALL),
+    w AS (SELECT clip_id, n, last, unnest(range(0, last + 1)) AS win FROM c),
+    r AS (SELECT clip_id, win, CASE WHEN win > 0 THEN win * 17 + 4 ELSE 0 END AS a, CASE WHEN win < last THEN win * 17 + 20 ELSE n - 1 END AS b FROM w)
+    SELECT r.clip_id, win AS "window", string_agg('[' || unit::BIGINT || '] ' || spk || ' (' || printf('%.2f', start_ms / 1000) || '-' || printf('%.2f', end_ms / 1000) || '): ' || text || CASE WHEN unit BETWEEN a AND b THEN '' ELSE ' (context)' END, chr(10) ORDER BY unit) AS prompt
+    FROM r JOIN units u ON u.clip_id = r.clip_id AND unit >= win * 17 AND unit < win * 17 + 25 GROUP BY r.clip_id, win"""
+)
 def prompts(spark, sf):
-    u = I.units(_units(spark, sf))
-    p = R.render_prompt(R.prompt_windows(u))
-    one = p.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"), F.first("prompt").alias("prompt"), F.max("last_edit").alias("last")).filter("n = 1 and last < 25")
-    return one.select("clip_id", "prompt")
+    p = R.render_prompt(R.prompt_windows(I.units(_units(spark, sf))))
+    return p.select("clip_id", F.col("window").cast("long").alias("window"), "prompt")
 
 
 @query()
