@@ -38,6 +38,13 @@ def encode(ws: Column, vocabulary: Column) -> Column:
     return F.array_join(F.transform(ws, char), "")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over all partitions: alignments are few bytes and much work, so
+    partitions must not be merged by their size (by a hash of the keys, so that an
+    exchange on the keys themselves is not taken for this one)."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*keys))
+
+
 def with_edits(df: DataFrame, ref: str, hyp: str, name: str) -> DataFrame:
     """``df`` with the word edits between two arrays of words (null: none). The
     generator keeps the vocabulary, which every word is looked up in, from being
@@ -56,7 +63,7 @@ def wer(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     """``clip_id, wer_errors, wer_length`` for clips with a hypothesis. ``ref`` and
     ``hyp``: ``clip_id, ws`` (words in order of time)."""
     j = ref.join(hyp.select("clip_id", F.col("ws").alias("_h")), "clip_id")
-    return with_edits(j, "ws", "_h", "wer_errors").select("clip_id", "wer_errors", F.size("ws").cast("long").alias("wer_length"))
+    return with_edits(spread(j, "clip_id"), "ws", "_h", "wer_errors").select("clip_id", "wer_errors", F.size("ws").cast("long").alias("wer_length"))
 
 
 def speaker_pairs(ref: DataFrame, hyp: DataFrame) -> DataFrame:
@@ -67,7 +74,7 @@ def speaker_pairs(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     h = hyp.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("speaker", "ws"))).alias("hyps"))
     # one pair a row, so that a clip's pairs are spread and each is priced once
     pairs = r.join(h, "clip_id").select("clip_id", F.posexplode("refs").alias("i", "r"), "hyps").select("clip_id", "i", "r", F.posexplode("hyps").alias("j", "h"))
-    priced = with_edits(pairs, "r.ws", "h.ws", "cost").select("clip_id", "i", "j", F.struct(F.col("r.speaker").alias("speaker"), F.size("r.ws").cast("long").alias("n")).alias("_r"), F.struct(F.col("h.speaker").alias("speaker"), F.size("h.ws").cast("long").alias("n")).alias("_h"), "cost")
+    priced = with_edits(spread(pairs, "clip_id", "i", "j"), "r.ws", "h.ws", "cost").select("clip_id", "i", "j", F.struct(F.col("r.speaker").alias("speaker"), F.size("r.ws").cast("long").alias("n")).alias("_r"), F.struct(F.col("h.speaker").alias("speaker"), F.size("h.ws").cast("long").alias("n")).alias("_h"), "cost")
     g = priced.groupBy("clip_id").agg(F.array_sort(F.collect_set(F.struct("i", "_r"))).alias("_r"), F.array_sort(F.collect_set(F.struct("j", "_h"))).alias("_h"), F.array_sort(F.collect_list(F.struct("i", "j", "cost"))).alias("_c"))
     return g.select("clip_id", F.transform("_r", lambda x: x["_r"]).alias("refs"), F.transform("_h", lambda x: x["_h"]).alias("hyps"), F.transform("_c", lambda x: x["cost"]).alias("costs"))
 
@@ -191,7 +198,7 @@ def di_cpwer(ref: DataFrame, segments: DataFrame) -> DataFrame:
     upper bound of the best assignment of segments."""
     r = ref.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("speaker", "ws"))).alias("r"))
     s = segments.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("unit", "ws"))).alias("s"))
-    return r.join(s, "clip_id").select("clip_id", _greedy("r", "s").alias("di_errors"))
+    return spread(r.join(s, "clip_id"), "clip_id").select("clip_id", _greedy("r", "s").alias("di_errors"))
 
 
 # WDER -------------------------------------------------------------------------
@@ -240,7 +247,7 @@ def wder(ref: DataFrame, hyp: DataFrame, mapping: DataFrame) -> DataFrame:
     ``hyp``: ``clip_id, wid, speaker, w``."""
     packed = lambda d, name: d.groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("wid", "speaker", "w"))), lambda x: F.struct(x["speaker"].alias("speaker"), x["w"].alias("w"))).alias(name))
     j = packed(ref, "r").join(packed(hyp, "h"), "clip_id").join(mapping.select("clip_id", "mapping"), "clip_id")
-    return j.withColumn("_x", _wder("r", "h", "mapping")).select("clip_id", F.col("_x.wrong").alias("wder_errors"), F.col("_x.pairs").alias("wder_length"))
+    return spread(j, "clip_id").withColumn("_x", _wder("r", "h", "mapping")).select("clip_id", F.col("_x.wrong").alias("wder_errors"), F.col("_x.pairs").alias("wder_length"))
 
 
 def bag_mapping(ref: DataFrame, hyp: DataFrame) -> DataFrame:
