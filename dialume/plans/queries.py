@@ -320,7 +320,18 @@ def prompt_windows(spark, sf):
     return R.prompt_windows(I.units(_units(spark, sf))).select("clip_id", F.col("window").cast("long").alias("window"), F.size("units").cast("long").alias("n_units"), "first_edit", "last_edit")
 
 
-@query()
+@query(
+    UNITS
+    + """, c AS (SELECT clip_id, count(*) AS n, greatest(0, ceil((count(*) - 25) / 17.0))::BIGINT AS last FROM units GROUP BY ALL),
+    w AS (SELECT clip_id, n, last, unnest(range(0, last + 1)) AS win FROM c),
+    r AS (SELECT clip_id, win, CASE WHEN win > 0 THEN win * 17 + 4 ELSE 0 END AS a, CASE WHEN win < last THEN win * 17 + 20 ELSE n - 1 END AS b FROM w),
+    e AS (SELECT * FROM (VALUES (0, true, 5, 'spk0', 0.9), (1, true, 5, 'spk1', 0.9), (2, true, 6, 'spk9', 1.0), (3, true, 7, 'spk1', 0.2), (4, false, NULL, NULL, NULL), (5, true, NULL, NULL, NULL), (6, true, 8, 'spk1', NULL)) v(pos, is_edit, u, s, conf)),
+    x AS (SELECT r.clip_id, win, pos, u, CASE WHEN NOT is_edit THEN 'not_an_edit' WHEN u IS NULL OR u < a OR u > b THEN 'unit_out_of_range' WHEN NOT EXISTS (SELECT 1 FROM units k WHERE k.clip_id = r.clip_id AND k.spk = e.s) THEN 'unknown_speaker'
+                 WHEN conf IS NULL THEN 'bad_confidence' WHEN conf < 0.6 THEN 'low_confidence' END AS reason FROM r, e),
+    y AS (SELECT clip_id, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY clip_id, u, reason IS NULL ORDER BY win, pos) > 1 THEN 'duplicate' ELSE reason END AS reason FROM x)
+    SELECT clip_id, count(*) FILTER (reason IS NULL) AS n_applied, count(*) FILTER (reason = 'not_an_edit') AS not_an_edit, count(*) FILTER (reason = 'unit_out_of_range') AS unit_out_of_range, count(*) FILTER (reason = 'unknown_speaker') AS unknown_speaker,
+           count(*) FILTER (reason = 'bad_confidence') AS bad_confidence, count(*) FILTER (reason = 'low_confidence') AS low_confidence, count(*) FILTER (reason = 'duplicate') AS duplicate, 0::BIGINT AS unparsed FROM y GROUP BY ALL"""
+)
 def parse_edits(spark, sf):
     """Replies of a stub that asks for every kind of edit, good and bad."""
     u = I.units(_units(spark, sf))
@@ -560,7 +571,25 @@ def wder(spark, sf):
     return M.wder(V.words_ref(spark, sf).select("clip_id", "wid", "speaker", "w"), hyp, mapping)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {V.sql('ref', 'words', 'hyp', 'att')}, {V.SQL['der'][V.SQL['der'].index('perms AS'):V.SQL['der'].index('tries AS')]}"
+    + """ rc AS (SELECT clip_id, speaker AS r, w, count(*) AS n FROM rw GROUP BY ALL), hc AS (SELECT clip_id, spk AS h, w, count(*) AS n FROM att GROUP BY ALL),
+    cells AS (SELECT clip_id, r, h, sum(least(rc.n, hc.n)) AS ms FROM rc JOIN hc USING (clip_id, w) GROUP BY ALL),
+    pick AS (SELECT clip_id, p FROM (SELECT clip_id, p, sum(ms) AS ms FROM cells JOIN perms USING (r, h) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY ms DESC, p) = 1),
+    mapped AS (SELECT clip_id, r, h FROM cells JOIN pick USING (clip_id) JOIN perms USING (p, r, h)),
+    rt AS (SELECT clip_id AS pid, w, speaker, row_number() OVER (PARTITION BY clip_id ORDER BY idx, pos) AS i FROM rw),
+    ht AS (SELECT att.clip_id AS pid, w, r, row_number() OVER (PARTITION BY att.clip_id ORDER BY wid) AS j FROM att LEFT JOIN mapped ON mapped.clip_id = att.clip_id AND h = spk),
+    sz AS (SELECT pid, n, m FROM (SELECT pid, count(*) AS n FROM rt GROUP BY ALL) JOIN (SELECT pid, count(*) AS m FROM ht GROUP BY ALL) USING (pid)),
+    dp AS (SELECT pid, n, m, 0::BIGINT AS i, j, j AS v, 0::BIGINT AS pr, 0::BIGINT AS wr FROM (SELECT pid, n, m, unnest(range(0, m + 1)) AS j FROM sz)
+           UNION ALL
+           SELECT pid, n, m, i, j, v, last_value(pc IGNORE NULLS) OVER (PARTITION BY pid ORDER BY j), last_value(wc IGNORE NULLS) OVER (PARTITION BY pid ORDER BY j) FROM (
+             SELECT *, CASE WHEN v = dg THEN dpr + 1 WHEN v = up THEN upr END AS pc, CASE WHEN v = dg THEN dwr + bad WHEN v = up THEN uwr END AS wc FROM (
+               SELECT *, (j + min(least(up, coalesce(dg, up)) - j) OVER (PARTITION BY pid ORDER BY j))::BIGINT AS v FROM (
+                 SELECT d.pid, d.n, d.m, d.i + 1 AS i, d.j, d.v + 1 AS up, d.pr AS upr, d.wr AS uwr, lag(d.v) OVER (PARTITION BY d.pid ORDER BY d.j) + CASE WHEN r.w = h.w THEN 0 ELSE 1 END AS dg,
+                        lag(d.pr) OVER (PARTITION BY d.pid ORDER BY d.j) AS dpr, lag(d.wr) OVER (PARTITION BY d.pid ORDER BY d.j) AS dwr, CASE WHEN h.r = r.speaker THEN 0 ELSE 1 END AS bad
+                 FROM dp d JOIN rt r ON r.pid = d.pid AND r.i = d.i + 1 LEFT JOIN ht h ON h.pid = d.pid AND h.j = d.j WHERE d.i < d.n))))
+    SELECT pid AS clip_id, wr AS wder_errors, pr AS wder_length FROM dp WHERE i = n AND j = m"""
+)
 def wder_by_bags(spark, sf):
     ref = V.words_ref(spark, sf).select("clip_id", "wid", "speaker", "w")
     hyp = _attributed(spark, sf).select("clip_id", "wid", F.col("spk").alias("speaker"), "w")
