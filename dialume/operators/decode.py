@@ -75,3 +75,22 @@ def suspect_segments(segments: DataFrame, compression: float = 2.4, no_speech: f
     """Per clip how many segments look wrong by compression ratio or silence."""
     bad = (F.col("compression_ratio") > compression) | (F.col("no_speech_prob") > no_speech)
     return segments.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n_segments"), F.count_if(bad).alias("suspect_segments"))
+
+
+def parse_diarizer_output(df: DataFrame, column: str = "output") -> DataFrame:
+    """Turns from a diarizer's JSON, whichever of its shapes: a list of objects,
+    an object whose ``segments`` is one, or a list of ``start end speaker`` lines
+    (seconds). Adds ``idx, start_ms, end_ms, speaker``, in order of time; what has
+    no length is dropped, and text of no such shape gives no turns."""
+    item = "struct<start:double,end:double,speaker:string>"
+    objects = F.from_json(column, f"array<{item}>")
+    inner = F.from_json(column, f"struct<segments:array<{item}>>")["segments"]
+    lines = F.filter(F.from_json(column, "array<string>"), lambda x: x.rlike(r"^\s*[0-9.]+\s+[0-9.]+\s+\S+\s*$"))
+    parts = F.transform(lines, lambda x: F.split(F.trim(x), r"\s+"))
+    read = F.transform(parts, lambda p: F.struct(p[0].cast("double").alias("start"), p[1].cast("double").alias("end"), p[2].alias("speaker")))
+    whole = lambda a: F.filter(a, lambda x: x["start"].isNotNull() & x["end"].isNotNull() & (x["end"] > x["start"]))
+    some = lambda a: F.when(F.size(whole(a)) > 0, whole(a))
+    found = F.array_sort(F.coalesce(some(objects), some(inner), some(read)))
+    ms = lambda c: F.bround(c * 1000, 0).cast("long")
+    each = df.select(*[c for c in df.columns if c != column], F.posexplode(found).alias("idx", "_t"))
+    return each.select("*", ms(F.col("_t.start")).alias("start_ms"), ms(F.col("_t.end")).alias("end_ms"), F.col("_t.speaker").alias("speaker")).drop("_t")

@@ -28,6 +28,17 @@ def mean_of_clips(errors: str, length: str, digits: int = 2) -> Column:
     return F.round(100 * F.avg(F.col(errors) / F.greatest(F.col(length), F.lit(1))), digits)
 
 
+def pick(scores: DataFrame, asr: str, method: str, diar: str | None = None) -> DataFrame:
+    """The rows of one recogniser and method, and of one diarizer if named."""
+    chosen = scores.filter((F.col("asr") == asr) & (F.col("method") == method))
+    return chosen if diar is None else chosen.filter(F.col("diar") == diar)
+
+
+def without_reference(scores: DataFrame, name: str = "ref") -> DataFrame:
+    """Scores of real systems: rows on the reference's own turns are left out."""
+    return scores.filter(F.col("diar") != name)
+
+
 def with_subset(scores: DataFrame) -> DataFrame:
     """Every row as ``all``, and those of clips that every condition has as ``common``."""
     named = scores.withColumn("condition", F.concat_ws("__", "asr", F.concat_ws("+", "diar", "method")))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.udf import batched
+
 #: Schema of a document of words.
 WORDS = T.StructType(
     [
@@ -71,6 +75,37 @@ def write_csv(df: DataFrame, path: str, digits: int | None = None) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def write_sheets(tables: dict[str, DataFrame], path: str) -> dict[str, str]:
+    """A workbook's tables as one folder each; names are cut to 31 characters and
+    kept apart by a number. Returns each table's folder."""
+    out: dict[str, str] = {}
+    used: set[str] = set()
+    for name, df in tables.items():
+        short, n = name[:31], 1
+        while short in used:
+            n += 1
+            short = f"{name[: 30 - len(str(n))]}_{n}"
+        used.add(short)
+        out[name] = f"{path}/{short}"
+        write_csv(df, out[name])
+    return out
+
+
+@batched("array<float>")
+def samples(content: pd.Series) -> pd.Series:
+    """16-bit PCM of WAV files as numbers from -1 to 1 (null if it is no such file)."""
+
+    def one(raw: bytes | None):
+        at = raw.find(b"data") if raw is not None and raw[:4] == b"RIFF" else -1
+        if at < 0:
+            return None
+        size = int.from_bytes(raw[at + 4 : at + 8], "little")
+        data = raw[at + 8 : at + 8 + size - size % 2]
+        return (np.frombuffer(data[: len(data) - len(data) % 2], "<i2") / 32768).astype(np.float32)
+
+    return content.map(one)
+
+
 def scan_audio(spark: SparkSession, path: str) -> DataFrame:
     """WAV files with what their headers say: ``path, rate, channels, bits,
     n_samples, ok`` (16 kHz, mono, 16 bits). Only headers are parsed, in the JVM."""
@@ -82,4 +117,4 @@ def scan_audio(spark: SparkSession, path: str) -> DataFrame:
         return F.conv(F.regexp_replace(part, "(.)(.)", "$2$1"), 16, 10).cast("long")
 
     rate, channels, bits, size = number(24, 4), number(22, 2), number(34, 2), number(40, 4)
-    return raw.select("path", rate.alias("rate"), channels.alias("channels"), bits.alias("bits"), F.expr("1").alias("_"), (size / (channels * bits / 8)).cast("long").alias("n_samples")).drop("_").withColumn("ok", (F.col("rate") == 16000) & (F.col("channels") == 1) & (F.col("bits") == 16))
+    return raw.select("path", rate.alias("rate"), channels.alias("channels"), bits.alias("bits"), (size / (channels * bits / 8)).cast("long").alias("n_samples")).withColumn("ok", (F.col("rate") == 16000) & (F.col("channels") == 1) & (F.col("bits") == 16))

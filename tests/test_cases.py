@@ -337,3 +337,32 @@ def test_report_checks_find_what_breaks(spark):
     other = s.withColumn("wer_errors", F.lit(5))
     assert report.twins_differ(s, other, ["wer_errors"], report.KEY).count() == 1
     assert report.differs(s, other, report.KEY, "wer_errors").count() == 1
+
+
+def test_diarizer_outputs(spark):
+    shapes = ['[{"start": 1.5, "end": 2.0, "speaker": "b"}, {"start": 0, "end": 1, "speaker": "a"}, {"start": 3, "end": 3, "speaker": "c"}]', '{"segments": [{"start": 0.25, "end": 1, "speaker": "a"}]}', '["0.0 1.25 s0", "bad", "2 3 s1"]', "nonsense", None]
+    d = spark.createDataFrame(list(enumerate(shapes)), "clip_id int, output string")
+    got = [tuple(r) for r in D.parse_diarizer_output(d).orderBy("clip_id", "idx").collect()]
+    assert got == [(0, 0, 0, 1000, "a"), (0, 1, 1500, 2000, "b"), (1, 0, 250, 1000, "a"), (2, 0, 0, 1250, "s0"), (2, 1, 2000, 3000, "s1")]
+
+
+def test_samples_and_sheets(spark, tmp_path):
+    import wave
+
+    with wave.open(str(tmp_path / "a.wav"), "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(2)
+        f.setframerate(16000)
+        f.writeframes(np.array([0, 16384, -32768], "<i2").tobytes())
+    raw = (tmp_path / "a.wav").read_bytes()
+    d = spark.createDataFrame([(bytearray(raw),), (bytearray(b"x"),), (None,)], "content binary")
+    assert [r["s"] for r in d.select(tables.samples("content").alias("s")).collect()] == [[0.0, 0.5, -1.0], None, None]
+    out = tables.write_sheets({"x" * 40: spark.range(1), "x" * 35: spark.range(2)}, str(tmp_path / "book"))
+    assert len({v.rsplit("/", 1)[1] for v in out.values()}) == 2 and all(len(v.rsplit("/", 1)[1]) <= 31 for v in out.values())
+    assert tables.read_table(spark, out["x" * 35]).count() == 2
+
+
+def test_pick(spark):
+    s = spark.createDataFrame([("x", "a", "rule"), ("x", "ref", "rule"), ("y", "a", "rule")], "asr string, diar string, method string")
+    assert report.pick(s, "x", "rule").count() == 2 and report.pick(s, "x", "rule", "a").count() == 1
+    assert report.without_reference(s).count() == 2
