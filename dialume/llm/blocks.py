@@ -28,7 +28,7 @@ from .common import documents_view, new_path, partitions, small_batches
 #: Bytes of text in a block, unless a single document has more: this many times
 #: the root of the whole input's bytes, within these bounds. So there are never
 #: very many blocks to hold one passage, and rows stay small in small inputs.
-BLOCK_ROOTS, LEAST_BLOCK, MOST_BLOCK = 8, 1 << 18, 1 << 26
+BLOCK_ROOTS, LEAST_BLOCK, MOST_BLOCK = 8, 1 << 18, 1 << 24
 #: Bytes of text for which the exchanges get a partition.
 BYTES_PER_PARTITION = 16 << 20
 #: Stands for a missing identifier: later than all others.
