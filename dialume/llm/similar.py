@@ -1,0 +1,144 @@
+"""Near-duplicate documents by the Jaccard similarity of their word shingles.
+
+At similarity 0.8 SimHash fingerprints differ in about ten of 64 bits, too many
+for an index by shared bits. Candidates come instead from MinHash bands: of two
+texts with similarity 0.8 all but some three in a million share one of ``BANDS``
+keys of ``ROWS`` minima. Every link is then checked on the whole shingle sets.
+
+First each member of a bucket is held against the bucket's smallest document.
+What this links needs no further comparison, so a large group of near copies
+costs a star, not its square; pairs of a bucket that are then still apart are
+all compared.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import FEW_IDS, documents_view, materialize, partitions, salt_of
+from .components import components
+from .simhash import shingle_hashes
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 32, 5
+#: Shingles whose minima are taken at a time.
+BLOCK = 512
+_random = np.random.default_rng(42)
+FACTORS = _random.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+SHIFTS = _random.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's runs of words."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One signed number for each band's minima; none for an empty set."""
+    from xxhash import xxh64_intdigest
+
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), BLOCK):
+        np.minimum(least, (hashes[at : at + BLOCK] * FACTORS[:, None] + SHIFTS[:, None]).min(1), out=least)
+    data, size = least.tobytes(), 8 * ROWS
+    keys = [xxh64_intdigest(data[size * i : size * (i + 1)], i) for i in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; 1 for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def _sketches(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            sets = [shingle_set(x.as_py(), shingle) for x in batch.column(1).cast(pa.binary())]
+            data = [s.tobytes() for s in sets]
+            fps = np.array([xxh64_intdigest(d) for d in data], np.uint64).view(np.int64)
+            columns = [batch.column(0), pa.array(fps), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_fp", "_keys", "_set"])
+
+    return run
+
+
+def _alike(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(2), batch.column(3))
+            good = [similarity(*(np.frombuffer(x.as_py(), np.uint64) for x in p)) >= least for p in pairs]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _linked(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """Of ``pairs`` (``a, b``: sets, ``u, v``: their documents) those ``u, v`` that are alike."""
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_fp")).distinct(), "needed")
+    few = needed.count() <= FEW_IDS
+    held = rows.select("_fp", "_set").join(F.broadcast(needed) if few else needed, "_fp", "left_semi")
+    sets = materialize(held.groupBy("_fp").agg(F.first("_set").alias("_set")), "sets")
+    first = pairs.join(sets.select(F.col("_fp").alias("a"), F.col("_set").alias("x")), "a")
+    both = first.join(sets.select(F.col("_fp").alias("b"), F.col("_set").alias("y")), "b")
+    return materialize(both.select("u", "v", "x", "y").mapInArrow(_alike(least), "u long, v long"), "alike")
+
+
+def _by_bucket(members: DataFrame, *found) -> DataFrame:
+    """``members`` with aggregates of their bucket. Buckets are dealt over salts;
+    totals travel back to at most ``salts`` rows a bucket."""
+    names = [name for name, _, _ in found]
+    salted = members.withColumn("_s", salt_of(F.struct("_fp"), partitions(members.sparkSession)))
+    part = salted.groupBy("key", "_s").agg(*[f(c).alias(name) for name, f, c in found])
+    whole = part.groupBy("key").agg(*[f(name).alias(name) for name, f, _ in found])
+    whole = whole.filter(F.col(names[0]) != F.col(names[1]))
+    return salted.join(part.select("key", "_s").join(whole, "key"), ["key", "_s"]).drop("_s")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """``_id, _root``, the smallest identifier reachable over links, for every row of ``docs``.
+
+    Texts link if their sets of ``shingle`` words have a Jaccard similarity of
+    ``least`` or more; A-Z count as lower case. The bands are laid out for 0.8 and
+    above. A text of fewer words has one shingle, all of it; texts without words
+    link. Rows repeated with one identifier are rows of one document. Rows without
+    an identifier share the component of documents with their shingles, or have a
+    null one. An empty table gives no rows; further columns are ignored.
+    """
+    salts = max(16, partitions(docs.sparkSession))
+    view = documents_view(docs, id_col, text_col).select(F.col("_id").cast("long"), "_text")
+    rows = materialize(view.mapInArrow(_sketches(shingle), "_id long, _fp long, _keys array<long>, _set binary"), "sketches").withColumn("_salt", salt_of(F.struct("_id"), salts))
+    part = rows.groupBy("_fp", "_salt").agg(F.min("_id").alias("_rep"), F.first("_keys").alias("_keys"))
+    classes = materialize(part.groupBy("_fp").agg(F.min("_rep").alias("_rep"), F.first("_keys").alias("_keys")), "classes")
+    named = classes.filter("_rep is not null")
+    whole = F.struct(F.col("_rep").alias("v"), F.col("_fp").alias("b"))
+    members = _by_bucket(named.select(F.explode("_keys").alias("key"), "_fp", "_rep"), ("low", F.min, whole), ("high", F.max, whole))
+    members = materialize(members, "buckets")
+    star = members.select("low.b", "low.v", F.col("_fp").alias("a"), F.col("_rep").alias("u")).filter("a <> b").distinct()
+    star = materialize(star, "star")
+    links = _linked(star, rows, least)
+
+    # what is still apart in a bucket: every pair that the star has not compared
+    roots = components(links.select("u", "v"))
+    apart = members.select("key", "_fp", "_rep").join(roots, F.col("_rep") == F.col("node"), "left").select("key", "_fp", "_rep", F.coalesce("root", "_rep").alias("root"))
+    apart = materialize(_by_bucket(apart, ("low", F.min, "root"), ("high", F.max, "root")).select("key", "_fp", "_rep", "root"), "apart")
+    x = apart.select("key", F.col("_fp").alias("a"), F.col("_rep").alias("u"), F.col("root").alias("r"))
+    y = apart.select("key", F.col("_fp").alias("b"), F.col("_rep").alias("v"), F.col("root").alias("s"))
+    rest = x.join(y, "key").filter("r > s").select("a", "b", "u", "v").distinct()
+    done = star.select(F.least("a", "b").alias("_p"), F.greatest("a", "b").alias("_q"))
+    rest = rest.join(done, (F.least("a", "b") == F.col("_p")) & (F.greatest("a", "b") == F.col("_q")), "left_anti")
+    links = links.union(_linked(materialize(rest, "rest"), rows, least))
+
+    roots = components(links.select("u", "v"))
+    ends = classes.select("_fp", "_rep").join(roots, F.col("_rep") == F.col("node"), "left").select("_fp", F.coalesce("root", "_rep").alias("_root"))
+    back = part.select("_fp", "_salt").join(ends, "_fp")
+    return rows.select("_id", "_fp", "_salt").join(back, ["_fp", "_salt"]).select("_id", "_root")

@@ -1,0 +1,79 @@
+"""Near copies by the similarity of their word shingles against brute force."""
+
+import random
+
+import corpus_pipeline
+from dialume.llm import similar
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    k = min(5, len(w))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+
+
+def brute_roots(docs):
+    """{id: text} -> {id: smallest linked id}."""
+    sets, root = {i: shingles(t) for i, t in docs.items()}, {}
+    alike = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    for i in sorted(sets):
+        if i in root:
+            continue
+        todo, root[i] = [i], i
+        while todo:
+            a = todo.pop()
+            for b in sets:
+                if b not in root and alike(sets[a], sets[b]):
+                    root[b] = i
+                    todo.append(b)
+    return root
+
+
+def replaced(rng, text, n):
+    w = text.split(" ")
+    for at in rng.sample(range(len(w)), n):
+        w[at] = f"new{rng.randrange(10**9)}"
+    return " ".join(w)
+
+
+def corpus():
+    """Copies with words replaced, by which pairs lie on both sides of 0.8, and
+    chains whose ends are far apart."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(1500)]
+    texts = [None, "", " \n", "one", "ONE", "two words"]
+    for n, changes in ((100, (1, 2, 3, 4)), (300, (3, 6, 9)), (1000, (5, 20, 30))):
+        for _ in range(8):
+            t = " ".join(rng.choice(words) for _ in range(n))
+            texts.append(t)
+            texts += [replaced(rng, t, k) for k in changes]
+    for _ in range(12):
+        t = " ".join(rng.choice(words) for _ in range(200))
+        for _ in range(8):
+            texts.append(t)
+            t = replaced(rng, t, 3)
+    rng.shuffle(texts)
+    return dict(enumerate(texts))
+
+
+def test_components_at_similarity(spark):
+    docs = corpus()
+    df = spark.createDataFrame([(i, t, "z") for i, t in docs.items()], "doc_id long, text string, key string")
+    got = {r["_id"]: r["_root"] for r in similar.similar_documents(df).collect()}
+    want = brute_roots(docs)
+    assert got == want
+    assert 30 < len(set(want.values())) < len(docs) - 100
+    assert similar.similar_documents(df.limit(0)).count() == 0
+
+
+def test_stage_drops_near_copies(spark):
+    docs = corpus()
+    df = spark.createDataFrame([(i, t, "z") for i, t in docs.items()], "doc_id long, text string, _id string")
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    assert got == {i for i, root in brute_roots(docs).items() if i == root}
+
+
+def test_rows_without_identifier_and_repeats(spark):
+    df = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (None, "p q"), (9, "zz")], "doc_id long, text string")
+    got = sorted(((r["_id"] is None, r["_id"], r["_root"]) for r in similar.similar_documents(df).collect()), key=str)
+    assert got == sorted([(False, 4, 4), (False, 4, 4), (False, 9, 9), (True, None, 4), (True, None, None)], key=str)
