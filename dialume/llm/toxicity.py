@@ -126,19 +126,36 @@ class Model:
         return found
 
     def passages(self, words: list[str]) -> list[tuple[int, int, float]]:
-        """Segments as (first token, end, normalised score)."""
+        """Segments as (first token, end, normalised score). All occurrences of a
+        token count, however often it came before, but those that follow a counted
+        one more closely than its score reaches; these score nothing and only
+        lengthen the passage."""
         if not self.weights or not words:
             return []
         scores = list(map(self.score_of, words))
-        places, seen = [], set()
+        # a token repeated over and over speaks once until the drift has used up its score
+        places, counted, last = [], {}, {}
         for i, s in enumerate(scores):
-            if s and words[i] not in seen:  # a token repeated over and over speaks once
-                seen.add(words[i])
-                places.append(i)
+            if s:
+                at = counted.get(words[i])
+                if at is not None and DRIFT * (i - at) <= s:
+                    last[at] = i
+                else:
+                    counted[words[i]] = i
+                    places.append(i)
         if not places:
             return []
         base = math.log(K * len(words) + 1)
-        return [(a, b, self.decay * s - base) for a, b, s in segments(places, [scores[i] for i in places])]
+        found = segments(places, [scores[i] for i in places])
+        out, k = [], 0
+        for (a, b, s), (limit, *_) in zip(found, found[1:] + [(len(words), 0, 0.0)]):
+            end = b
+            while k < len(places) and places[k] < b:  # damped repeats belong to their token's passage
+                if places[k] >= a:
+                    end = max(end, last.get(places[k], -1) + 1)
+                k += 1
+            out.append((a, min(end, limit), self.decay * s - base))
+        return out
 
     def evidence(self, found: list[tuple[int, int, float]]) -> tuple[float, float]:
         """The best normalised score, and the sum over significant segments."""

@@ -1,5 +1,6 @@
 """The two classifiers: their parts against brute force, and held-out accuracy."""
 
+import math
 import random
 
 import numpy as np
@@ -76,6 +77,26 @@ def test_held_out(spark):
     assert toxicity.score(d.limit(0), model).count() == 0 and quality.score(d.limit(0), net).count() == 0
 
 
+def test_passages_of_tokens_that_came_before():
+    bad = ["aaaa", "bbbb", "cccc", "dddd"]
+    model = toxicity.Model({w: 5.0 for w in bad}, 1.62, (-6.0, 2.0, 2.0))
+    spans = lambda words: [(a, b) for a, b, s in model.passages(words) if s >= -math.log(toxicity.SIGNIFICANT)]
+    clean = ["x"] * 1000
+    twice = model.passages(clean + bad + clean + bad + clean)
+    assert [(a, b) for a, b, _ in twice] == [(1000, 1004), (2004, 2008)] and twice[0][2] == twice[1][2]
+    assert spans(clean + bad + clean + bad + clean) == [(1000, 1004), (2004, 2008)]
+    # single mentions, far apart, before a dense passage take nothing from it
+    mentions = [w for b in bad for w in clean + [b]]
+    assert spans(mentions + clean + bad + clean) == [(5004, 5008)]
+    alone = model.evidence(model.passages(clean * 6 + bad + ["x"] * 4))
+    assert np.allclose(model.evidence(model.passages(mentions + clean + bad + clean)), alone)
+    # a repeat close by scores nothing more and belongs to the passage
+    [(a, b, s)] = model.passages(clean + bad + ["x"] * 3 + bad + clean)
+    [(_, _, once)] = model.passages(clean + bad + ["x"] * 7 + clean)
+    assert (a, b) == (1000, 1011) and s == once
+    assert len(model.passages(bad[:1] * 15)) == 1
+
+
 def test_without_labels_of_both_kinds():
     assert toxicity.fit([]).probability((0.0, 0.0)) < 0.01
     assert toxicity.fit([("a b", 1)]).probability((0.0, 0.0)) > 0.99
