@@ -119,7 +119,7 @@ def join_benchmark(rows: DataFrame, bench: DataFrame, on: list[str], small: bool
     if small:
         return rows.join(F.broadcast(bench), on)
     salted = bench.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_s", salt_of(F.struct("_id", "p"), SALTS)).join(salted, [*on, "_s"]).drop("_s")
+    return rows.withColumn("_s", salt_of(F.struct("_row", "p"), SALTS)).join(salted, [*on, "_s"]).drop("_s")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -129,8 +129,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     word is hit if it lies in any occurrence of a benchmark window. Null and
     empty texts have no words; an empty benchmark hits nothing; an empty table
     gives no rows. Items without an identifier hit words but are not listed;
-    items that share one are one item. Rows that share an identifier pool their
-    hits; rows without one count as sharing one. Further columns are ignored.
+    items that share one are one item. Rows are judged one by one, whatever
+    their identifiers: repeated ones and rows without one have their own counts.
+    Further columns are ignored.
     """
     windows = materialize(windows_of(items, item_col, item_text), "windows")
     prints = fingerprints_of(windows)
@@ -143,16 +144,23 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         view = view.withColumn(f"h{k}", _grams(F.col("w"), k))
     found = [_candidates(n, bits, size) for n in lengths]
     none = F.array().cast("array<struct<n:int,p:int,h:long,first:int,near:array<string>>>")
-    seen = materialize(view.select("_id", F.size("w").cast("long").alias("n_words"), F.concat(none, *found).alias("found")), "winnowed")
-    near = seen.select("_id", F.inline("found"))
+    counted = view.select("_id", F.size("w").cast("long").alias("n_words"), F.concat(none, *found).alias("found"))
+    seen = materialize(counted.withColumn("_row", F.monotonically_increasing_id()), "winnowed")
+    near = seen.select("_row", F.inline("found"))
     joined = join_benchmark(near, prints, ["n", "h"], small)
     start = F.col("p") - F.col("q")
-    held = joined.filter((start >= F.col("first")) & (F.array_join(F.slice("near", start - F.col("first") + 1, F.col("n")), " ") == F.col("win")))
-    hits = materialize(held.select("_id", start.alias("p"), "n", "win").distinct(), "hits")
-    before = W.partitionBy("_id").orderBy("p", "n").rowsBetween(W.unboundedPreceding, -1)
-    spans = hits.select("_id", "p", "n").distinct().withColumn("end", F.col("p") + F.col("n")).withColumn("done", F.coalesce(F.max("end").over(before), F.lit(0)))
-    words = spans.groupBy("_id").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("p", "done"))).alias("n_hit"))
-    listed = join_benchmark(hits.select("_id", "n", "win", F.lit(0).alias("p")).distinct(), windows.filter("item is not null"), ["n", "win"], small)
-    items_ = listed.groupBy("_id", "item").agg(F.lit(1)).groupBy("_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    hit = words.join(items_, words["_id"].eqNullSafe(items_["_id"]), "left").select(words["_id"].alias("_hit_id"), "n_hit", "items")
-    return seen.select("_id", "n_words").join(hit, F.col("_id").eqNullSafe(F.col("_hit_id")), "left").select("_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    same = F.array_join(F.slice("near", start - F.col("first") + 1, F.col("n")), " ") == F.col("win")
+    held = joined.filter((start >= F.col("first")) & same)
+    hits = materialize(held.select("_row", start.alias("p"), "n", "win").distinct(), "hits")
+    before = W.partitionBy("_row").orderBy("p", "n").rowsBetween(W.unboundedPreceding, -1)
+    spans = hits.select("_row", "p", "n").distinct().withColumn("end", F.col("p") + F.col("n"))
+    spans = spans.withColumn("done", F.coalesce(F.max("end").over(before), F.lit(0)))
+    fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("p", "done"))
+    words = spans.groupBy("_row").agg(F.sum(fresh).alias("n_hit"))
+    asked = hits.select("_row", "n", "win", F.lit(0).alias("p")).distinct()
+    listed = join_benchmark(asked, windows.filter("item is not null"), ["n", "win"], small)
+    items_ = listed.groupBy("_row", "item").agg(F.lit(1)).groupBy("_row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    hit = words.join(items_, "_row", "left")
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit")
+    listed_items = F.coalesce("items", F.array().cast("array<string>")).alias("items")
+    return seen.select("_row", "_id", "n_words").join(hit, "_row", "left").select("_id", "n_words", n_hit, listed_items)

@@ -69,3 +69,12 @@ def test_empty(spark):
     assert [(r["n_words"], r["n_hit"]) for r in decontam.contamination(d, b.limit(0)).orderBy("_id").collect()] == [(2, 0), (3, 0)]
     assert decontam.contamination(d.limit(0), b).count() == 0
     assert [(r["n_words"], r["n_hit"]) for r in decontam.contamination(d, b).orderBy("_id").collect()] == [(2, 2), (3, 2)]
+
+
+def test_rows_of_one_identifier_are_judged_apart(spark):
+    nine = "a b c d e f g h i"
+    rows = [(1, nine), (1, "zz"), (None, nine), (None, "zz"), (2, nine + " " + nine)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([("x", nine)], "item_id string, text string")
+    got = sorted((str(r["_id"]), r["n_words"], r["n_hit"]) for r in decontam.contamination(d, b).collect())
+    assert got == [("1", 1, 0), ("1", 9, 9), ("2", 18, 18), ("None", 1, 0), ("None", 9, 9)]
