@@ -52,6 +52,11 @@ def test_special_strings():
         assert packing.encoder(PATH)(t) == TOKENIZER.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "a" * 1_000_000, "\n" * 300_000 + "x", "\t \n" * 100_000 + "y", "1" * 200_000, "中文" * 50_000], ids=len)
+def test_very_long_runs(text):
+    assert packing.encoder(PATH)(text) == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
 def test_other_tokenizers_run_in_their_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     assert packing.encoder(path)("Hello there") == Tokenizer.from_file(path).encode("Hello there", add_special_tokens=False).ids
