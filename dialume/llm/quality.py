@@ -24,8 +24,8 @@ from .training import labelled_sample
 
 CHUNK, WIDTH, STRIDE, FILTERS, LAGS = 128, 4, 2, 16, 32
 HALF = CHUNK // 2
-#: Documents to fit on (at most), passes over them, documents in a step.
-SAMPLE, EPOCHS, STEP = 3000, 4, 16
+#: Documents to fit on and bytes of their texts (at most), passes over them, documents in a step.
+SAMPLE, SAMPLE_BYTES, EPOCHS, STEP = 3000, 16 << 20, 4, 16
 #: Bytes laid out at once when scoring.
 BUDGET = 1 << 20
 
@@ -191,4 +191,4 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 
 def fit_on(docs: DataFrame, labels: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Network:
     """A network from the labels (column ``quality``) for which ``keep`` holds."""
-    return fit(labelled_sample(docs, labels, "quality", keep, id_col, text_col, sample))
+    return fit(labelled_sample(docs, labels, "quality", keep, id_col, text_col, sample, SAMPLE_BYTES))

@@ -37,8 +37,8 @@ PRIOR, LEAST_Z, LEAST_DOCS = 1000.0, 3.0, 3
 #: Least prior count of a feature in clean documents, least log-odds of a weight.
 LEAST_PRIOR, LEAST_ODDS = 0.3, 1.5
 DRIFT, K, SIGNIFICANT = 0.25, 0.1, 0.05
-#: Features that a model may hold, by z; token scores that a worker remembers.
-MOST_FEATURES, MEMO = 50_000, 200_000
+#: Token scores that a worker remembers.
+MEMO = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -85,28 +85,32 @@ def log_odds(docs: list[tuple[str, int]]) -> dict[str, float]:
         if z >= LEAST_Z and odds >= LEAST_ODDS:
             found.append((z, f, odds))
     found.sort(reverse=True)
-    return {f: odds for _, f, odds in found[:MOST_FEATURES]}
+    return {f: odds for _, f, odds in found}
 
 
 def segments(places: list[int], scores: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (Ruzzo and Tompa) as (first, end, score), from
-    the tokens of positive score alone: the others cost ``drift`` each."""
-    out: list[list] = []  # first, end, sum before, sum after
+    the tokens of positive score alone: the others cost ``drift`` each. Every
+    segment holds on to the last one before it whose left sum is smaller; a search
+    goes along these and never over the same ones twice, so time is linear."""
+    out: list[list] = []  # first, end, sum before, sum after, place in ``out`` of the smaller left sum
     total, last = 0.0, 0
     for at, score in zip(places, scores):
         total -= drift * (at - last)
         left, total, last = total, total + score, at + 1
-        item = [at, at + 1, left, total]
+        item = [at, at + 1, left, total, -1]
+        j = len(out) - 1
         while True:
-            j = len(out) - 1
             while j >= 0 and out[j][2] >= item[2]:
-                j -= 1
+                j = out[j][4]
             if j < 0 or out[j][3] >= item[3]:
+                item[4] = j
                 out.append(item)
                 break
-            item = [out[j][0], item[1], out[j][2], item[3]]
+            item, smaller = [out[j][0], item[1], out[j][2], item[3], -1], out[j][4]
             del out[j:]
-    return [(a, b, r - l) for a, b, l, r in out]
+            j = smaller
+    return [(x[0], x[1], x[3] - x[2]) for x in out]
 
 
 @dataclass
