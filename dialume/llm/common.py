@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session; only where that is unset (tests), a folder of our own."""
+    the session; only where that is unset and driver and executors are one
+    process (tests), a folder of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         at = "file://" + tempfile.mkdtemp(prefix="dialume-")
@@ -73,15 +76,27 @@ def documents_view(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
 
-#: Identifiers that may go to every executor (8 bytes each).
+def mark(text: Column) -> Column:
+    """The first 8 bytes of the SHA-256 of a text (null counts as empty): with the
+    identifier, a name for a row."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 8)
+
+
+def row_key(id_: Column, text: Column) -> Column:
+    return F.struct(id_.alias("id"), mark(text).alias("mark"))
+
+
+#: Names of rows that may go to every executor (some 50 bytes each).
 FEW_IDS = 250_000
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose identifier is in ``ids`` (column ``_id``).
-    A counted, short list goes to every executor and the texts stay where they
-    are; a longer one is joined by exchange."""
-    gone = materialize(ids.select("_id").filter("_id is not null").distinct(), "gone")
-    few = gone.count() <= FEW_IDS
-    named = gone.withColumnRenamed("_id", "_gone_id")
-    return docs.join(F.broadcast(named) if few else named, docs[id_col] == named["_gone_id"], "left_anti")
+def without(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows named in ``rows`` (column ``_key``, see
+    ``row_key``): rows of that identifier, null or not, with that text. A counted,
+    short list goes to every executor and the texts stay where they are; a longer
+    one is joined by exchange."""
+    gone = materialize(rows.select("_key.id", "_key.mark").distinct(), "gone")
+    named = gone.select(F.col("id").alias("_gone_id"), F.col("mark").alias("_gone_mark"))
+    named = F.broadcast(named) if gone.count() <= FEW_IDS else named
+    same = docs[id_col].eqNullSafe(F.col("_gone_id")) & (mark(docs[text_col]) == F.col("_gone_mark"))
+    return docs.join(named, same, "left_anti")

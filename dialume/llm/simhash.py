@@ -11,10 +11,15 @@ A bucket of more than ``LARGE`` fingerprints is dealt again by two of four
 8-bit parts of its other bits; then 16 bits are left, so no bucket can hold more
 than 65,536 fingerprints, and none of them has more than 136 partners.
 Copies share a fingerprint and are searched once.
+
+``similar_documents`` links by similarity: wider fingerprints, a radius that
+stands for a Jaccard similarity, and buckets by sampled shingles, searched by the
+same index.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import mix
 from .common import documents_view, materialize, partitions, salt_of
 from .components import components
 from .rlz import SPACES
@@ -31,6 +37,14 @@ U = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SHINGLE, SEED, BITS = 3, 42, 2
+#: The similarity mode: words in a shingle, Jaccard similarity of a link.
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Its fingerprints' 64-bit words, sampled shingles that buckets are named by at
+#: each level, and rows of a bucket from which on it is dealt again.
+WORDS, SAMPLED, CROWDED = 8, (8, 2, 2), 4096
+_random = np.random.default_rng(42)
+LANES = _random.integers(0, 2**64, WORDS, dtype=np.uint64) | np.uint64(1)
+SAMPLERS = _random.integers(0, 2**64, sum(SAMPLED), dtype=np.uint64)
 LARGE, FAN = 2048, 16
 #: Bit masks of two of four 16-bit parts.
 PAIRS = [(0xFFFF << 16 * a) | (0xFFFF << 16 * b) for a, b in combinations(range(4), 2)]
@@ -93,11 +107,11 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 def gray_index(fps: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """The order by Gray rank and, from the leaves up, each level's shared bits
-    (mask, pattern)."""
-    order = np.argsort(gray_rank(fps))
+    """The order by Gray rank (of a fingerprint's first word) and, from the leaves
+    up, each level's shared bits (mask, pattern). One row a fingerprint."""
+    order = np.argsort(gray_rank(fps[:, 0]), kind="stable")
     ones = zeros = fps[order]
-    levels = [(np.full(len(fps), ~U(0)), ones)]
+    levels = [(np.full(ones.shape, ~U(0)), ones)]
     while len(ones) > FAN:
         cut = np.arange(0, len(ones), FAN)
         ones, zeros = np.bitwise_or.reduceat(ones, cut), np.bitwise_and.reduceat(zeros, cut)
@@ -105,27 +119,36 @@ def gray_index(fps: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.n
     return order, levels
 
 
-def close_pairs(fps: np.ndarray, bits: int = BITS, block: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (a, b) of distinct fingerprints that differ in at most ``bits`` bits."""
+#: Words of fingerprints that a search lays out at once.
+LAID_OUT = 1 << 22
+
+
+def close_pairs(fps: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of fingerprints (rows of 64-bit words, or single words) that
+    differ in at most ``bits`` bits."""
+    fps = fps.reshape(len(fps), -1)
     order, levels = gray_index(fps)
-    sorted_fps = fps[order]
+    sorted_fps, n_words = fps[order], fps.shape[1]
+    block = max(1, min(4096, LAID_OUT // (len(fps) * n_words + 1)))
     for at in range(0, len(fps), block):
         query = sorted_fps[at : at + block]
         top = len(levels) - 1
         width = len(levels[top][0])
         q, node = np.repeat(np.arange(len(query)), width), np.tile(np.arange(width), len(query))
-        above, sum_ = np.zeros(len(q), np.uint64), np.zeros(len(q), np.int64)
+        above, sum_ = np.zeros((len(q), n_words), np.uint64), np.zeros(len(q), np.int64)
         for depth in range(top, -1, -1):
             mask, pattern = levels[depth]
-            sum_ = sum_ + np.bitwise_count((query[q] ^ pattern[node]) & mask[node] & ~above)
+            sum_ = sum_ + np.bitwise_count((query[q] ^ pattern[node]) & mask[node] & ~above).sum(1, dtype=np.int64)
             keep = sum_ <= bits
             q, node, sum_ = q[keep], node[keep], sum_[keep]
             if depth:
-                above = mask[node]
                 first = node * FAN
                 n = np.minimum(FAN, len(levels[depth - 1][0]) - first)
                 shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                q, node, sum_, above = np.repeat(q, n), np.repeat(first, n) + shift, np.repeat(sum_, n), np.repeat(above, n)
+                above = np.repeat(mask[node], n, axis=0)
+                q, node, sum_ = np.repeat(q, n), np.repeat(first, n) + shift, np.repeat(sum_, n)
+                ahead = node * FAN ** (depth - 1) + FAN ** (depth - 1) > q + at  # pairs are met from their first member
+                q, node, sum_, above = q[ahead], node[ahead], sum_[ahead], above[ahead]
         some = node > q + at
         yield order[q[some] + at], order[node[some]]
 
@@ -202,8 +225,6 @@ def _links(last: bool):
 
 def _key(key: np.ndarray, fp: np.ndarray, masks: np.ndarray) -> np.ndarray:
     """A number for the shared bits of a first and a second choice of parts."""
-    from .blocks import mix
-
     chosen = np.broadcast_to(np.arange(6, dtype=np.uint64), masks.shape)
     return (mix(mix(key.view(np.uint64)[:, None] ^ (chosen << U(40))) ^ (fp[:, None] & masks))).ravel()
 
@@ -257,5 +278,189 @@ def _pack32(k, i):
     return out.bitwiseOR(F.shiftleft(i.cast("long"), 32))
 
 
+# links by similarity ---------------------------------------------------------
+
+
+def radius(least: float, n_words: int = WORDS) -> int:
+    """Bits in which the fingerprints of two sets of that Jaccard similarity are
+    expected to differ (sets of one size, whose cosine is 2 J / (1 + J))."""
+    return int(round(64 * n_words * math.acos(2 * least / (1 + least)) / math.pi))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """``WORDS`` words of SimHash over a set of shingles: each word by hashes of its own."""
+    if not len(hashes):
+        return np.zeros(WORDS, np.uint64)
+    counts = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        lanes = mix(hashes[at : at + (1 << 14), None] * LANES)
+        counts += np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def sampled(hashes: np.ndarray) -> np.ndarray:
+    """For each sampler the shingle that it ranks first: two sets agree on it with
+    a probability of their Jaccard similarity."""
+    if not len(hashes):
+        return np.zeros(len(SAMPLERS), np.uint64)
+    return np.array([mix(hashes ^ s).min() for s in SAMPLERS], np.uint64)
+
+
+def _sketches(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x.as_py(), shingle)) for x in batch.column(1).cast(pa.binary())]
+            fps = [wide_fingerprint(s).tobytes() for s in sets]
+            keys = [sampled(s).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(keys, pa.binary())], names=["_id", "_fp", "_sampled"])
+
+    return run
+
+
+MEMBER_SCHEMA = "key long, rep long, fp binary, sampled binary"
+NEAR_SCHEMA = "kind int, a long, b long, key long, fp binary, sampled binary"
+
+
+def _deal(level: int, key: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Names of a row's buckets on a level: the bucket that it comes from and one
+    more sampled shingle."""
+    first = sum(SAMPLED[:level])
+    own = keys[:, first : first + SAMPLED[level]]
+    chosen = np.arange(SAMPLED[level], dtype=np.uint64) + U(1)
+    return mix(mix(key.view(np.uint64)[:, None] + chosen * U(0x9E3779B97F4A7C15)) ^ own).view(np.int64)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes (rep, fingerprint, samples) in their buckets of the first level."""
+    for batch in batches:
+        keys = _matrix(batch.column(2), len(SAMPLERS))
+        key = _deal(0, np.zeros(len(keys), np.int64), keys)
+        rows = pa.array(np.repeat(np.arange(len(keys)), SAMPLED[0]))
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *[batch.column(j).take(rows) for j in range(3)]], names=["key", "rep", "fp", "sampled"])
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, width)
+
+
+def similar_forest(fps: np.ndarray, bits: int, pivots: int = 8) -> np.ndarray:
+    """The smallest place that links of at most ``bits`` bits reach, for each
+    fingerprint. What one of the first few fingerprints is linked to needs no
+    comparison among itself; all other pairs go through the index."""
+    label = np.arange(len(fps))
+    for p in range(min(pivots, len(fps))):
+        near = np.flatnonzero(np.bitwise_count(fps ^ fps[p]).sum(1) <= bits)
+        label = forest(len(fps), np.full(len(near), p), near, label)
+    sizes = np.bincount(label, minlength=len(fps))
+    star = label == sizes.argmax()
+    rest = np.flatnonzero(~star)
+    if len(rest) * 4 > len(fps):
+        for a, b in close_pairs(fps, bits):
+            label = forest(len(fps), a, b, label)
+        return label
+    whole = np.flatnonzero(star)
+    for i in rest.tolist():  # few: each against the large group, then among themselves
+        if np.bitwise_count(fps[whole] ^ fps[i]).sum(1).min() <= bits:
+            label = forest(len(fps), np.array([i]), whole[:1], label)
+    if len(rest) > 1:
+        for a, b in close_pairs(fps[rest], bits):
+            label = forest(len(fps), rest[a], rest[b], label)
+    return label
+
+
+def _near(level: int, bits: int):
+    """From rows sorted by bucket: links within a bucket (kind 0); rows of a
+    crowded one, but on the last level, are dealt again (kind 1)."""
+    last = level == len(SAMPLED) - 1
+
+    def out(kind: int, a: np.ndarray, b: np.ndarray, key: np.ndarray | None = None, fp=None, keys=None) -> pa.RecordBatch:
+        n = len(a)
+        none = pa.nulls(n, pa.binary())
+        columns = [pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b), pa.array(np.zeros(n, np.int64) if key is None else key), fp or none, keys or none]
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "a", "b", "key", "fp", "sampled"])
+
+    def again(part: pa.RecordBatch) -> pa.RecordBatch:
+        key = _deal(level + 1, part.column(0).to_numpy(), _matrix(part.column(3), len(SAMPLERS)))
+        rows = pa.array(np.repeat(np.arange(part.num_rows), SAMPLED[level + 1]))
+        rep = part.column(1).take(rows).to_numpy()
+        return out(1, rep, rep, key.ravel(), part.column(2).take(rows), part.column(3).take(rows))
+
+    def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rep = np.concatenate([p.column(1).to_numpy() for p in parts])
+        if len(rep) < 2:
+            return
+        fps = np.concatenate([_matrix(p.column(2), WORDS) for p in parts])
+        order = np.argsort(rep, kind="stable")
+        rep = rep[order]
+        label = similar_forest(fps[order], bits)
+        linked = np.flatnonzero(label != np.arange(len(rep)))
+        if len(linked):
+            yield out(0, rep[linked], rep[label[linked]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = crowded = None
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                part = batch.slice(s, e - s)
+                if held and now != key[s]:
+                    yield from solve(held)
+                    held = []
+                now = key[s]
+                if now == crowded:
+                    yield again(part)
+                    continue
+                held.append(part)
+                if not last and sum(p.num_rows for p in held) > CROWDED:
+                    crowded = now
+                    yield from map(again, held)
+                    held = []
+        if held:
+            yield from solve(held)
+
+    return run
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """``_id`` and ``_root``, the smallest identifier reachable over links, for
+    every row of ``docs``.
+
+    Texts link if their SimHash fingerprints of ``64 * WORDS`` bits, over the sets
+    of their runs of ``shingle`` words, differ in no more bits than those of two
+    sets of Jaccard similarity ``least`` are expected to (``radius``). Two bits of
+    64 stand for far more than 0.8, and a radius that reaches 0.8 leaves no bits
+    that the two surely share; so documents meet in buckets named by a sampled
+    shingle (two texts of similarity 0.8 miss each other in all of them once in
+    100,000 times), and a bucket is searched by the Gray-order index. A crowded
+    bucket is dealt again by further samples.
+
+    A-Z count as lower case. A text of fewer words has one shingle, all of it;
+    texts without words link. Rows repeated with one identifier are rows of one
+    document. Rows without an identifier share the component of documents with
+    their fingerprint, or have a null one. An empty table gives no rows; further
+    columns are ignored.
+    """
+    salts, bits = max(16, partitions(docs.sparkSession)), radius(least)
+    view = documents_view(docs, id_col, text_col).select(F.col("_id").cast("long"), "_text")
+    rows = materialize(view.mapInArrow(_sketches(shingle), "_id long, _fp binary, _sampled binary"), "sketches").withColumn("_salt", salt_of(F.struct("_id"), salts))
+    part = rows.groupBy("_fp", "_salt").agg(F.min("_id").alias("_rep"), F.min("_sampled").alias("_sampled"))
+    classes = materialize(part.groupBy("_fp").agg(F.min("_rep").alias("_rep"), F.min("_sampled").alias("_sampled")), "classes")
+    members = classes.filter("_rep is not null").select("_rep", "_fp", "_sampled").mapInArrow(_members, MEMBER_SCHEMA)
+    links = None
+    for level in range(len(SAMPLED)):
+        found = materialize(members.repartition("key").sortWithinPartitions("key").mapInArrow(_near(level, bits), NEAR_SCHEMA), "links")
+        these = found.filter("kind = 0").select("a", "b")
+        links = these if links is None else links.union(these)
+        members = found.filter("kind = 1").select("key", F.col("a").alias("rep"), "fp", "sampled")
+        if members.isEmpty():
+            break
+    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    named = classes.join(roots, F.col("_rep") == F.col("node"), "left").select("_fp", F.coalesce("root", "_rep").alias("_root"))
+    back = part.select("_fp", "_salt").join(named, "_fp")
+    return rows.select("_id", "_fp", "_salt").join(back, ["_fp", "_salt"]).select("_id", "_root")
+
+
 def hex64(col):
     return F.lpad(F.lower(F.hex(col)), 16, "0")

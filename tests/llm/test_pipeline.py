@@ -6,10 +6,10 @@ import zlib
 
 import pytest
 from test_decontam import brute as contaminated
-from test_simhash import brute_fingerprint, brute_roots
+from test_simhash import brute_similar
 
 import corpus_pipeline
-from dialume.llm import packing, toxicity
+from dialume.llm import packing, simhash, toxicity
 from dialume.llm.queries import TOXIC, tokenizer_path
 
 
@@ -32,7 +32,7 @@ def corpus():
             t = " ".join(w)
         elif kind < 0.5:
             a, b = rng.sample(items, 2)
-            t += " " + a[1] + " " + prose(3) + " " + b[1].upper()
+            t += " " + a[1] + " " + prose(3) + (" " + b[1].upper() if kind < 0.45 else " just one item")
         docs.append((i, t))
         if not bad:
             clean.append(t)
@@ -90,14 +90,15 @@ def test_stages(spark, sf_dir):
     # 3
     before = got
     frame, got = stage(2)
-    roots = brute_roots({i: brute_fingerprint(t) for i, t in before if i is not None})
+    roots = brute_similar([(i, t) for i, t in before if i is not None], simhash.radius(0.8))
     assert key(got) == key([(i, t) for i, t in before if i is None or roots[i] == i])
     assert len(got) < len(before)
     # 4
     before = got
     frame, got = stage(3)
-    hits = {i: found for i, _, _, found in contaminated(before, items)}
-    assert key(got) == key([(i, t) for i, t in before if len(hits[i]) < 2])
+    hit = [bool(found) for *_, found in contaminated(before, items)]
+    assert key(got) == key([d for d, h in zip(before, hit) if not h])
+    assert not {i for i, t in got if t and "just one item" in t} and {i for i, t in before if t and "just one item" in t}
     assert len(got) < len(before)
     # 5
     out = corpus_pipeline.STAGES[4][1](spark, frame, sf_dir).collect()
@@ -109,6 +110,18 @@ def test_stages(spark, sf_dir):
     assert have == want
 
 
+def test_rows_that_share_an_identifier_or_have_none(spark, sf_dir):
+    """Exact dedup and decontamination name rows by identifier and text."""
+    item = corpus()[2][0][1]
+    rows = [(5, "text one here"), (5, "text two here"), (9, "text two here"), (None, "text two here"), (None, item), (None, "alone"), (7, item), (7, "clean one"), (8, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.drop_copies(spark, docs, sf_dir)
+    got = [(r[0], r[1] or "") for r in left.collect()]
+    assert sorted(got, key=str) == sorted([(5, "text one here"), (9, "text two here"), (None, "alone"), (7, item), (7, "clean one"), (8, "")], key=str)
+    left = corpus_pipeline.drop_contaminated(spark, docs, sf_dir)
+    assert key([(r[0], r[1]) for r in left.collect()]) == key([r for r in rows if r[1] != item])
+
+
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "piece", "length", "sequence_id", "offset"} <= set(out.columns)
