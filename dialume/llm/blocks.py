@@ -15,6 +15,8 @@ A window can only repeat if its anchor's k-gram occurs in two documents.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +30,7 @@ from .common import documents_view, new_path, partitions, small_batches
 #: Bytes of text in a block, unless a single document has more: this many times
 #: the root of the whole input's bytes, within these bounds. So there are never
 #: very many blocks to hold one passage, and rows stay small in small inputs.
-BLOCK_ROOTS, LEAST_BLOCK, MOST_BLOCK = 8, 1 << 18, 1 << 24
+BLOCK_ROOTS, LEAST_BLOCK, MOST_BLOCK = 8, 1 << 20, 1 << 24
 #: Bytes of text for which the exchanges get a partition.
 BYTES_PER_PARTITION = 16 << 20
 #: Stands for a missing identifier: later than all others.
@@ -95,11 +97,23 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     view = documents_view(docs, id_col, text_col).select(F.col("_id").cast("long"), "_text")
     total = view.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
     most = int(min(MOST_BLOCK, max(LEAST_BLOCK, BLOCK_ROOTS * total**0.5)))
-    path = new_path(spark, "blocks")
-    name = "dialume_blocks_" + path.rpartition("-")[2]
-    packed = view.mapInArrow(lambda batches: _pack(batches, most), BLOCK_SCHEMA)
+    return by_block(view.mapInArrow(lambda batches: _pack(batches, most), BLOCK_SCHEMA), "blocks")
+
+
+def by_block(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets of blocks: tables written so
+    are joined where they lie. The catalog's entry goes when the driver ends."""
+    spark = df.sparkSession
+    path = new_path(spark, what)
+    name = f"dialume_{what}_" + path.rpartition("-")[2]
     with small_batches(spark):
-        packed.write.option("path", path).option("compression", "uncompressed").bucketBy(partitions(spark), "block").sortBy("block").saveAsTable(name)
+        df.write.option("path", path).option("compression", "uncompressed").bucketBy(partitions(spark), "block").sortBy("block").saveAsTable(name)
+
+    def forget() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    atexit.register(forget)
     return spark.table(name)
 
 
@@ -121,11 +135,24 @@ def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
             yield Block(row["block"].as_py(), np.frombuffer(row["ids"].as_py(), "<i8"), np.frombuffer(row["lens"].as_py(), "<i8"), np.frombuffer(raw, np.uint8), bodies)
 
 
-def answered(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Blocks with what the exchanges found out for them; each gets at most as
-    many entries as it asked."""
-    found = answers.groupBy("block").agg(F.collect_list(F.struct("kind", "body")).alias("answers"))
-    return blocks.join(found, "block", "left")
+def gathered(answers: DataFrame) -> DataFrame:
+    """What the exchanges found out for each block, as one row; each gets at most
+    as many entries as it asked."""
+    return answers.groupBy("block").agg(F.collect_list(F.struct("kind", "body")).alias("answers"))
+
+
+def settled(answers: DataFrame, what: str) -> DataFrame:
+    """``gathered`` answers, exchanged once and kept in buckets of blocks."""
+    return by_block(gathered(answers), what)
+
+
+def answered(blocks: DataFrame, *found: DataFrame) -> DataFrame:
+    """Blocks with all their answers."""
+    none = F.array().cast("array<struct<kind:int,body:binary>>")
+    for i, rows in enumerate(found):
+        blocks = blocks.join(rows.withColumnRenamed("answers", f"answers{i}"), "block", "left")
+    names = [f"answers{i}" for i in range(len(found))]
+    return blocks.withColumn("answers", F.concat(*[F.coalesce(n, none) for n in names])).drop(*names)
 
 
 # hashing and sampling ------------------------------------------------------
@@ -261,13 +288,14 @@ def anchors_out(key: int, anchors: np.ndarray, buckets: int) -> pa.RecordBatch:
 
 
 def shared_among(hot_blocks: int):
-    """Tells each block which of its hashes other blocks hold: kind 0, or kind 1
-    if more than ``hot_blocks`` do."""
+    """Tells each block which of its hashes other blocks hold: kind 0, or, if more
+    than ``hot_blocks`` do, kind -1 less the number of the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sizes, bodies = [], [], []
+        keys, sizes, bodies, bucket = [], [], [], None
         for batch in batches:
             keys += batch.column(1).to_pylist()
+            bucket = batch.column(0)[0].as_py() if batch.num_rows else bucket
             for x in batch.column(2):
                 body = _from_bytes(x.as_py())
                 bodies.append(body)
@@ -281,7 +309,8 @@ def shared_among(hot_blocks: int):
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         counts = np.diff(np.r_[first, len(s)])
         n = np.repeat(counts, counts)
-        for kind, held in enumerate(((n > 1) & (n <= hot_blocks), n > hot_blocks)):
+        # a partition holds one bucket (repartitionById)
+        for kind, held in ((0, (n > 1) & (n <= hot_blocks)), (-1 - bucket, n > hot_blocks)):
             at = order[held]
             yield from by_owner(owner[at], keys, kind, _bytes(h[at]))
 
@@ -298,8 +327,17 @@ def by_owner(owner: np.ndarray, keys: list[int], kind: int, values: np.ndarray)
         yield _batch(RESPONSE_SCHEMA, rows[i : i + 1000])
 
 
-def flagged(block: Block, anchors: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted brief hashes that repeat across documents, and those of them that are hot."""
-    read = lambda kind: np.concatenate([_from_bytes(b) for b in block.bodies.get(kind, [])] or [np.zeros(0, np.uint64)])
-    hot = np.unique(read(1))
-    return np.unique(np.concatenate([brief(shared_here(anchors, doc, block.ids)), read(0), hot])), hot
+def flagged(block: Block, anchors: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted brief hashes that repeat across documents, and which of ``anchors``
+    are hot. Hot ones are told apart by bucket and brief hash, as their blocks were
+    counted; a chance match among the others only costs a closer look."""
+    found = [brief(shared_here(anchors, doc, block.ids)), *[_from_bytes(b) for b in block.bodies.get(0, [])]]
+    is_hot = np.zeros(len(anchors), bool)
+    told = [(-1 - kind, _from_bytes(b)) for kind, bodies in block.bodies.items() if kind < 0 for b in bodies]
+    if told:
+        bucket = place(anchors, width)
+        for b, hashes in told:
+            mine = np.flatnonzero(bucket == b)
+            is_hot[mine] |= isin(brief(anchors[mine]), np.unique(hashes))
+            found.append(hashes)
+    return np.unique(np.concatenate(found)), is_hot

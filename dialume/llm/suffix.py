@@ -109,13 +109,13 @@ class Segments:
         self.anchor, self.hash = place[of], hash_[of]
         self.block, self.window, self.gram = block, window, gram
 
-    def select(self) -> None:
+    def select(self, width: int) -> None:
         """Keeps what may repeat and numbers the distinct segments, in an order
         that only the block and the answers decide."""
-        some, hot = B.flagged(self.block, self.hash, self.doc)
+        some, hot = B.flagged(self.block, self.hash, self.doc, width)
         keep = np.flatnonzero(B.isin(B.brief(self.hash), some))
         start, count, anchor, doc, gram = (x[keep] for x in (self.start, self.count, self.anchor, self.doc, self.hash))
-        is_hot = B.isin(B.brief(gram), hot)
+        is_hot = hot[keep]
         if is_hot.any():  # single windows
             n = np.where(is_hot, count, 1)
             shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -276,34 +276,34 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield B.anchors_out(block.key, Segments(block, window).hash, width)
 
     shared = packed.mapInArrow(ask_anchors, B.ANCHOR_SCHEMA).repartitionById(width, "bucket").mapInArrow(B.shared_among(hot_blocks), B.RESPONSE_SCHEMA)
-    shared = materialize(shared, "shared")
+    shared = B.settled(shared, "shared")
 
     def ask_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.unpack(batches):
             g = Segments(block, window)
-            g.select()
+            g.select(width)
             yield B._batch(DIGEST_SCHEMA, _dealt(B.place(g.u_gram, width), lambda i: (block.key, i.astype("<u4").tobytes(), g.u_gram[i].tobytes(), g.u_text[i].tobytes(), g.u_id[i].tobytes())))
 
     told = B.answered(packed, shared).mapInArrow(ask_digests, DIGEST_SCHEMA).repartitionById(width, "bucket").mapInArrow(_compare, B.RESPONSE_SCHEMA)
-    told = shared.unionByName(materialize(told, "compared"))
+    told = B.settled(told, "compared")
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.unpack(batches):
             g = Segments(block, window)
-            g.select()
+            g.select(width)
             found = g.leading(g.mixed())
             some = np.random.default_rng(7).choice(len(found), min(SAMPLE_EACH, len(found)), replace=False) if len(found) else []
             yield B._batch("key binary", [(bytes(found[i]),) for i in some])
 
     every = max(1, packed.count() // SAMPLE_BLOCKS)
     few = packed.filter(F.pmod(F.xxhash64("block"), F.lit(every)) == 0)
-    drawn = sorted(r[0] for r in B.answered(few, told).mapInArrow(sample, "key binary").collect())
+    drawn = sorted(r[0] for r in B.answered(few, shared, told).mapInArrow(sample, "key binary").collect())
     splitters = np.array(sorted({bytes(drawn[len(drawn) * i // width]) for i in range(1, width)}) if drawn else [], f"S{gram}")
 
     def ask_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.unpack(batches):
             g = Segments(block, window)
-            g.select()
+            g.select(width)
             mixed = g.mixed().astype(np.int64)
 
             def row(at: np.ndarray) -> tuple:
@@ -312,18 +312,19 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
             yield B._batch(SEGMENT_SCHEMA, _dealt(np.searchsorted(splitters, g.leading(mixed), "right"), row))
 
-    last = B.answered(packed, told).mapInArrow(ask_segments, SEGMENT_SCHEMA).repartitionById(width, "bucket").mapInArrow(_sort(window, gram), B.RESPONSE_SCHEMA)
+    last = B.answered(packed, shared, told).mapInArrow(ask_segments, SEGMENT_SCHEMA).repartitionById(width, "bucket").mapInArrow(_sort(window, gram), B.RESPONSE_SCHEMA)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.unpack(batches):
-            yield _cut(block, window)
+            yield _cut(block, window, width)
 
-    return B.answered(packed, told.unionByName(materialize(last, "sorted"))).mapInArrow(cut, "_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
+    last = B.gathered(materialize(last, "sorted"))
+    return B.answered(packed, shared, told, last).mapInArrow(cut, "_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
 
 
-def _cut(block: B.Block, window: int) -> pa.RecordBatch:
+def _cut(block: B.Block, window: int, width: int) -> pa.RecordBatch:
     g = Segments(block, window)
-    g.select()
+    g.select(width)
     n_docs, data = len(block.ids), block.data
     offset = np.cumsum(g.u_count) - g.u_count
     least = np.repeat(g.u_id, g.u_count)

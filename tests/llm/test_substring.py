@@ -86,6 +86,35 @@ def test_duplicate_bytes(spark, monkeypatch, seed, size, hot):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("size", [1 << 20, 3000])
+def test_factors_stand_in_their_sources(spark, monkeypatch, size):
+    """Every factor's words are its source's, it cannot grow, and factors make up the spans."""
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", size)
+    monkeypatch.setattr(blocks, "BLOCK_ROOTS", 1)
+    rows = [r for r in corpus(6) if r[0] is not None]
+    rows = list(dict(rows).items())
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
+    n = 0
+    for r in rlz.duplicate_words(table(spark, rows)).collect():
+        own, covered = words[r["_id"]], np.zeros(len(words[r["_id"]]) + 1, bool)
+        for f in r["factors"]:
+            size_, source = f["end"] - f["start"], words[f["source"]]
+            assert size_ >= 13 and f["source"] < r["_id"]
+            assert own[f["start"] : f["end"]] == source[f["at"] : f["at"] + size_]
+            covered[f["start"] : f["end"]] = True
+            n += 1
+        assert runs(covered[:-1]) == [tuple(s) for s in r["spans"]]
+        assert [f["start"] for f in r["factors"]] == sorted({f["start"] for f in r["factors"]})
+    assert n > 50
+
+
+def test_windows_of_equal_keys_are_told_apart_by_their_checks():
+    key, check = np.array([5, 3, 5, 5, 3], np.uint64), np.array([2, 7, 1, 2, 7], np.uint32)
+    first, number = rlz._distinct(key, check)
+    assert first.tolist() == [1, 2, 0] and number.tolist() == [2, 0, 1, 2, 0]
+    assert rlz._find(key, check, key[first], check[first]).tolist() == number.tolist()
+
+
 def test_empty_tables(spark):
     assert rlz.duplicate_words(table(spark, [])).count() == 0
     assert suffix.duplicate_bytes(table(spark, [])).count() == 0
