@@ -15,24 +15,26 @@ from .udf import batched
 #: Bracketed asides and punctuation that scoring removes.
 BRACKETS = r"\([^)]*\)|\[[^\]]*\]|\{[^}]*\}|<[^>]*>"
 PUNCTUATION = r"[!-/:-@\[-`{-~।॥‐-‧‰-⁞¡-¿]"
-#: Scripts told apart and the language that stands for each.
-SCRIPTS = {
-    "Devanagari": "Hindi/Marathi",
+#: The language that a script stands for, by the script's name.
+LANGUAGES = {
+    "Devanagari": "Devanagari (hi/mr)",
     "Bengali": "Bengali",
-    "Gurmukhi": "Punjabi",
     "Gujarati": "Gujarati",
+    "Gurmukhi": "Punjabi",
+    "Kannada": "Kannada",
+    "Malayalam": "Malayalam",
     "Oriya": "Odia",
     "Tamil": "Tamil",
     "Telugu": "Telugu",
-    "Kannada": "Kannada",
-    "Malayalam": "Malayalam",
-    "Latin": "Latin",
-    "Cyrillic": "Cyrillic",
-    "Greek": "Greek",
-    "Arabic": "Arabic",
-    "Han": "Han",
 }
-JAVA_NAMES = {"Latin": "IsLatin", "Han": "IsHan"}
+#: Scripts that letters are counted for; any that stands for no language of its
+#: own is called by its name. The second list is only searched in what the first leaves.
+SCRIPTS = [*LANGUAGES, "Latin", "Cyrillic", "Greek", "Arabic", "Cjk"]
+MORE_SCRIPTS = (
+    "Armenian Balinese Bopomofo Cherokee Coptic Deseret Ethiopic Georgian Glagolitic Gothic Hangul Hebrew Hiragana Javanese Katakana Khmer Lao Lepcha Limbu Lisu "
+    "Mongolian Myanmar Nko Ogham Rejang Runic Samaritan Saurashtra Sinhala Sundanese Syriac Tagalog Thaana Thai Tibetan Tifinagh Vai Yi"
+).split()
+JAVA_NAMES = {"Cjk": "Han"}
 
 
 def normalise(text: Column) -> Column:
@@ -61,16 +63,23 @@ def count_reference_words(text: Column) -> Column:
     return F.size(F.filter(F.split(F.regexp_replace(text, r"\([^)]*\)", " "), r"\s+"), lambda w: w != "")).cast("long")
 
 
+def _letters(script: str) -> str:
+    return rf"[\p{{Is{JAVA_NAMES.get(script, script)}}}&&\p{{L}}]"
+
+
 def script_counts(text: Column) -> dict[str, Column]:
-    """Letters of each known script outside brackets. Counts add up over texts."""
+    """Letters of each script outside brackets. Counts add up over texts."""
     plain = F.regexp_replace(text, r"\[[^\]]*\]|\([^)]*\)", "")
-    return {s: F.regexp_count(plain, F.lit(rf"\p{{{JAVA_NAMES.get(s, 'Is' + s)}}}")) for s in SCRIPTS}
+    known = "".join(rf"\p{{Is{JAVA_NAMES.get(s, s)}}}" for s in SCRIPTS)
+    rest = F.regexp_replace(plain, rf"[{known}\P{{L}}]+", "")
+    counts = {s: F.regexp_count(plain, F.lit(_letters(s))) for s in SCRIPTS}
+    return counts | {s: F.when(rest == "", 0).otherwise(F.regexp_count(rest, F.lit(_letters(s)))) for s in MORE_SCRIPTS}
 
 
 def language_of(counts: dict[str, Column]) -> Column:
     """The language of the script with most letters (of equals the first by
     name); ``unknown`` without any."""
-    best = F.array_min(F.array(*[F.struct((-n).alias("n"), F.lit(s).alias("script"), F.lit(SCRIPTS[s]).alias("name")) for s, n in counts.items()]))
+    best = F.array_min(F.array(*[F.struct((-n).alias("n"), F.lit(s).alias("script"), F.lit(LANGUAGES.get(s, s)).alias("name")) for s, n in counts.items()]))
     return F.when(best["n"] < 0, best["name"]).otherwise("unknown")
 
 
@@ -88,11 +97,24 @@ def normalise_speaker(name: Column) -> Column:
     return F.regexp_replace(F.trim(name), r"\s+", "_")
 
 
-def classify_error(message: Column, rules: list[tuple[str, str]]) -> Column:
+#: Classes of download failures and the patterns that name them, in order.
+ERROR_CLASSES = [
+    ("bot_gated", r"sign in to confirm|not a bot|confirm you.re not a bot"),
+    ("geo_blocked", r"not available in your country|geo restrict|blocked it in your country"),
+    ("private", r"private video|this video is private"),
+    ("removed", r"removed by the uploader|account associated with this video has been terminated|video has been removed"),
+    ("unavailable", r"video unavailable|is unavailable|does not exist|has been deleted|members-only|join this channel"),
+    ("age_gated", r"age-restricted|inappropriate for some users"),
+    ("no_audio", r"requested format is not available|no audio|only images are available"),
+    ("network", r"timed out|timeout|connection reset|temporary failure in name resolution|unable to download|http error 5\d\d|429|too many requests"),
+]
+
+
+def classify_error(message: Column, rules: list[tuple[str, str]] = ERROR_CLASSES) -> Column:
     """The first class whose pattern is found in the lower-cased message, else ``unknown``."""
     out = F.lit("unknown")
     for name, pattern in reversed(rules):
-        out = F.when(F.lower(message).rlike(pattern), name).otherwise(out)
+        out = F.when(F.lower(F.coalesce(message, F.lit(""))).rlike(pattern), name).otherwise(out)
     return out
 
 

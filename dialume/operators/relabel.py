@@ -14,11 +14,13 @@ from ..functions.udf import batched
 from .intervals import pause_units, units
 
 SHORT_MS = 1_000
-#: A prompt's units and how many of them are context at each side.
-PROMPT_UNITS, CONTEXT, TEXT_CAP = 25, 4, 220
+#: A prompt's units, how many of them repeat the window before as
+#: context, characters of a unit's text, least confidence of an edit.
+PROMPT_UNITS, CONTEXT, TEXT_CAP, LEAST_CONFIDENCE = 25, 4, 220, 0.7
 #: Edits of a clip beyond this number and share are discarded.
 ROGUE_EDITS, ROGUE_SHARE = 3, 0.3
-REASONS = ("not_an_edit", "unit_out_of_range", "unknown_speaker", "bad_confidence", "low_confidence", "duplicate", "unparsed")
+#: Why edits are rejected; ``oom`` counts windows that did not fit.
+REASONS = ("parse_fail", "bad_unit", "bad_speaker", "dup", "low_conf", "no_conf", "oom")
 
 
 def rule_edits(unit_rows: DataFrame, short_ms: int = SHORT_MS) -> DataFrame:
@@ -68,37 +70,91 @@ def audit(words: DataFrame, truth: DataFrame, gap_ms: int | None) -> DataFrame:
 
 def prompt_windows(unit_rows: DataFrame, size: int = PROMPT_UNITS, context: int = CONTEXT) -> DataFrame:
     """Overlapping runs of units for prompts: ``clip_id, window, units`` with the
-    editable range ``first_edit`` to ``last_edit``, which the windows of a clip share
-    out; the context at a clip's ends is editable."""
-    step = size - 2 * context
-    w = W.partitionBy("clip_id")
-    n = unit_rows.withColumn("_n", F.count(F.lit(1)).over(w))
+    editable range ``first_edit`` to ``last_edit``. A window begins with the last
+    ``context`` units of the one before, which it may not edit; the rest it may, so
+    the windows of a clip share its units out."""
+    step = size - context
+    n = unit_rows.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("clip_id")))
     last_window = F.greatest(F.lit(0), F.ceil((F.col("_n") - size) / step)).cast("int")
     lo = F.greatest(F.lit(0), F.ceil((F.col("unit") - size + 1) / step)).cast("int")
     hi = F.least(last_window, F.floor(F.col("unit") / step).cast("int"))
-    each = n.withColumn("_last", last_window).filter(lo <= hi).withColumn("window", F.explode(F.sequence(lo, hi)))
+    each = n.filter(lo <= hi).withColumn("window", F.explode(F.sequence(lo, hi)))
     line = F.struct("unit", "spk", "start_ms", "end_ms", F.substring("text", 1, TEXT_CAP).alias("text"))
-    packed = each.groupBy("clip_id", "window").agg(F.array_sort(F.collect_list(line)).alias("units"), F.first("_last").alias("_last"), F.max("_n").alias("_n"))
+    packed = each.groupBy("clip_id", "window").agg(F.array_sort(F.collect_list(line)).alias("units"), F.max("_n").alias("_n"))
     first = F.when(F.col("window") > 0, F.col("window") * step + context).otherwise(0)
-    last = F.when(F.col("window") < F.col("_last"), F.col("window") * step + size - context - 1).otherwise(F.col("_n") - 1)
+    last = F.least(F.col("window") * step + size, F.col("_n")) - 1
     return packed.select("clip_id", "window", "units", first.cast("long").alias("first_edit"), last.cast("long").alias("last_edit"))
 
 
-def render_prompt(windows: DataFrame, mark: str = "(context)") -> DataFrame:
-    """A line for each unit: number, speaker, times in seconds, text, and a mark on context."""
-    inside = lambda u: (u["unit"] >= F.col("first_edit")) & (u["unit"] <= F.col("last_edit"))
-    line = F.transform("units", lambda u: F.concat(F.format_string("[%d] %s (%.2f-%.2f): %s", u["unit"], u["spk"], u["start_ms"] / 1000, u["end_ms"] / 1000, u["text"]), F.when(inside(u), "").otherwise(" " + mark)))
+#: Fixed value: what marks a unit as context.
+CONTEXT_MARK = "  [context, do not edit]"
+#: What the model is asked. The replies' form is fixed by ``parse_edits``.
+INSTRUCTION = """A speech recogniser made this transcript of a conversation in {language}; many of its words are wrong, so \
+judge who speaks by the course of the conversation.
+
+Speakers: {speakers}
+
+One unit a line, as [number] speaker (start-end): text
+
+{units}
+
+Some units may have the wrong speaker: one person's speech split over two labels, two persons under one label, or two \
+labels exchanged. Answer with JSON alone, in this form:
+{{"edits": [{{"unit": <number>, "speaker": "<one of the speakers>", "confidence": <0.0 to 1.0>, "why": "<few words>"}}]}}
+
+Change a label only where it is clearly wrong. Edits with a confidence below {least} are not applied. If all labels look \
+right, answer {{"edits": []}}.
+"""
+
+
+def seconds(ms: Column) -> Column:
+    """Milliseconds as seconds with one digit, rounded as the nearest double is: a
+    tie in decimals is none in binary unless it is a quarter, and a quarter goes to
+    the even digit. ``x - k / 20`` is worked out without rounding, by halves of x."""
+    size = F.abs(ms.cast("long"))
+    x, k = size / 1000, F.floor(size / 50)
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    above = (20 * high - k) + 20 * (x - high)
+    tenth, rest = F.floor(size / 100), size % 100
+    up = (rest > 50) | ((rest == 50) & ((above > 0) | ((above == 0) & (tenth % 2 == 1))))
+    tenth = tenth + up.cast("long")
+    return F.concat(F.when(ms < 0, "-").otherwise(""), F.floor(tenth / 10).cast("string"), F.lit("."), (tenth % 10).cast("string"))
+
+
+def unit_line(number: Column, spk: Column, start_ms: Column, end_ms: Column, text: Column, context: Column) -> Column:
+    head = F.concat(F.format_string("[%d] %s (", number, spk), seconds(start_ms), F.lit("-"), seconds(end_ms), F.lit("s)"))
+    return F.concat(head, F.when(context, CONTEXT_MARK).otherwise(""), F.lit(": "), text)
+
+
+def render_prompt(windows: DataFrame) -> DataFrame:
+    """A line for each unit: number, speaker, times in seconds, a mark on context, text."""
+    line = F.transform("units", lambda u: unit_line(u["unit"], u["spk"], u["start_ms"], u["end_ms"], u["text"], u["unit"] < F.col("first_edit")))
     return windows.select("clip_id", "window", F.array_join(line, "\n").alias("prompt"), "first_edit", "last_edit")
 
 
+def instruct(prompts: DataFrame, speakers: DataFrame, language: str = "an unknown language", least: float = LEAST_CONFIDENCE) -> DataFrame:
+    """``render_prompt``'s lines inside the instruction. ``speakers``: clip_id, spk."""
+    names = speakers.groupBy("clip_id").agg(F.array_join(F.array_sort(F.collect_set("spk")), ", ").alias("_names"))
+    head, tail = INSTRUCTION.format(language=language, speakers="\0", units="\1", least=f"{least:.2f}").split("\1")
+    before, between = head.split("\0")
+    return prompts.join(names, "clip_id", "left").withColumn("prompt", F.concat(F.lit(before), F.coalesce("_names", F.lit("")), F.lit(between), "prompt", F.lit(tail))).drop("_names")
+
+
+def _out_of_memory(error: BaseException) -> bool:
+    return isinstance(error, MemoryError) or "out of memory" in str(error).lower()
+
+
 def ask_model(prompts: DataFrame, client: Callable[[list[str]], list[str]], batch: int = 16) -> DataFrame:
     """Replies of a model: ``client`` turns prompts into replies, a batch at a
-    time, on the executors. A batch that runs out of memory is halved."""
+    time, on the executors. A batch that runs out of memory is halved; see
+    ``model_edits`` for windows that shrink."""
 
     def ask(texts: list[str]) -> list[str]:
         try:
             return client(texts)
-        except MemoryError:
+        except Exception as error:
+            if not _out_of_memory(error):
+                raise
             if len(texts) == 1:
                 return [""]
             half = len(texts) // 2
@@ -113,6 +169,66 @@ def ask_model(prompts: DataFrame, client: Callable[[list[str]], list[str]], batc
     return prompts.mapInPandas(run, "clip_id long, window int, first_edit long, last_edit long, reply string")
 
 
+def window_pass(n: int, ask: Callable[[int, int, int], str | None], size: int = PROMPT_UNITS, context: int = CONTEXT) -> tuple[list[tuple[int, int, str]], int]:
+    """Goes over a clip's ``n`` units window by window. ``ask(first, end, context)``
+    gives a reply, or None where the window does not fit: then it is halved, down
+    to two units beside the context, and left out if even these do not fit. Returns
+    (first editable unit, end, reply) of each, and how often one did not fit."""
+    out, misses, at, ahead = [], 0, 0, 0
+    while at < n:
+        span = min(size, n - at)
+        reply = ask(at, at + span, ahead)
+        while reply is None:
+            misses += 1
+            if span <= ahead + 2:
+                break
+            span = max(ahead + 2, span // 2)
+            reply = ask(at, at + span, ahead)
+        if reply is not None:
+            out.append((at + ahead, at + span, reply))
+        end = at + span
+        if end >= n:
+            break
+        ahead = min(context, end)  # units gone over already
+        at = end - ahead
+    return out, misses
+
+
+def model_edits(unit_rows: DataFrame, client: Callable[[list[str]], list[str]], language: str = "an unknown language", least: float = LEAST_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """A model's edits that hold (``clip_id, unit, speaker, confidence``) and, by
+    clip, counts of ``REASONS``. A clip's windows follow one another, because one
+    that does not fit shrinks and moves the next; clips are independent."""
+    lines = unit_rows.select("clip_id", "unit", "spk", "start_ms", "end_ms", F.substring("text", 1, TEXT_CAP).alias("text"))
+
+    def one(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("unit").reset_index(drop=True)
+        names = ", ".join(sorted(df["spk"].dropna().unique()))
+
+        def ask(first: int, end: int, context: int) -> str | None:
+            rows = []
+            for i in range(first, end):
+                u = df.iloc[i]
+                mark = CONTEXT_MARK if i < first + context else ""
+                rows.append(f"[{i}] {u.spk} ({u.start_ms / 1000:.1f}-{u.end_ms / 1000:.1f}s){mark}: {u.text}")
+            prompt = INSTRUCTION.format(language=language, speakers=names, units="\n".join(rows), least=f"{least:.2f}")
+            try:
+                return client([prompt])[0]
+            except Exception as error:
+                if not _out_of_memory(error):
+                    raise
+                return None
+
+        found, misses = window_pass(len(df), ask)
+        rows = [(df["clip_id"][0], k, first, end - 1, reply, 0) for k, (first, end, reply) in enumerate(found)]
+        if misses:
+            rows.append((df["clip_id"][0], -1, 0, -1, None, misses))
+        return pd.DataFrame(rows, columns=["clip_id", "window", "first_edit", "last_edit", "reply", "oom"])
+
+    clip = unit_rows.schema["clip_id"].dataType.simpleString()
+    replies = lines.groupBy("clip_id").applyInPandas(one, f"clip_id {clip}, window int, first_edit long, last_edit long, reply string, oom long")
+    return parse_edits(replies, unit_rows.select("clip_id", "spk"), least)
+
+
 @batched("struct<parsed:boolean,edits:array<struct<ok:boolean,unit:long,speaker:string,confidence:double,has_confidence:boolean>>>")
 def _edits(reply: pd.Series) -> pd.DataFrame:
     rows = []
@@ -122,36 +238,39 @@ def _edits(reply: pd.Series) -> pd.DataFrame:
         out = []
         for e in items if isinstance(items, list) else []:
             unit = e.get("unit") if isinstance(e, dict) else None
-            is_int = isinstance(unit, int) and not isinstance(unit, bool)
+            is_int = isinstance(unit, int)
             try:
                 confidence, has = float(e.get("confidence")), True
             except (TypeError, ValueError, AttributeError):
                 confidence, has = None, False
             speaker = e.get("speaker") if isinstance(e, dict) else None
-            out.append({"ok": isinstance(e, dict), "unit": unit if is_int else None, "speaker": speaker if isinstance(speaker, str) else None, "confidence": confidence, "has_confidence": has})
+            out.append({"ok": isinstance(e, dict), "unit": int(unit) if is_int else None, "speaker": speaker if isinstance(speaker, str) else None, "confidence": confidence, "has_confidence": has})
         rows.append({"parsed": isinstance(items, list), "edits": out})
     return pd.DataFrame(rows, columns=["parsed", "edits"])
 
 
-def parse_edits(replies: DataFrame, speakers: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """Edits that hold, and counts by clip of why others do not. Checked in this
-    order: is it an edit, its unit, its speaker (``speakers``: clip_id, spk), its
-    confidence, whether that is enough, whether the unit has an edit already."""
-    r = replies.withColumn("_e", _edits("reply"))
+def parse_edits(replies: DataFrame, speakers: DataFrame, least: float = LEAST_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """Edits that hold, and counts by clip of why others do not (``REASONS``).
+    Checked in this order: is it an edit of a unit that the window may change, its
+    speaker (``speakers``: clip_id, spk), is there a confidence, is it enough, has
+    the unit an edit already. Rows with ``oom`` (see ``model_edits``) are counted."""
+    r = replies if "oom" in replies.columns else replies.withColumn("oom", F.lit(0).cast("long"))
+    missed = r.filter("oom > 0").select("clip_id", F.explode(F.sequence(F.lit(1), F.col("oom"))), F.lit("oom").alias("reason")).select("clip_id", "reason")
+    r = r.filter("oom = 0").withColumn("_e", _edits("reply"))
     known = speakers.groupBy("clip_id").agg(F.collect_set("spk").alias("_known"))
     each = r.filter("_e.parsed").join(known, "clip_id", "left").select("clip_id", "window", "first_edit", "last_edit", "_known", F.posexplode("_e.edits").alias("pos", "e"))
+    outside = F.col("e.unit").isNull() | (F.col("e.unit") < F.col("first_edit")) | (F.col("e.unit") > F.col("last_edit"))
     reason = (
-        F.when(~F.col("e.ok"), "not_an_edit")
-        .when(F.col("e.unit").isNull() | (F.col("e.unit") < F.col("first_edit")) | (F.col("e.unit") > F.col("last_edit")), "unit_out_of_range")
-        .when(~F.coalesce(F.array_contains("_known", F.col("e.speaker")), F.lit(False)), "unknown_speaker")
-        .when(~F.col("e.has_confidence"), "bad_confidence")
-        .when(F.col("e.confidence") < least, "low_confidence")
+        F.when(~F.col("e.ok") | outside, "bad_unit")
+        .when(~F.coalesce(F.array_contains("_known", F.col("e.speaker")), F.lit(False)), "bad_speaker")
+        .when(~F.col("e.has_confidence"), "no_conf")
+        .when(F.col("e.confidence") < least, "low_conf")
     )
     each = each.withColumn("reason", reason)
     w = W.partitionBy("clip_id", "e.unit", F.col("reason").isNull()).orderBy("window", "pos")
-    each = each.withColumn("reason", F.when(F.col("reason").isNull() & (F.row_number().over(w) > 1), "duplicate").otherwise(F.col("reason")))
+    each = each.withColumn("reason", F.when(F.col("reason").isNull() & (F.row_number().over(w) > 1), "dup").otherwise(F.col("reason")))
     good = each.filter("reason is null").select("clip_id", F.col("e.unit").alias("unit"), F.col("e.speaker").alias("speaker"), F.col("e.confidence").alias("confidence"))
-    bad = each.filter("reason is not null").select("clip_id", "reason").unionByName(r.filter("not _e.parsed").select("clip_id", F.lit("unparsed").alias("reason")))
+    bad = each.filter("reason is not null").select("clip_id", "reason").unionByName(r.filter("not _e.parsed").select("clip_id", F.lit("parse_fail").alias("reason"))).unionByName(missed)
     counts = bad.groupBy("clip_id").pivot("reason", list(REASONS)).count().na.fill(0)
     return good, counts
 
@@ -168,4 +287,12 @@ def method_rule(words: DataFrame, gap_ms: int = 500) -> DataFrame:
     return apply_edits(u, rule_edits(units(u)))
 
 
-METHODS: dict[str, Callable[..., DataFrame]] = {"rule": method_rule}
+def method_llm(words: DataFrame, client: Callable[[list[str]], list[str]], gap_ms: int = 500, language: str = "an unknown language", least: float = LEAST_CONFIDENCE) -> DataFrame:
+    """Words under a model's labels; clips whose edits are too many keep theirs."""
+    u = pause_units(words, gap_ms)
+    rows = units(u)
+    edits, _ = model_edits(rows, client, language, least)
+    return apply_edits(u, guard_rogue(edits, rows))
+
+
+METHODS: dict[str, Callable[..., DataFrame]] = {"rule": method_rule, "llm": method_llm}

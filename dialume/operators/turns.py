@@ -72,7 +72,7 @@ def clip_meta(turns: DataFrame) -> DataFrame:
     base = turns.groupBy("clip_id").agg(F.max("end_ms").alias("duration_ms"), F.count_distinct("speaker").alias("n_speakers"), F.count(F.lit(1)).alias("n_segments"), F.sum(T.count_reference_words(F.col("text"))).alias("n_ref_words"), *[F.sum(n).alias(f"_{s}") for s, n in T.script_counts(F.col("text")).items()])
     out = base.join(union_speech(turns), "clip_id").join(speaker_overlap(turns), "clip_id")
     share = lambda a, b: F.round(F.col(a) / F.col(b), 4)
-    return out.select("clip_id", "duration_ms", "n_speakers", "n_segments", "n_ref_words", "speech_ms", "overlap_ms", share("speech_ms", "duration_ms").alias("speech_frac"), share("overlap_ms", "speech_ms").alias("overlap_frac_of_speech"), share("overlap_ms", "duration_ms").alias("overlap_frac_of_clip"), T.language_of({s: F.col(f"_{s}") for s in T.SCRIPTS}).alias("language"))
+    return out.select("clip_id", "duration_ms", "n_speakers", "n_segments", "n_ref_words", "speech_ms", "overlap_ms", share("speech_ms", "duration_ms").alias("speech_frac"), share("overlap_ms", "speech_ms").alias("overlap_frac_of_speech"), share("overlap_ms", "duration_ms").alias("overlap_frac_of_clip"), T.language_of({s: F.col(f"_{s}") for s in [*T.SCRIPTS, *T.MORE_SCRIPTS]}).alias("language"))
 
 
 def meta_summary(meta: DataFrame) -> DataFrame:

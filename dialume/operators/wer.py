@@ -14,11 +14,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.udf import batched
 
-#: Different words that a clip may have (characters outside the surrogates).
-MOST_WORDS = 60_000
+#: Different words that characters can stand for (all but the surrogates and the
+#: first 255); pairs of lists with more go through a row-by-row kernel.
+MOST_WORDS = 0x110000 - 0x800 - 256
 
 
 def word_list(words: DataFrame, keys: list[str], order: list[str], word: str = "w", name: str = "ws") -> DataFrame:
@@ -33,7 +35,7 @@ def encode(ws: Column, vocabulary: Column) -> Column:
     def char(w: Column) -> Column:
         n = F.array_position(vocabulary, w).cast("int") + 255
         n = n + F.when(n >= 0xD800, 0x800).otherwise(0)
-        return F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
+        return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
     return F.array_join(F.transform(ws, char), "")
 
@@ -45,7 +47,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*keys))
 
 
-def with_edits(df: DataFrame, ref: str, hyp: str, name: str) -> DataFrame:
+def with_edits(df: DataFrame, ref: str, hyp: str, name: str, most: int | None = MOST_WORDS) -> DataFrame:
     """``df`` with the word edits between two arrays of words (null: none). The
     generator keeps the vocabulary, which every word is looked up in, from being
     computed again for each of them."""
@@ -55,8 +57,25 @@ def with_edits(df: DataFrame, ref: str, hyp: str, name: str) -> DataFrame:
     a, b, v = F.col("_a"), F.col("_b"), F.col("_v")
     some = F.levenshtein(encode(a, v), encode(b, v)).cast("long")
     plain = F.when(F.size(a) == 0, F.size(b).cast("long")).when(F.size(b) == 0, F.size(a).cast("long")).otherwise(some)
-    ok = F.assert_true(F.size(v) < MOST_WORDS, F.lit("too many different words")).isNull()
-    return once.withColumn(name, F.when(ok, plain)).drop("_a", "_b", "_v")
+    if most is None:
+        return once.withColumn(name, plain).drop("_a", "_b", "_v")
+    many = F.size(v) >= most
+    long_ = _distance(F.when(many, a), F.when(many, b))
+    return once.withColumn(name, F.when(many, long_).otherwise(plain)).drop("_a", "_b", "_v")
+
+
+@batched("long")
+def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        numbers: dict[str, int] = {}
+        code = lambda ws: np.array([numbers.setdefault(w, len(numbers)) for w in ws], int)
+        ref, hyp = code(x), code(y)
+        out.append(int(_advance(np.arange(len(ref) + 1), ref, hyp)[-1]))
+    return pd.Series(out, dtype="Int64")
 
 
 def wer(ref: DataFrame, hyp: DataFrame) -> DataFrame:
@@ -70,10 +89,11 @@ def speaker_pairs(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     """Edits between every reference and hypothesis speaker of a clip (``clip_id,
     speaker, ws`` each): arrays ``refs`` and ``hyps`` (speaker, words) by name, and
     ``costs``, row by row."""
-    r = ref.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("speaker", "ws"))).alias("refs"))
-    h = hyp.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("speaker", "ws"))).alias("hyps"))
     # one pair a row, so that a clip's pairs are spread and each is priced once
-    pairs = r.join(h, "clip_id").select("clip_id", F.posexplode("refs").alias("i", "r"), "hyps").select("clip_id", "i", "r", F.posexplode("hyps").alias("j", "h"))
+    place = F.row_number().over(W.partitionBy("clip_id").orderBy("speaker")) - 1
+    r = ref.select("clip_id", place.alias("i"), F.struct("speaker", "ws").alias("r"))
+    h = hyp.select("clip_id", place.alias("j"), F.struct("speaker", "ws").alias("h"))
+    pairs = r.join(h, "clip_id")
     priced = with_edits(spread(pairs, "clip_id", "i", "j"), "r.ws", "h.ws", "cost").select("clip_id", "i", "j", F.struct(F.col("r.speaker").alias("speaker"), F.size("r.ws").cast("long").alias("n")).alias("_r"), F.struct(F.col("h.speaker").alias("speaker"), F.size("h.ws").cast("long").alias("n")).alias("_h"), "cost")
     g = priced.groupBy("clip_id").agg(F.array_sort(F.collect_set(F.struct("i", "_r"))).alias("_r"), F.array_sort(F.collect_set(F.struct("j", "_h"))).alias("_h"), F.array_sort(F.collect_list(F.struct("i", "j", "cost"))).alias("_c"))
     return g.select("clip_id", F.transform("_r", lambda x: x["_r"]).alias("refs"), F.transform("_h", lambda x: x["_h"]).alias("hyps"), F.transform("_c", lambda x: x["cost"]).alias("costs"))
@@ -210,20 +230,33 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     numbers: dict[str, int] = {}
     code = lambda ws: np.array([numbers.setdefault(w, len(numbers)) for w in ws], int)
     x, y = code(a), code(b)
-    table = np.empty((len(x) + 1, len(y) + 1), np.int32)
-    table[0] = np.arange(len(y) + 1)
-    place = table[0].copy()
-    for i, w in enumerate(x):
-        row = table[i]
+    place = np.arange(len(y) + 1)
+
+    def advance(row: np.ndarray, w: int) -> np.ndarray:
         new = np.r_[row[0] + 1, np.minimum(row[1:] + 1, row[:-1] + (y != w))]
-        table[i + 1] = np.minimum.accumulate(new - place) + place
+        return (np.minimum.accumulate(new - place) + place).astype(np.int32)
+
+    # rows of the table are kept every ``stride``; those between are worked out
+    # again on the way back, so memory grows with the root of the words of ``a``
+    stride = max(16, int(len(x) ** 0.5))
+    row, kept = place.astype(np.int32), []
+    for i, w in enumerate(x):
+        if i % stride == 0:
+            kept.append(row)
+        row = advance(row, w)
     pairs, i, j = [], len(x), len(y)
+    table, base = [row], len(x)
     while i and j:
-        here = table[i, j]
-        if here == table[i - 1, j - 1] + (x[i - 1] != y[j - 1]):
+        if i - 1 < base:
+            base = (i - 1) // stride * stride
+            table = [kept[base // stride]]
+            for w in x[base:i]:
+                table.append(advance(table[-1], w))
+        here, above = table[i - base], table[i - base - 1]
+        if here[j] == above[j - 1] + (x[i - 1] != y[j - 1]):
             i, j = i - 1, j - 1
             pairs.append((i, j))
-        elif here == table[i - 1, j] + 1:
+        elif here[j] == above[j] + 1:
             i -= 1
         else:
             j -= 1

@@ -309,42 +309,75 @@ def project_labels(spark, sf):
     return A.project_labels(V.turns_hyp(spark, sf), _attributed(spark, sf)).select("clip_id", "idx", "speaker", "label")
 
 
-@query(
-    UNITS
-    + """, c AS (SELECT clip_id, count(*) AS n, greatest(0, ceil((count(*) - 25) / 17.0))::BIGINT AS last FROM units GROUP BY ALL),
-    w AS (SELECT clip_id, n, last, unnest(range(0, last + 1)) AS win FROM c)
-    SELECT w.clip_id, win AS "window", count(*) AS n_units, CASE WHEN win > 0 THEN win * 17 + 4 ELSE 0 END AS first_edit, CASE WHEN win < last THEN win * 17 + 20 ELSE n - 1 END AS last_edit
-    FROM w JOIN units u ON u.clip_id = w.clip_id AND unit >= win * 17 AND unit < win * 17 + 25 GROUP BY ALL"""
-)
+#: Windows of 25 units, walked as a reader would: each next one starts four units
+#: before the end of the last and may not edit those four.
+WINDOWS = """, c AS (SELECT clip_id, count(*) AS n FROM units GROUP BY ALL),
+    w AS (SELECT clip_id, n, 0 AS win, 0::BIGINT AS lo, least(25, n)::BIGINT AS hi FROM c UNION ALL SELECT clip_id, n, win + 1, hi - 4, least(hi - 4 + 25, n)::BIGINT FROM w WHERE hi < n),
+    r AS (SELECT clip_id, win, lo, hi, CASE WHEN lo > 0 THEN lo + 4 ELSE 0 END AS a, hi - 1 AS b FROM w)"""
+WALK = f"WITH RECURSIVE {V.sql('ref', 'words', 'hyp', 'att', 'units')}" + WINDOWS
+
+
+@query(WALK + ' SELECT r.clip_id, win::BIGINT AS "window", count(*) AS n_units, any_value(a) AS first_edit, any_value(b) AS last_edit FROM r JOIN units u ON u.clip_id = r.clip_id AND unit >= lo AND unit < hi GROUP BY ALL')
 def prompt_windows(spark, sf):
     return R.prompt_windows(I.units(_units(spark, sf))).select("clip_id", F.col("window").cast("long").alias("window"), F.size("units").cast("long").alias("n_units"), "first_edit", "last_edit")
 
 
-@query(
-    UNITS
-    + """, c AS (SELECT clip_id, count(*) AS n, greatest(0, ceil((count(*) - 25) / 17.0))::BIGINT AS last FROM units GROUP BY ALL),
-    w AS (SELECT clip_id, n, last, unnest(range(0, last + 1)) AS win FROM c),
-    r AS (SELECT clip_id, win, CASE WHEN win > 0 THEN win * 17 + 4 ELSE 0 END AS a, CASE WHEN win < last THEN win * 17 + 20 ELSE n - 1 END AS b FROM w),
-    e AS (SELECT * FROM (VALUES (0, true, 5, 'spk0', 0.9), (1, true, 5, 'spk1', 0.9), (2, true, 6, 'spk9', 1.0), (3, true, 7, 'spk1', 0.2), (4, false, NULL, NULL, NULL), (5, true, NULL, NULL, NULL), (6, true, 8, 'spk1', NULL)) v(pos, is_edit, u, s, conf)),
-    x AS (SELECT r.clip_id, win, pos, u, CASE WHEN NOT is_edit THEN 'not_an_edit' WHEN u IS NULL OR u < a OR u > b THEN 'unit_out_of_range' WHEN NOT EXISTS (SELECT 1 FROM units k WHERE k.clip_id = r.clip_id AND k.spk = e.s) THEN 'unknown_speaker'
-                 WHEN conf IS NULL THEN 'bad_confidence' WHEN conf < 0.6 THEN 'low_confidence' END AS reason FROM r, e),
-    y AS (SELECT clip_id, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY clip_id, u, reason IS NULL ORDER BY win, pos) > 1 THEN 'duplicate' ELSE reason END AS reason FROM x)
-    SELECT clip_id, count(*) FILTER (reason IS NULL) AS n_applied, count(*) FILTER (reason = 'not_an_edit') AS not_an_edit, count(*) FILTER (reason = 'unit_out_of_range') AS unit_out_of_range, count(*) FILTER (reason = 'unknown_speaker') AS unknown_speaker,
-           count(*) FILTER (reason = 'bad_confidence') AS bad_confidence, count(*) FILTER (reason = 'low_confidence') AS low_confidence, count(*) FILTER (reason = 'duplicate') AS duplicate, 0::BIGINT AS unparsed FROM y GROUP BY ALL"""
-)
+EDITS_SQL = """,
+    e AS (SELECT * FROM (VALUES (0, true, 5, 'spk0', 0.9), (1, true, 5, 'spk1', 0.9), (2, true, 6, 'spk9', 1.0), (3, true, 7, 'spk1', 0.65), (4, false, NULL, NULL, NULL), (5, true, NULL, NULL, NULL), (6, true, 8, 'spk1', NULL)) v(pos, is_edit, u, s, conf)),
+    x AS (SELECT r.clip_id, win, pos, u, s, CASE WHEN NOT is_edit OR u IS NULL OR u < a OR u > b THEN 'bad_unit' WHEN NOT EXISTS (SELECT 1 FROM units k WHERE k.clip_id = r.clip_id AND k.spk = e.s) THEN 'bad_speaker'
+                 WHEN conf IS NULL THEN 'no_conf' WHEN conf < 0.7 THEN 'low_conf' END AS reason FROM r, e),
+    y AS (SELECT clip_id, u, s, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY clip_id, win, u, reason IS NULL ORDER BY pos) > 1 THEN 'dup' ELSE reason END AS reason FROM x)"""
+COUNTS_SQL = ", ".join(f"count(*) FILTER (reason = '{x}') AS {x}" for x in ("bad_unit", "bad_speaker", "dup", "low_conf", "no_conf"))
+REPLY = 'Sure: ```json\n{"edits": [{"unit": 5, "speaker": "spk0", "confidence": 0.9}, {"unit": 5, "speaker": "spk1", "confidence": 0.9}, {"unit": 6, "speaker": "spk9", "confidence": 1}, {"unit": 7, "speaker": "spk1", "confidence": 0.65}, 4, {"unit": "x"}, {"unit": 8, "speaker": "spk1"}, {"unit": 9, "speaker": "spk1", "confid'
+
+
+@query(WALK + EDITS_SQL + f" SELECT clip_id, count(*) FILTER (reason IS NULL) AS n_applied, 0::BIGINT AS parse_fail, {COUNTS_SQL}, 0::BIGINT AS oom FROM y GROUP BY ALL")
 def parse_edits(spark, sf):
     """Replies of a stub that asks for every kind of edit, good and bad."""
     u = I.units(_units(spark, sf))
     prompts = R.render_prompt(R.prompt_windows(u))
+    good, counts = R.parse_edits(R.ask_model(prompts, lambda texts: [REPLY for _ in texts]), u.select("clip_id", "spk"))
+    n = R.guard_rogue(good, u).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n_applied"))
+    return counts.join(n, "clip_id", "left").select("clip_id", F.coalesce("n_applied", F.lit(0)).alias("n_applied"), *R.REASONS)
 
-    def stub(texts: list[str]) -> list[str]:
-        return ['Sure: ```json\n{"edits": [{"unit": 5, "speaker": "spk0", "confidence": 0.9}, {"unit": 5, "speaker": "spk1", "confidence": 0.9}, {"unit": 6, "speaker": "spk9", "confidence": 1}, {"unit": 7, "speaker": "spk1", "confidence": 0.2}, 4, {"unit": "x"}, {"unit": 8, "speaker": "spk1"}, {"unit": 9, "speaker": "spk1", "confid' for _ in texts]
 
-    good, counts = R.parse_edits(R.ask_model(prompts, stub), u.select("clip_id", "spk"))
-    n = R.guard_rogue(good, u).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n_applied"))
+#: A model with room for ten units: windows of 25 shrink to 12, these to 6, and move on.
+SHRUNK = WALK.replace(WINDOWS, """, c AS (SELECT clip_id, count(*) AS n FROM units GROUP BY ALL),
+    w AS (SELECT clip_id, n, 0 AS win, 0::BIGINT AS lo, CASE WHEN n <= 10 THEN n WHEN least(25, n) // 2 <= 10 THEN greatest(2, least(25, n) // 2) ELSE greatest(2, greatest(2, least(25, n) // 2) // 2) END::BIGINT AS hi,
+                 CASE WHEN n <= 10 THEN 0 WHEN least(25, n) // 2 <= 10 THEN 1 ELSE 2 END AS m FROM c
+          UNION ALL SELECT clip_id, n, win + 1, hi - 4,
+                 hi - 4 + CASE WHEN n - hi + 4 <= 10 THEN n - hi + 4 WHEN greatest(6, least(25, n - hi + 4) // 2) <= 10 THEN greatest(6, least(25, n - hi + 4) // 2) ELSE greatest(6, greatest(6, least(25, n - hi + 4) // 2) // 2) END::BIGINT,
+                 CASE WHEN n - hi + 4 <= 10 THEN 0 WHEN greatest(6, least(25, n - hi + 4) // 2) <= 10 THEN 1 ELSE 2 END FROM w WHERE hi < n),
+    r AS (SELECT clip_id, win, lo, hi, CASE WHEN lo > 0 THEN lo + 4 ELSE 0 END AS a, hi - 1 AS b, m FROM w)""")
+
+
+def _small_model(prompts: list[str]) -> list[str]:
+    if any(p.count("\n[") > 10 for p in prompts):
+        raise RuntimeError("CUDA out of memory")
+    return [REPLY for _ in prompts]
+
+
+@query(SHRUNK + EDITS_SQL + f", o AS (SELECT clip_id, sum(m)::BIGINT AS oom FROM r GROUP BY ALL) SELECT y.clip_id, count(*) FILTER (reason IS NULL) AS n_applied, 0::BIGINT AS parse_fail, {COUNTS_SQL}, any_value(oom) AS oom FROM y JOIN o USING (clip_id) GROUP BY y.clip_id")
+def model_windows(spark, sf):
+    """Windows that shrink until they fit a small model."""
+    u = I.units(_units(spark, sf))
+    good, counts = R.model_edits(u, _small_model)
+    n = good.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n_applied"))
     return counts.join(n, "clip_id", "left").select("clip_id", F.coalesce("n_applied", F.lit(0)).alias("n_applied"), *R.REASONS)
 
 
+@query(
+    WALK
+    + EDITS_SQL
+    + """, ok AS (SELECT clip_id, u AS unit, s FROM y WHERE reason IS NULL), k AS (SELECT clip_id, count(*) AS e FROM ok GROUP BY ALL),
+    good AS (SELECT ok.* FROM ok JOIN k USING (clip_id) JOIN c USING (clip_id) WHERE NOT (e > 3 AND e > 0.3 * n))
+    SELECT uw.clip_id, coalesce(g.s, uw.spk) AS spk, count(*) AS n_words, count(g.s) AS n_relabelled FROM uw LEFT JOIN good g USING (clip_id, unit) GROUP BY ALL"""
+)
+def llm_relabel(spark, sf):
+    out = R.METHODS["llm"](_attributed(spark, sf), lambda prompts: [REPLY for _ in prompts])
+    return out.groupBy("clip_id", "spk").agg(F.count(F.lit(1)).alias("n_words"), F.count_if("relabelled").alias("n_relabelled"))
+
+
 # logs, fallback, sets ---------------------------------------------------------------
 
 LOG = "WITH log AS (SELECT user_id AS key, event_id AS seq, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status FROM events), last AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)"
@@ -371,20 +404,45 @@ def shard(spark, sf):
     return S.shard(V.table(spark, sf, "conversations").select(F.col("conv_id").alias("clip_id")).distinct(), "clip_id", 4, 1)
 
 
-LID = "WITH p AS (SELECT doc_id AS clip_id, lang, text FROM documents), f AS (SELECT doc_id AS clip_id, upper(substr(text, 1, 20)) AS t FROM documents WHERE doc_id % 3 <> 0)"
+LID = "WITH p AS (SELECT doc_id AS clip_id, lang, text FROM documents), f AS (SELECT doc_id AS clip_id, reverse(text) AS t FROM documents WHERE doc_id % 3 <> 0)"
 
 
-@query(LID + " SELECT clip_id, lang, CASE WHEN lang IN ('en', 'de') THEN 'primary' WHEN t IS NOT NULL THEN 'fallback' ELSE 'primary' END AS source, (lang NOT IN ('en', 'de') AND t IS NULL) AS missing FROM p LEFT JOIN f USING (clip_id)")
+@query(LID + " SELECT clip_id, lang, CASE WHEN lang IN ('en', 'de') OR t IS NULL THEN 'primary' ELSE 'fallback' END AS source, (lang NOT IN ('en', 'de') AND t IS NULL) AS missing, sha256(CASE WHEN lang IN ('en', 'de') OR t IS NULL THEN text ELSE t END) AS text_sha256 FROM p LEFT JOIN f USING (clip_id)")
 def lid_fallback(spark, sf):
+    """Some documents have no fallback, so that these cases are met."""
     d = V.table(spark, sf, "documents").select(F.col("doc_id").alias("clip_id"), "lang", "text")
-    fb = d.filter("clip_id % 3 <> 0").select("clip_id", F.upper(F.substring("text", 1, 20)).alias("text"))
-    return S.language_fallback(d, fb, ["en", "de"]).drop("text")
+    fb = d.filter("clip_id % 3 <> 0").select("clip_id", F.reverse("text").alias("text"))
+    return S.language_fallback(d, fb, ["en", "de"]).withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+
+
+#: Letters of some texts are turned into other scripts, so that there are several.
+SCRIPT_TEXT = "CASE doc_id % 5 WHEN 0 THEN translate(text, 'aeiou', 'कखगघङ') WHEN 1 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'กขคฆงจฉชซฌญฎฏฐฑฒณดตถทธนบปผ') WHEN 2 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'தநபமயரலவஅஆஇஈஉஊஎஏஐஒஓகஙசஜஞடண') ELSE text END"
+SCRIPT_SQL = (
+    f"WITH t AS (SELECT doc_id, source, lang, regexp_replace({SCRIPT_TEXT}, '\\[[^\\]]*\\]|\\([^)]*\\)', '', 'g') AS b, {SCRIPT_TEXT} AS text FROM documents),".replace("\\\\", "\\")
+    + r""" n AS (SELECT *, len(regexp_extract_all(b, '\p{Devanagari}')) AS dv, len(regexp_extract_all(b, '\p{Latin}')) AS lt, len(regexp_extract_all(b, '\p{Tamil}')) AS tm, len(regexp_extract_all(b, '\p{Thai}')) AS th FROM t),""".replace("\\\\", "\\")
+    + """ d AS (SELECT doc_id, source, lang, text, CASE WHEN greatest(dv, lt, tm, th) = 0 THEN 'unknown' WHEN dv = greatest(dv, lt, tm, th) THEN 'Devanagari (hi/mr)' WHEN lt = greatest(dv, lt, tm, th) THEN 'Latin' WHEN tm = greatest(dv, lt, tm, th) THEN 'Tamil' ELSE 'Thai' END AS script FROM n)"""
+)
+
 
+def _scripted(spark, sf):
+    d = V.table(spark, sf, "documents").select("doc_id", "source", F.col("lang"), F.expr(SCRIPT_TEXT).alias("text"))
+    return d.withColumn("script", T.detect_language(F.col("text")))
 
-@query("SELECT lang, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1, count(*) FILTER (source = 'src2') AS src2, count(*) FILTER (source NOT IN ('src0', 'src1', 'src2')) AS other FROM documents GROUP BY ALL")
+
+@query(SCRIPT_SQL + " SELECT doc_id, script FROM d")
+def detect_language(spark, sf):
+    return _scripted(spark, sf).select("doc_id", "script")
+
+
+@query(SCRIPT_SQL + r""", w AS (SELECT *, len(regexp_extract_all(text, '[^ \t\n\x0b\f\r]+')) AS rw, len(regexp_extract_all(text, '[a-z0-9]+')) AS hw FROM d), q AS (SELECT source AS asr, lang AS detected, round(sum(hw) / greatest(sum(rw), 1), 2) AS word_ratio FROM w GROUP BY ALL)
+    SELECT source AS asr, lang AS detected, count(*) FILTER (script = 'Latin') AS "Latin", count(*) FILTER (script = 'Tamil') AS "Tamil", count(*) FILTER (script = 'Thai') AS "Thai", count(*) FILTER (script NOT IN ('Latin', 'Tamil', 'Thai')) AS other, any_value(word_ratio) AS word_ratio
+    FROM w JOIN q ON asr = source AND detected = lang GROUP BY source, lang""".replace("\\\\", "\\"))
 def lid_crosstab(spark, sf):
-    d = V.table(spark, sf, "documents").withColumn("s", F.when(F.col("source").isin("src0", "src1", "src2"), F.col("source")).otherwise("other"))
-    return d.groupBy("lang").pivot("s", ["src0", "src1", "src2", "other"]).count().na.fill(0)
+    """Sources stand for recognisers, the language column for what they detect."""
+    d = _scripted(spark, sf)
+    words = lambda p: F.regexp_count("text", F.lit(p))
+    d = d.select(F.col("source").alias("asr"), F.col("doc_id").alias("clip_id"), F.col("lang").alias("detected"), "script", words("[a-z0-9]+").alias("hyp_words"), words(r"[^ \t\n\x0b\f\r]+").alias("ref_words"))
+    return report.language_crosstab(d, ["Latin", "Tamil", "Thai"])
 
 
 @query(f"WITH {V.sql('ref', 'hyp')} SELECT clip_id FROM (SELECT DISTINCT clip_id FROM hyp_a) JOIN (SELECT DISTINCT clip_id FROM hyp_b) USING (clip_id)")
@@ -430,12 +488,28 @@ def clip_ids(spark, sf):
     return o.select("o_orderkey", T.clip_id(F.col("o_custkey").cast("string"), F.col("o_orderkey"), F.col("o_orderkey") + 0.5).alias("clip_id"))
 
 
-RULES = [("auth", r"error|denied"), ("traffic", r"view|click"), ("sale", r"purchase")]
+MESSAGES = ["ERROR: Sign in to confirm you are human", "Video unavailable", "HTTP Error 503: busy", "This video is private", "Requested format is not available", "Read timed out", "something else", "removed by the uploader", "blocked it in your country", "age-restricted content"]
+CLASSES = ["bot_gated", "unavailable", "network", "private", "no_audio", "network", "unknown", "removed", "geo_blocked", "age_gated"]
 
 
-@query("SELECT event_id, CASE WHEN regexp_matches(lower(event_type), 'error|denied') THEN 'auth' WHEN regexp_matches(lower(event_type), 'view|click') THEN 'traffic' WHEN regexp_matches(lower(event_type), 'purchase') THEN 'sale' ELSE 'unknown' END AS error_class FROM events")
+@query(f"SELECT event_id, list_value({', '.join(repr(c) for c in CLASSES)})[event_id % 10 + 1] AS error_class FROM events")
 def error_classes(spark, sf):
-    return V.table(spark, sf, "events").select("event_id", T.classify_error(F.col("event_type"), RULES).alias("error_class"))
+    message = F.get(F.array(*map(F.lit, MESSAGES)), (F.col("event_id") % 10).cast("int"))
+    return V.table(spark, sf, "events").select("event_id", T.classify_error(message).alias("error_class"))
+
+
+@query(
+    "SELECT event_id, 'asr' || event_id % 3 AS asr, 'd_' || event_type AS diar, CASE WHEN event_id % 2 = 0 THEN 'baseline' ELSE 'rule+x' END AS method FROM events"
+)
+def condition_names(spark, sf):
+    name = F.concat(F.lit("asr"), F.col("event_id") % 3, F.lit("__d_"), F.col("event_type"), F.when(F.col("event_id") % 2 == 0, "").otherwise("+rule+x"))
+    parts = T.split_condition(name)
+    return V.table(spark, sf, "events").select("event_id", *[p.alias(n) for p, n in zip(parts, ("asr", "diar", "method"))])
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '\([^)]*\)', ' ', 'g'), '[^ \t\n\x0b\f\r]+')) AS n_words FROM documents")
+def reference_words(spark, sf):
+    return V.table(spark, sf, "documents").select("doc_id", T.count_reference_words(F.col("text")).alias("n_words"))
 
 
 @query("SELECT event_id, round(value * 16000)::BIGINT AS expected_samples, event_id % 40 - 20 AS sample_delta, CASE WHEN abs(event_id % 40 - 20) <= 16 THEN 'ok' ELSE 'short_source' END AS status FROM events")
@@ -721,14 +795,18 @@ def _meta(spark, sf):
     return t.groupBy("clip_id").agg(F.count_distinct("speaker").alias("n_speakers"), F.max("end_ms").alias("duration_ms"), F.when(F.col("clip_id") % 3 == 0, "Hindi").otherwise("Tamil").alias("language")).withColumn("speakers", report.speaker_bucket(F.col("n_speakers")))
 
 
-@query(
-    SCORES
-    + """, meta AS (SELECT clip_id, count(DISTINCT speaker)::VARCHAR AS speakers FROM ref GROUP BY ALL), j AS (SELECT * FROM scores JOIN meta USING (clip_id))
-    SELECT asr, diar, speakers, count(DISTINCT clip_id) AS n_clips, round(100 * sum(CASE WHEN method = 'baseline' THEN cp_errors END) / sum(CASE WHEN method = 'baseline' THEN length END), 2) AS cpwer_baseline,
-           round(100 * sum(CASE WHEN method = 'rule' THEN cp_errors END) / sum(CASE WHEN method = 'rule' THEN length END), 2) AS cpwer_rule FROM j GROUP BY ALL"""
-)
+BREAKDOWN_SQL = """, meta AS (SELECT clip_id, count(DISTINCT speaker)::VARCHAR AS speakers, max(end_ms) AS duration_ms FROM ref GROUP BY ALL), j AS (SELECT * FROM scores JOIN meta USING (clip_id)),
+    t AS (SELECT asr, j.diar, speakers, round(100 * sum(miss_ms + fa_ms + conf_ms) / sum(total_ms), 2) AS der, round(100 * avg(jer), 2) AS jer_clip_mean FROM j JOIN ders d ON d.diar = j.diar AND d.clip_id = j.clip_id WHERE method = 'baseline' GROUP BY ALL)
+    SELECT asr, diar, speakers, count(DISTINCT clip_id) AS n_clips, round(sum(CASE WHEN method = 'baseline' THEN duration_ms END) / 3600000, 4) AS hours,
+           round(100 * sum(CASE WHEN method = 'baseline' THEN cp_errors END) / sum(CASE WHEN method = 'baseline' THEN length END), 2) AS cpwer_baseline, round(100 * sum(CASE WHEN method = 'rule' THEN cp_errors END) / sum(CASE WHEN method = 'rule' THEN length END), 2) AS cpwer_rule,
+           round(100 * sum(CASE WHEN method = 'baseline' THEN wder_errors END) / sum(CASE WHEN method = 'baseline' THEN wder_length END), 2) AS wder_baseline, round(100 * sum(CASE WHEN method = 'rule' THEN wder_errors END) / sum(CASE WHEN method = 'rule' THEN wder_length END), 2) AS wder_rule,
+           any_value(der) AS der, any_value(jer_clip_mean) AS jer_clip_mean FROM j JOIN t USING (asr, diar, speakers) GROUP BY asr, diar, speakers"""
+
+
 def breakdown_speakers(spark, sf):
-    return report.breakdown(V.scores(spark, sf), _meta(spark, sf), "speakers")
+    ref = V.turns_ref(spark, sf)
+    jers = S.union_all([E.jer(ref, V.turns_hyp(spark, sf, s)).withColumn("system", F.lit(s)) for s in "ab"])
+    return report.breakdown(V.scores(spark, sf), _meta(spark, sf), "speakers", _ders(spark, sf), jers)
 
 
 @query(SCORES + ", one AS (SELECT DISTINCT asr, clip_id, wer_errors, length FROM scores) SELECT CASE WHEN clip_id % 3 = 0 THEN 'Hindi' ELSE 'Tamil' END AS language, round(100 * sum(CASE WHEN asr = 'x' THEN wer_errors END) / sum(CASE WHEN asr = 'x' THEN length END), 2) AS x, round(100 * sum(CASE WHEN asr = 'y' THEN wer_errors END) / sum(CASE WHEN asr = 'y' THEN length END), 2) AS y FROM one GROUP BY ALL")
@@ -758,37 +836,108 @@ def _ders(spark, sf):
     return S.union_all([E.der(ref, V.turns_hyp(spark, sf, s)).withColumn("system", F.lit(s)) for s in "ab"])
 
 
+def _der_sql(system: str) -> str:
+    """Turn errors of one system by clip, as a table d_a or d_b."""
+    inner = f"WITH {V.sql('ref', 'hyp', 'der')}".replace("hyp_b h", f"hyp_{system} h") if system == "b" else f"WITH {V.sql('ref', 'hyp')},{V.SQL['der'].replace('hyp_b', 'hyp_a')}"
+    return f"""d_{system} AS ({inner}, rz AS (SELECT clip_id, speaker AS r, sum(e - s) AS rm FROM refi GROUP BY ALL), hz AS (SELECT clip_id, speaker AS h, sum(e - s) AS hm FROM hypi GROUP BY ALL),
+        mt AS (SELECT cells.* FROM cells JOIN pick USING (clip_id) JOIN perms USING (p, r, h)),
+        er AS (SELECT rz.clip_id, avg(coalesce(1 - ms / (rm + hm - ms), 1)) AS jer FROM rz LEFT JOIN mt USING (clip_id, r) LEFT JOIN hz USING (clip_id, h) GROUP BY ALL)
+        SELECT l.clip_id, '{system}' AS diar, total_ms, miss_ms, fa_ms, both_ms - coalesce(correct, 0)::BIGINT AS conf_ms, round(jer, 6) AS jer FROM lim l JOIN tm USING (clip_id) LEFT JOIN pick USING (clip_id) JOIN er USING (clip_id))"""
+
+
+BOTH = f"WITH {_der_sql('a')}, {_der_sql('b')}, ders AS (SELECT * FROM d_a UNION ALL SELECT * FROM d_b), {V.sql('ref', 'scores')}"
+TURN_MS = ("total_ms", "miss_ms", "fa_ms", "conf_ms")
+
+
 @query(
-    f"WITH {V.sql('ref', 'hyp', 'der', 'scores')}, md AS (SELECT DISTINCT asr, diar, method FROM scores), grid AS (SELECT * FROM md CROSS JOIN (SELECT DISTINCT clip_id FROM ref))"
-    + """ SELECT g.asr, g.diar, g.method, g.clip_id, round(100 * wer_errors / length, 4) AS wer, round(100 * cp_errors / length, 4) AS cpwer, CASE WHEN g.diar = 'b' AND g.method = 'baseline' THEN tm.miss_ms ELSE -1 END AS miss_b,
-       CASE WHEN g.diar = 'b' THEN tm.total_ms ELSE -1 END AS total_ctrl_b FROM grid g LEFT JOIN scores s USING (asr, diar, method, clip_id) LEFT JOIN tm USING (clip_id)"""
+    BOTH
+    + """, md AS (SELECT DISTINCT asr, diar, method FROM scores), grid AS (SELECT * FROM md CROSS JOIN (SELECT DISTINCT clip_id FROM ref))
+    SELECT g.asr, g.diar, g.method, g.clip_id, coalesce(round(100 * wer_errors / length, 4), -1) AS wer, coalesce(round(100 * cp_errors / length, 4), -1) AS cpwer, coalesce(round(100 * wder_errors / wder_length, 4), -1) AS wder,
+       CASE WHEN g.method = 'rule' AND s.clip_id IS NOT NULL THEN 1 ELSE 0 END AS n_applied,"""
+    + ", ".join(f"CASE WHEN g.method = 'baseline' THEN d.{c} ELSE -1 END AS {c}, d.{c} AS {c}_ctrl" for c in TURN_MS)
+    + " FROM grid g LEFT JOIN scores s USING (asr, diar, method, clip_id) JOIN ders d ON d.diar = g.diar AND d.clip_id = g.clip_id"
 )
 def long_results(spark, sf):
+    """Relabelled systems have no turns of their own here, so theirs are -1."""
     s = V.scores(spark, sf)
     models = [(a, d, m) for a in "xy" for d in "ab" for m in ("baseline", "rule")]
     edits = s.filter("method = 'rule'").select(*report.KEY, F.lit(1).alias("n_applied"))
     long = report.build_long(s, _meta(spark, sf), _ders(spark, sf), edits, models)
-    b = F.col("diar") == "b"
-    return long.select(*report.KEY, "wer", "cpwer", F.when(b & (F.col("method") == "baseline"), F.col("miss_ms")).otherwise(-1).alias("miss_b"), F.when(b, F.col("total_ms_ctrl")).otherwise(-1).alias("total_ctrl_b"))
+    filled = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("wer", "cpwer", "wder", *TURN_MS)]
+    return long.select(*report.KEY, *filled, "n_applied", *[f"{c}_ctrl" for c in TURN_MS])
+
+
+BROKEN = """, broken AS (SELECT asr, diar, method, clip_id, length, wer_errors + CASE WHEN method = 'rule' AND clip_id % 10 = 3 THEN 1 ELSE 0 END AS wer_errors, cp_errors FROM scores)"""
+
+
+def _broken(spark, sf):
+    """Scores in which the rule has changed words of some clips."""
+    return V.scores(spark, sf).withColumn("wer_errors", F.col("wer_errors") + F.when((F.col("method") == "rule") & (F.col("clip_id") % 10 == 3), 1).otherwise(0))
+
+
+@query(SCORES + BROKEN + " SELECT asr, diar, clip_id, count(DISTINCT wer_errors) AS n FROM broken GROUP BY ALL HAVING count(DISTINCT wer_errors) > 1")
+def wer_changes(spark, sf):
+    return report.wer_changes(_broken(spark, sf))
 
 
-@query("SELECT 0::BIGINT AS wer_changes, 0::BIGINT AS twins, 0::BIGINT AS totals")
+@query(SCORES + " SELECT asr AS control, clip_id, max(wer_errors) - min(wer_errors) AS miss, max(cp_errors) - min(cp_errors) AS fa FROM scores GROUP BY ALL HAVING max(wer_errors) - min(wer_errors) > 2 OR max(cp_errors) - min(cp_errors) > 2")
+def detection_drift(spark, sf):
+    rows = V.scores(spark, sf).select(F.col("asr").alias("control"), "clip_id", F.col("wer_errors").alias("miss_ms"), F.col("cp_errors").alias("fa_ms"))
+    return report.detection_drift(rows, tolerance_ms=2)
+
+
+@query(SCORES + BROKEN + " SELECT b.asr, b.diar, b.method, b.clip_id, b.wer_errors FROM broken b JOIN scores s USING (asr, diar, method, clip_id) WHERE b.wer_errors <> s.wer_errors OR b.cp_errors <> s.cp_errors")
+def fallback_twins(spark, sf):
+    return report.twins_differ(_broken(spark, sf), V.scores(spark, sf), ["wer_errors", "cp_errors"], report.KEY).select(*report.KEY, "wer_errors")
+
+
+@query(
+    SCORES
+    + BROKEN
+    + """, a AS (SELECT asr, diar, method, round(100 * sum(wer_errors) / greatest(sum(length), 1), 2) AS x FROM broken GROUP BY ALL), b AS (SELECT asr, diar, method, round(100 * sum(wer_errors) / greatest(sum(length), 1), 2) AS y FROM scores WHERE NOT (asr = 'y' AND diar = 'b') GROUP BY ALL)
+    SELECT asr, diar, method, coalesce(x, -1) AS mine, coalesce(y, -1) AS theirs FROM a FULL JOIN b USING (asr, diar, method) WHERE x IS NULL OR y IS NULL OR abs(x - y) > 0.011"""
+)
+def totals_differ(spark, sf):
+    """Totals that disagree, and one that the other stage does not have."""
+    keys = ["asr", "diar", "method"]
+    total = lambda d: d.groupBy(*keys).agg(report.rate("wer_errors", "length").alias("wer"))
+    theirs = total(V.scores(spark, sf).filter("not (asr = 'y' and diar = 'b')"))
+    found = report.differs(total(_broken(spark, sf)), theirs, keys, "wer")
+    return found.select(*keys, F.coalesce("_a", F.lit(-1.0)).alias("mine"), F.coalesce("_b", F.lit(-1.0)).alias("theirs"))
+
+
+@query(SCORES + " SELECT 0::BIGINT AS wer_changes, 0::BIGINT AS twins, 0::BIGINT AS totals")
 def invariants(spark, sf):
-    """What must be empty is."""
+    """The same checks on scores that break none: nothing is found."""
     s = V.scores(spark, sf)
-    per = s.withColumn("wer_errors", F.first("wer_errors").over(report.W.partitionBy("asr", "diar", "clip_id").orderBy("method")))
-    totals = s.groupBy("asr").agg(report.rate("wer_errors", "length").alias("wer"))
-    found = {"wer_changes": report.wer_changes(per), "twins": report.twins_differ(s, s, ["wer_errors", "cp_errors"], report.KEY), "totals": report.differs(totals, totals, ["asr"], "wer")}
+    again = s.repartition(3, "clip_id")
+    totals = lambda d: d.groupBy("asr", "diar", "method").agg(report.rate("wer_errors", "length").alias("wer"))
+    rolled = s.groupBy("asr", "diar", "method", "length").agg(F.sum("wer_errors").alias("wer_errors"), F.count(F.lit(1)).alias("n")).withColumn("length", F.col("length") * F.col("n"))
+    found = {"wer_changes": report.wer_changes(s), "twins": report.twins_differ(again, s, ["wer_errors", "cp_errors"], report.KEY), "totals": report.differs(totals(s), totals(rolled), ["asr", "diar", "method"], "wer")}
     rows = S.union_all([d.agg(F.count(F.lit(1)).alias(name)) for name, d in found.items()])
     return rows.agg(*[F.sum(F.coalesce(name, F.lit(0))).alias(name) for name in found])
 
 
-@query(SCORES + " SELECT DISTINCT asr, diar, method, CASE asr WHEN 'y' THEN 1 WHEN 'x' THEN 2 END * 100 + CASE method WHEN 'rule' THEN 1 WHEN 'baseline' THEN 2 END AS rank FROM scores")
+@query(SCORES + " SELECT asr, diar, method, row_number() OVER (ORDER BY CASE asr WHEN 'y' THEN 1 ELSE 99 END, CASE method WHEN 'rule' THEN 1 WHEN 'baseline' THEN 2 END, diar, asr) - 1 AS place FROM (SELECT DISTINCT asr, diar, method FROM scores)")
 def domain_order(spark, sf):
+    """The place of each row as the operator leaves them; recogniser x is in no list."""
     m = V.scores(spark, sf).select("asr", "diar", "method").distinct()
-    ranks = {"asr": ["y", "x"], "method": ["rule", "baseline"]}
-    place = lambda c: F.array_position(F.array(*map(F.lit, ranks[c])), F.col(c))
-    return S.domain_order(m, ranks, "diar").withColumn("rank", (place("asr") * 100 + place("method")).cast("int"))
+    ordered = S.domain_order(m, {"asr": ["y"], "method": ["rule", "baseline"]}, "diar", "asr")
+    return ordered.coalesce(1).withColumn("place", F.monotonically_increasing_id())
+
+
+@query(SCORES + " SELECT diar, method, clip_id, cp_errors FROM scores WHERE asr = 'x' AND method = 'rule' AND diar <> 'b'")
+def picked_scores(spark, sf):
+    """One recogniser and method, without the system that stands for the reference."""
+    chosen = report.without_reference(report.pick(V.scores(spark, sf), "x", "rule"), "b")
+    return chosen.select("diar", "method", "clip_id", "cp_errors")
+
+
+@query("SELECT o_orderkey AS key, o_orderstatus AS status FROM orders WHERE o_orderstatus IN ('O', 'F')")
+def usable_clips(spark, sf):
+    status = F.when(F.col("o_orderstatus") == "O", "ok").when(F.col("o_orderstatus") == "F", "short_source").otherwise("failed")
+    rows = V.table(spark, sf, "orders").withColumn("status", status)
+    return P.usable(rows).select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"))
 
 
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, user_id LIMIT 8")
@@ -863,12 +1012,9 @@ def resume_verified(spark, sf):
 
 
 @query(
-    UNITS.replace("string_agg(w, ' ' ORDER BY wid) AS text", "substr(string_agg(w, ' ' ORDER BY wid), 1, 220) AS text")
-    + """, c AS (SELECT clip_id, count(*) AS n, greatest(0, ceil((count(*) - 25) / 17.0))::BIGINT AS last FROM units GROUP BY ALL),
-    w AS (SELECT clip_id, n, last, unnest(range(0, last + 1)) AS win FROM c),
-    r AS (SELECT clip_id, win, CASE WHEN win > 0 THEN win * 17 + 4 ELSE 0 END AS a, CASE WHEN win < last THEN win * 17 + 20 ELSE n - 1 END AS b FROM w)
-    SELECT r.clip_id, win AS "window", string_agg('[' || unit::BIGINT || '] ' || spk || ' (' || printf('%.2f', start_ms / 1000) || '-' || printf('%.2f', end_ms / 1000) || '): ' || text || CASE WHEN unit BETWEEN a AND b THEN '' ELSE ' (context)' END, chr(10) ORDER BY unit) AS prompt
-    FROM r JOIN units u ON u.clip_id = r.clip_id AND unit >= win * 17 AND unit < win * 17 + 25 GROUP BY r.clip_id, win"""
+    WALK.replace("string_agg(w, ' ' ORDER BY wid) AS text", "substr(string_agg(w, ' ' ORDER BY wid), 1, 220) AS text")
+    + """ SELECT r.clip_id, win::BIGINT AS "window", string_agg('[' || unit::BIGINT || '] ' || spk || ' (' || printf('%.1f', start_ms / 1000) || '-' || printf('%.1f', end_ms / 1000) || 's)' || CASE WHEN unit < a THEN '  [context, do not edit]' ELSE '' END || ': ' || text, chr(10) ORDER BY unit) AS prompt
+    FROM r JOIN units u ON u.clip_id = r.clip_id AND unit >= lo AND unit < hi GROUP BY r.clip_id, win"""
 )
 def prompts(spark, sf):
     p = R.render_prompt(R.prompt_windows(I.units(_units(spark, sf))))
@@ -880,3 +1026,14 @@ def similarity_of_transcripts(spark, sf):
     r = M.word_list(V.words_ref(spark, sf), ["clip_id"], ["wid"])
     h = M.word_list(V.words_hyp(spark, sf), ["clip_id"], ["wid"], name="h")
     return r.join(h, "clip_id").select("clip_id", F.round(T.sequence_similarity("ws", "h"), 6).alias("ratio"))
+
+
+@query("SELECT clip_id, o_orderkey AS row FROM (SELECT o_orderkey, printf('%d__%09d_%09d', o_custkey, (o_orderkey % 50) * 1000, (o_orderkey % 50 + 7) * 1000) AS clip_id FROM orders) QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY o_orderkey) = 1 ORDER BY o_orderkey LIMIT 20")
+def first_segments(spark, sf):
+    """The first twenty segments: the operator's limit."""
+    o = V.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("video_id"), F.col("o_orderkey").alias("row"), (F.col("o_orderkey") % 50).alias("start_sec"), (F.col("o_orderkey") % 50 + 7).alias("end_sec"))
+    return P.load_segments(o, limit=20).select("clip_id", "row")
+
+
+# the table of turn errors by both systems is defined late, so its query is added here
+query(BOTH + BREAKDOWN_SQL)(breakdown_speakers)

@@ -6,6 +6,8 @@ are sums of errors over sums of lengths, so a clip counts by its words or its ti
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -61,14 +63,50 @@ def der_summary(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clips"), rate_or_null(wrong, "total_ms").alias("der"), rate_or_null(F.col("miss_ms"), "total_ms").alias("miss"), rate_or_null(F.col("fa_ms"), "total_ms").alias("fa"), rate_or_null(F.col("conf_ms"), "total_ms").alias("confusion"), F.round(100 * F.avg(wrong / F.nullif("total_ms", F.lit(0))), 2).alias("der_clip_mean"), F.round(100 * F.avg((d == 0).cast("int")), 2).alias("count_accuracy"), F.round(F.avg(F.abs(d)), 4).alias("count_mae"), F.round(F.avg(d), 4).alias("count_bias"))
 
 
+#: Rank error of the sketch that narrows a quantile down, as one in this many rows.
+SKETCH = 10_000
+
+
+def quantiles(rows: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles for ascending ``shares``, linear between neighbours. A sketch
+    gives for each an interval that surely holds it; one aggregate counts what lies
+    between the intervals and each distinct value in them, some six in ``SKETCH`` of
+    all rows, and only these are put in order."""
+    rows = rows.select(F.col(value).cast("double").alias("v")).filter("v is not null")
+    ends = [min(1.0, max(0.0, s + d * 3 / SKETCH)) for s in shares for d in (-1, 1)]
+    n, least, most, near = rows.agg(F.count(F.lit(1)), F.min("v"), F.max("v"), F.percentile_approx("v", ends, SKETCH)).first()
+    if not n:
+        return [None] * len(shares)
+    if n <= 2 * SKETCH:  # few rows: one interval, all of them
+        near = [least, most] * len(shares)
+    zone = F.lit(2 * len(shares))
+    for i in reversed(range(len(shares))):
+        low, high = near[2 * i], near[2 * i + 1]
+        zone = F.when(F.col("v") < low, 2 * i).when(F.col("v") <= high, 2 * i + 1).otherwise(zone)
+    counted = rows.select(zone.alias("z"), "v").groupBy("z", F.when(F.col("z") % 2 == 1, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    upto = counted.withColumn("upto", F.sum("k").over(W.orderBy("z", "v")))  # one task, few rows
+    places = [(n - 1) * s for s in shares]
+    ranks = sorted({f(p) for p in places for f in (math.floor, math.ceil)})
+    hit = F.filter(F.lit(ranks), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("k")))
+    found = {r: row["v"] for row in upto.withColumn("hit", hit).filter(F.size("hit") > 0).collect() for r in row["hit"]}
+    out = []
+    for p in places:
+        lower, upper = math.floor(p), math.ceil(p)
+        out.append(found[lower] if lower == upper else (upper - p) * found[lower] + (p - lower) * found[upper])
+    return out
+
+
 def terciles(rows: DataFrame, value: str, name: str = "tercile", accuracy: int | None = None) -> DataFrame:
     """``rows`` with low, mid or high by the thirds of ``value`` over the rows
-    given (each class holds its upper edge): exact and linear between neighbours,
-    or, for very many rows, from a sketch of the given accuracy."""
+    given (each class holds its upper edge): exact, or, where one more pass is too
+    many, from a sketch of the given accuracy."""
     thirds = [1 / 3, 2 / 3]
-    cuts = rows.agg((F.percentile(value, F.array(*map(F.lit, thirds))) if accuracy is None else F.percentile_approx(value, thirds, accuracy)).alias("_q"))
-    at = lambda i: F.get("_q", F.lit(i))
-    return rows.crossJoin(F.broadcast(cuts)).withColumn(name, F.when(F.col(value) <= at(0), "low").when(F.col(value) <= at(1), "mid").otherwise("high")).drop("_q")  # one row
+    if accuracy is None:
+        cuts = [F.lit(x).cast("double") for x in quantiles(rows, value, thirds)]
+    else:
+        found = rows.agg(F.percentile_approx(value, thirds, accuracy)).first()[0] or [None, None]
+        cuts = [F.lit(x).cast("double") for x in found]
+    return rows.withColumn(name, F.when(F.col(value) <= cuts[0], "low").when(F.col(value) <= cuts[1], "mid").otherwise("high"))
 
 
 def speaker_bucket(n: Column) -> Column:
@@ -110,10 +148,37 @@ def swap(scores: DataFrame, a: str, b: str) -> DataFrame:
     return g.select("diar", "method", F.col(a).alias("cpwer_a"), F.col(b).alias("cpwer_b"), F.round(F.col(b) - F.col(a), 2).alias("gain"))
 
 
-def breakdown(scores: DataFrame, meta: DataFrame, by: str) -> DataFrame:
-    """Rates by a column of the clips, a column for each method."""
+def breakdown(scores: DataFrame, meta: DataFrame, by: str, ders: DataFrame | None = None, jers: DataFrame | None = None) -> DataFrame:
+    """Clips and hours by a column of the clips, cpWER and WDER with a column for
+    each method, and, from ``ders`` (``system`` is the diarizer) and ``jers``
+    (``system, clip_id, jer``), the turns' DER by time and mean JER of the clips."""
     j = scores.join(meta.select("clip_id", by, "duration_ms"), "clip_id")
-    return j.groupBy("asr", "diar", by).agg(F.count_distinct("clip_id").alias("n_clips"), *[F.round(100 * F.sum(F.when(F.col("method") == m, F.col("cp_errors"))) / F.nullif(F.sum(F.when(F.col("method") == m, F.col("length"))), F.lit(0)), 2).alias(f"cpwer_{m}") for m in (BASELINE, "rule")])
+    keys = ["asr", "diar", by]
+
+    def of(method: str, errors: str, length: str) -> Column:
+        chosen = F.col("method") == method
+        return F.round(100 * F.sum(F.when(chosen, F.col(errors))) / F.nullif(F.sum(F.when(chosen, F.col(length))), F.lit(0)), 2)
+
+    rates = [of(m, e, n).alias(f"{name}_{m}") for name, e, n in (("cpwer", "cp_errors", "length"), ("wder", "wder_errors", "wder_length")) for m in (BASELINE, "rule")]
+    hours = F.round(F.sum(F.when(F.col("method") == BASELINE, F.col("duration_ms"))) / 3_600_000, 4)
+    out = j.groupBy(*keys).agg(F.count_distinct("clip_id").alias("n_clips"), hours.alias("hours"), *rates)
+    if ders is None:
+        return out
+    base = j.filter(F.col("method") == BASELINE).select(*keys, "clip_id")
+    d = ders.select(F.col("system").alias("diar"), "clip_id", "total_ms", (F.col("miss_ms") + F.col("fa_ms") + F.col("conf_ms")).alias("wrong_ms"))
+    d = d.join(jers.select(F.col("system").alias("diar"), "clip_id", "jer"), ["diar", "clip_id"], "left")
+    turns = base.join(d, ["diar", "clip_id"]).groupBy(*keys).agg(rate_or_null(F.col("wrong_ms"), "total_ms").alias("der"), F.round(100 * F.avg("jer"), 2).alias("jer_clip_mean"))
+    return out.join(turns, keys, "left")
+
+
+def language_crosstab(docs: DataFrame, scripts: list[str]) -> DataFrame:
+    """By recogniser and language that it detected: clips of each script, and the
+    words found for every word of the reference. ``docs``: ``asr, clip_id,
+    detected, script, hyp_words, ref_words``."""
+    named = docs.withColumn("script", F.when(F.col("script").isin(*scripts), F.col("script")).otherwise("other"))
+    ratio = F.round(F.sum("hyp_words") / F.greatest(F.sum("ref_words"), F.lit(1)), 2)
+    words = docs.groupBy("asr", "detected").agg(ratio.alias("word_ratio"))
+    return named.groupBy("asr", "detected").pivot("script", [*scripts, "other"]).count().na.fill(0).join(words, ["asr", "detected"])
 
 
 def language_table(scores: DataFrame, meta: DataFrame, recognisers: list[str]) -> DataFrame:

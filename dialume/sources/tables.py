@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,15 +45,20 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An append-only log of JSON lines, torn lines left out, with ``seq``: the
-    lines' order within each file (a file is read from its start)."""
-    lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
-    parsed = lines.select("seq", F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    return parsed.filter("r is not null and r._bad is null").select("r.*", "seq").drop("_bad")
+    """An append-only log of JSON lines, torn lines left out, with ``seq``, which
+    orders records as they were appended: by the time of the append and the place
+    in it (see ``append_log``), or, in a single file without these, by the lines."""
+    lines = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id())
+    parsed = lines.select("_line", F.from_json("value", schema + ", _append long, _place long, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    seq = F.struct(F.coalesce("r._append", F.lit(0)).alias("append"), F.coalesce("r._place", "_line").alias("place"))
+    return parsed.filter("r is not null and r._bad is null").select("r.*", seq.alias("seq")).drop("_bad", "_append", "_place")
 
 
 def append_log(records: DataFrame, path: str) -> None:
-    records.write.mode("append").json(path)
+    """Adds records; each says when it was appended and where in the append it stood,
+    because files of a folder have no order of their own."""
+    now = F.lit(time.time_ns() // 1000)
+    records.withColumns({"_append": now, "_place": F.monotonically_increasing_id()}).write.mode("append").json(path)
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:

@@ -203,7 +203,7 @@ def test_normalise(spark):
 def test_language_and_counts(spark):
     d = spark.createDataFrame([("नमस्ते hi",), ("[noise] (x)",), ("தமிழ் தமிழ் abc",)], "t string")
     got = d.select(T.detect_language(F.col("t")).alias("l"), T.count_reference_words(F.col("t")).alias("n")).collect()
-    assert [(r["l"], r["n"]) for r in got] == [("Hindi/Marathi", 2), ("unknown", 1), ("Tamil", 3)]
+    assert [(r["l"], r["n"]) for r in got] == [("Devanagari (hi/mr)", 2), ("unknown", 1), ("Tamil", 3)]
 
 
 def test_clip_id_and_condition(spark):
@@ -366,3 +366,83 @@ def test_pick(spark):
     s = spark.createDataFrame([("x", "a", "rule"), ("x", "ref", "rule"), ("y", "a", "rule")], "asr string, diar string, method string")
     assert report.pick(s, "x", "rule").count() == 2 and report.pick(s, "x", "rule", "a").count() == 1
     assert report.without_reference(s).count() == 2
+
+
+def test_seconds_are_rounded_as_doubles_are(spark):
+    ms = [*range(0, 3000, 7), *range(50, 200_000, 350), 250, 750, 123456750, 987654350, -350, -20]
+    d = spark.createDataFrame([(m,) for m in ms], "ms long").select("ms", R.seconds(F.col("ms")).alias("s"))
+    for r in d.collect():
+        assert float(r["s"]) == float(f"{r['ms'] / 1000:.1f}"), r
+
+
+def test_windows_that_do_not_fit_shrink():
+    asked = []
+
+    def ask(first, end, context):
+        asked.append((first, end, context))
+        return "ok" if end - first <= 7 else None
+
+    found, misses = R.window_pass(20, ask)
+    # 20 -> 10 -> 5; then 4 units of context, at least two more
+    assert found[0] == (0, 5, "ok") and misses > 2
+    covered = [u for first, end, _ in found for u in range(first, end)]
+    assert covered == list(range(20))
+    assert R.window_pass(0, ask) == ([], 0)
+    found, misses = R.window_pass(30, lambda a, b, c: None)
+    assert found == [] and misses > 0
+    found, _ = R.window_pass(9, lambda a, b, c: "ok" if b - a <= 2 + c else None)  # smaller than the context
+    assert [x[:2] for x in found] == [(0, 2), (2, 4), (4, 6), (6, 8), (8, 9)]
+    assert R.window_pass(60, lambda a, b, c: "x")[0] == [(0, 25, "x"), (25, 46, "x"), (46, 60, "x")]
+
+
+def test_log_keeps_the_last_of_many_appends(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for n, status in ((1, "failed"), (400, "ok"), (1, "failed"), (900, "ok")):
+        rows = [("a", status, "x" * n)] + [(f"k{i}", status, "y") for i in range(n)]
+        tables.append_log(spark.createDataFrame(rows, "key string, status string, pad string").repartition(3), path)
+    log = tables.read_log(spark, path, "key string, status string, pad string")
+    last = {r["key"]: r["status"] for r in S.latest(log).collect()}
+    assert last["a"] == "ok" and last["k0"] == "ok" and len(last) == 901
+
+
+def test_more_words_than_characters(spark):
+    a, b = [f"w{i}" for i in range(70_000)], [f"w{i}" for i in range(3, 70_000)]
+    d = spark.createDataFrame([(a[:300], b[:290]), (["x"], ["x"] + a[:40])], "r array<string>, h array<string>")
+    for most in (M.MOST_WORDS, 20):
+        assert [r["n"] for r in M.with_edits(d, "r", "h", "n", most).collect()] == [10, 40], most
+    # characters past the surrogates and past 16 bits are one character each
+    v = F.transform(F.sequence(F.lit(0), F.lit(69_999)), lambda i: F.concat(F.lit("w"), i.cast("string")))
+    row = spark.range(1).select(F.length(M.encode(F.array(F.lit("w69000"), F.lit("w56000"), F.lit("w3")), v)).alias("n"))
+    assert row.first()["n"] == 3
+
+
+def test_alignment_by_kept_rows_is_the_plain_one():
+    rng = random.Random(9)
+    for n, m in ((0, 3), (40, 35), (300, 280), (700, 5)):
+        a, b = [rng.choice("abcde") for _ in range(n)], [rng.choice("abcde") for _ in range(m)]
+        table = [[max(i, j) if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        i, j, pairs = n, m, []
+        while i and j:
+            if table[i][j] == table[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+            elif table[i][j] == table[i - 1][j] + 1:
+                i -= 1
+            else:
+                j -= 1
+        assert M.align(a, b) == pairs[::-1]
+
+
+@pytest.mark.parametrize("n,sketch", [(1, 10_000), (20, 10_000), (997, 10_000), (997, 100)])
+def test_quantiles(spark, monkeypatch, n, sketch):
+    monkeypatch.setattr(report, "SKETCH", sketch)
+    rng = random.Random(n)
+    values = [rng.choice([0.5, rng.random(), None if n > 9 else 0.1]) for _ in range(n)]
+    d = spark.createDataFrame([(v,) for v in values], "v double")
+    shares = [0.0, 1 / 3, 2 / 3, 1.0]
+    want = d.agg(F.percentile("v", F.array(*map(F.lit, shares)))).first()[0]
+    assert report.quantiles(d, "v", shares) == pytest.approx(want, abs=1e-12)
+    assert report.quantiles(d.limit(0), "v", shares) == [None] * 4
