@@ -67,7 +67,7 @@ def fingerprints_of(windows: DataFrame) -> DataFrame:
     return each.select("n", "win", F.coalesce(*parts).alias("f")).select("n", "win", "f.h", "f.q")
 
 
-def _places(h: Column, n: Column, bits: int) -> list[Column]:
+def bit_places(h: Column, n: Column, bits: int) -> list[Column]:
     """A fingerprint's two places in the bit map."""
     return [F.pmod(F.xxhash64(h, n, F.lit(s)), F.lit(bits)).cast("int") for s in (1, 2)]
 
@@ -78,7 +78,7 @@ def bit_map(prints: DataFrame, count: int) -> tuple[Column, int]:
     bits = 1 << 12
     while bits < min(MOST_BITS, BITS_EACH * count):
         bits *= 2
-    set_ = prints.select(F.explode(F.array(*_places(F.col("h"), F.col("n"), bits))).alias("i"))
+    set_ = prints.select(F.explode(F.array(*bit_places(F.col("h"), F.col("n"), bits))).alias("i"))
     rows = set_.groupBy(F.expr("i div 64").cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i") % 64)).alias("b")).collect()
     cells = [0] * (bits // 64)
     for r in rows:
@@ -93,7 +93,7 @@ def _candidates(n: int, bits: Column, size: int) -> Column:
 
     def held(p: Column) -> Column:
         h = F.get(hashes, p)
-        tests = [F.getbit(F.get(bits, F.shiftright(i, 6)), i % 64) == 1 for i in _places(h, F.lit(n), size)]
+        tests = [F.getbit(F.get(bits, F.shiftright(i, 6)), i % 64) == 1 for i in bit_places(h, F.lit(n), size)]
         out = tests[0] & tests[1]
         if n == WINDOW:  # the smallest of a stretch that covers it
             stretch = WINDOW - GRAM + 1

@@ -96,3 +96,34 @@ def test_index_runs_merge(spark):
     index.flush(table(spark, [(3, "a"), (4, None)]))
     got = sorted((r["_min"], r["_max"], r["_size"]) for r in index.compact().collect())
     assert got == [(1, 3, 2), (2, 2, 1), (4, 4, 1)]
+
+
+def test_memtables_flush_several_runs(spark, monkeypatch):
+    """Many small memtables give the same rows as one."""
+    rows = [(i % 150, ["hot", None, f"u{i % 40}", "x" * (i % 7)][i % 4]) for i in range(400)]
+    index = lsm.LsmIndex(spark, memtable_bits=4)
+    index.flush(table(spark, rows).repartition(3))
+    assert index.runs[0].select("_mem").distinct().count() >= 25
+    assert index.compact().agg({"_size": "sum"}).first()[0] == 400
+    monkeypatch.setattr(lsm.LsmIndex.__init__, "__defaults__", (4,))
+    got = sorted((r["_id"], r["_keep"], r["_size"], r["_kept"]) for r in lsm.exact_dedup(table(spark, rows).repartition(3)).collect())
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t or "", []).append(i)
+    assert got == sorted((i, max(groups[t or ""]), len(groups[t or ""]), i == max(groups[t or ""])) for i, t in rows)
+
+
+def test_many_rows_of_one_identifier(spark):
+    """Neither repeated identifiers nor missing ones are compared in pairs."""
+    d = spark.range(100_000).selectExpr("cast(if(id % 2 = 0, 7, null) as long) doc_id", "if(id % 4 < 2, 'same', 'other') text")
+    got = {(r["_id"], r["_keep"], r["_size"], r["_kept"]): r["count"] for r in lsm.exact_dedup(d).groupBy("_id", "_keep", "_size", "_kept").count().collect()}
+    assert got == {(7, 7, 50_000, True): 50_000, (None, 7, 50_000, False): 50_000}
+
+
+def test_pii_of_very_many_matches(spark):
+    text = "to a@b.co or +49 (30) 1234-5678 " * 3000
+    [r] = pii.find_pii(table(spark, [(1, text)])).collect()
+    for kind, want in brute(text).items():
+        assert [(s["start"], s["end"]) for s in r[kind]] == want
+    [m] = pii.mask(table(spark, [(1, text)])).collect()
+    assert m["text"] == "to <email> or <phone> " * 3000 and m["lang"] is None and m["_id"] == 7 and m["_text"] == "x"
