@@ -17,8 +17,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,9 @@ from .common import documents_view, new_path, partitions, small_batches
 #: the root of the whole input's bytes, within these bounds. So there are never
 #: very many blocks to hold one passage, and rows stay small in small inputs.
 BLOCK_ROOTS, LEAST_BLOCK, MOST_BLOCK = 8, 1 << 20, 1 << 24
-#: Bytes of text for which the exchanges get a partition.
-BYTES_PER_PARTITION = 16 << 20
+#: Bytes of text for which the exchanges get a bucket, and the most partitions that
+#: hold the buckets: beyond that a partition has several, one after another.
+BYTES_PER_BUCKET, MOST_PARTITIONS = 16 << 20, 1 << 16
 #: Stands for a missing identifier: later than all others.
 NO_ID = np.iinfo(np.int64).max
 CODEC = "zstd"
@@ -118,8 +120,37 @@ def by_block(df: DataFrame, what: str) -> DataFrame:
 
 
 def exchange_width(blocks: DataFrame) -> int:
+    """The number of buckets; each is held in memory by itself."""
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(partitions(blocks.sparkSession), int(total // BYTES_PER_PARTITION) + 1)
+    return max(partitions(blocks.sparkSession), int(total // BYTES_PER_BUCKET) + 1)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def in_buckets(rows: DataFrame, width: int, run: Callable[[Batches], Batches], schema: str) -> DataFrame:
+    """``run`` over the rows of each of the ``width`` buckets (column ``bucket``, the
+    first). With more buckets than ``MOST_PARTITIONS``, partitions are sorted by
+    bucket and worked off bucket by bucket."""
+    parts = min(width, MOST_PARTITIONS)
+    if parts == width:
+        dealt = rows.repartitionById(width, "bucket")
+    else:
+        dealt = rows.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int")).sortWithinPartitions("bucket")
+
+    def over(batches: Batches) -> Batches:
+        for _, group in groupby(_by_bucket(batches), key=lambda x: x[0]):
+            yield from run(part for _, part in group)
+
+    return dealt.mapInArrow(over, schema)
+
+
+def _by_bucket(batches: Batches) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for batch in batches:
+        b = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
+        for s, e in zip(cuts, [*cuts[1:], len(b)]):
+            yield int(b[s]), batch.slice(s, e - s)
 
 
 def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -309,7 +340,7 @@ def shared_among(hot_blocks: int):
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         counts = np.diff(np.r_[first, len(s)])
         n = np.repeat(counts, counts)
-        # a partition holds one bucket (repartitionById)
+        # ``in_buckets`` hands over one bucket
         for kind, held in ((0, (n > 1) & (n <= hot_blocks)), (-1 - bucket, n > hot_blocks)):
             at = order[held]
             yield from by_owner(owner[at], keys, kind, _bytes(h[at]))

@@ -113,7 +113,7 @@ def duplicate_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield B.anchors_out(block.key, _windows(Words(block), window)[2], width)
 
     hot = 1 << 62  # windows are dealt by their own content, so no anchor needs splitting
-    shared = packed.mapInArrow(ask_anchors, B.ANCHOR_SCHEMA).repartitionById(width, "bucket").mapInArrow(B.shared_among(hot), B.RESPONSE_SCHEMA)
+    shared = B.in_buckets(packed.mapInArrow(ask_anchors, B.ANCHOR_SCHEMA), width, B.shared_among(hot), B.RESPONSE_SCHEMA)
     shared = B.settled(shared, "shared")
 
     def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +132,7 @@ def duplicate_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rows = [(int(b[s]), block.key, *[x[order[s:e]].tobytes() for x in (key, check, ids, places)]) for s, e in zip(cuts, ends)]
             yield B._batch(WINDOW_SCHEMA, rows)
 
-    sources = B.answered(packed, shared).mapInArrow(ask_windows, WINDOW_SCHEMA).repartitionById(width, "bucket").mapInArrow(_sources, B.RESPONSE_SCHEMA)
+    sources = B.in_buckets(B.answered(packed, shared).mapInArrow(ask_windows, WINDOW_SCHEMA), width, _sources, B.RESPONSE_SCHEMA)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.unpack(batches):

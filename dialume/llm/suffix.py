@@ -275,7 +275,7 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for block in B.unpack(batches):
             yield B.anchors_out(block.key, Segments(block, window).hash, width)
 
-    shared = packed.mapInArrow(ask_anchors, B.ANCHOR_SCHEMA).repartitionById(width, "bucket").mapInArrow(B.shared_among(hot_blocks), B.RESPONSE_SCHEMA)
+    shared = B.in_buckets(packed.mapInArrow(ask_anchors, B.ANCHOR_SCHEMA), width, B.shared_among(hot_blocks), B.RESPONSE_SCHEMA)
     shared = B.settled(shared, "shared")
 
     def ask_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +284,7 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             g.select(width)
             yield B._batch(DIGEST_SCHEMA, _dealt(B.place(g.u_gram, width), lambda i: (block.key, i.astype("<u4").tobytes(), g.u_gram[i].tobytes(), g.u_text[i].tobytes(), g.u_id[i].tobytes())))
 
-    told = B.answered(packed, shared).mapInArrow(ask_digests, DIGEST_SCHEMA).repartitionById(width, "bucket").mapInArrow(_compare, B.RESPONSE_SCHEMA)
+    told = B.in_buckets(B.answered(packed, shared).mapInArrow(ask_digests, DIGEST_SCHEMA), width, _compare, B.RESPONSE_SCHEMA)
     told = B.settled(told, "compared")
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +312,7 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
             yield B._batch(SEGMENT_SCHEMA, _dealt(np.searchsorted(splitters, g.leading(mixed), "right"), row))
 
-    last = B.answered(packed, shared, told).mapInArrow(ask_segments, SEGMENT_SCHEMA).repartitionById(width, "bucket").mapInArrow(_sort(window, gram), B.RESPONSE_SCHEMA)
+    last = B.in_buckets(B.answered(packed, shared, told).mapInArrow(ask_segments, SEGMENT_SCHEMA), width, _sort(window, gram), B.RESPONSE_SCHEMA)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.unpack(batches):

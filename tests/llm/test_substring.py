@@ -115,6 +115,23 @@ def test_windows_of_equal_keys_are_told_apart_by_their_checks():
     assert rlz._find(key, check, key[first], check[first]).tolist() == number.tolist()
 
 
+def test_partitions_of_several_buckets(spark, monkeypatch):
+    """More buckets than partitions: each bucket is still worked off by itself."""
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 2000)
+    monkeypatch.setattr(blocks, "MOST_BLOCK", 2000)
+    monkeypatch.setattr(blocks, "MOST_PARTITIONS", 3)
+    monkeypatch.setattr(blocks, "BYTES_PER_BUCKET", 1500)
+    rows = corpus(11)
+    assert blocks.exchange_width(blocks.pack(table(spark, rows), "doc_id", "text")) > 30
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    want = sorted((str(i), runs(gone)) for i, _, gone in brute(rows, words, 13))
+    found = rlz.duplicate_words(table(spark, rows)).collect()
+    assert sorted((str(r["_id"]), [tuple(s) for s in r["spans"]]) for r in found) == want
+    want = sorted((str(i), runs(gone)) for i, _, gone in brute(rows, lambda t: (t or "").encode(), 50))
+    found = suffix.duplicate_bytes(table(spark, rows), hot_blocks=4).collect()
+    assert sorted((str(r["_id"]), [tuple(s) for s in r["spans"]]) for r in found) == want
+
+
 def test_empty_tables(spark):
     assert rlz.duplicate_words(table(spark, [])).count() == 0
     assert suffix.duplicate_bytes(table(spark, [])).count() == 0
