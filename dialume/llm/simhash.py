@@ -292,8 +292,8 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return np.zeros(WORDS, np.uint64)
     counts = np.zeros(64 * WORDS, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        lanes = mix(hashes[at : at + (1 << 14), None] * LANES)
+    for at in range(0, len(hashes), 1 << 12):
+        lanes = mix(hashes[at : at + (1 << 12), None] * LANES)
         counts += np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
 
@@ -330,9 +330,17 @@ def _deal(level: int, key: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return mix(mix(key.view(np.uint64)[:, None] + chosen * U(0x9E3779B97F4A7C15)) ^ own).view(np.int64)
 
 
+#: Rows that are dealt to their buckets at a time, each becoming many.
+DEALT = 512
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, DEALT) for at in range(0, batch.num_rows, DEALT))
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Classes (rep, fingerprint, samples) in their buckets of the first level."""
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in _pieces(whole)):
         keys = _matrix(batch.column(2), len(SAMPLERS))
         key = _deal(0, np.zeros(len(keys), np.int64), keys)
         rows = pa.array(np.repeat(np.arange(len(keys)), SAMPLED[0]))
@@ -410,12 +418,12 @@ def _near(level: int, bits: int):
                     held = []
                 now = key[s]
                 if now == crowded:
-                    yield again(part)
+                    yield from map(again, _pieces(part))
                     continue
                 held.append(part)
                 if not last and sum(p.num_rows for p in held) > CROWDED:
                     crowded = now
-                    yield from map(again, held)
+                    yield from (again(piece) for whole in held for piece in _pieces(whole))
                     held = []
         if held:
             yield from solve(held)
