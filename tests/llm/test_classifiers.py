@@ -139,3 +139,42 @@ def test_repeats_match_at_their_length():
     data, halves = quality.lay_out([b"word " * 100, b"the quick brown fox jumps over a lazy dog while nothing repeats", b""])
     f = quality.lag_features(data, halves)
     assert f[0, 0] > 0.9 and f[1, 0] < 0.5 and f[2, 0] == 0
+
+
+def plain_score(net, text):
+    """The forward pass, a place, a lag and a half chunk at a time."""
+    n = -(-(len(text) + quality.WIDTH + quality.LAGS) // quality.HALF)
+    size = n * quality.HALF
+    data = (bytes(quality.WIDTH) + text).ljust(size + quality.WIDTH, b"\0")
+    half, same, full = [], [], []
+    for h in range(n):
+        span = range(h * quality.HALF, (h + 1) * quality.HALF)
+        responses = [[sum(net.filters[j, data[at + j], f] for j in range(quality.WIDTH)) for f in range(quality.FILTERS)] for at in span[:: quality.STRIDE]]
+        half.append([max(max(r[f] for r in responses) + net.bias[f], 0.0) for f in range(quality.FILTERS)])
+        same.append([sum(data[at] != 0 and at >= p and data[at] == data[at - p] for at in span) for p in range(1, quality.LAGS + 1)])
+        full.append(sum(data[at] != 0 for at in span))
+    chunk = [[max(x) for x in zip(*half[h : h + 2])] for h in range(n)]  # the last half stands alone
+    bytes_ = [sum(full[h : h + 2]) for h in range(n)]
+    share = [max(sum(x) for x in zip(*same[h : h + 2])) / max(bytes_[h], 32) for h in range(n)]
+    mean = sum(s * b for s, b in zip(share, bytes_)) / max(sum(bytes_), 1)
+    pooled = [max(x) for x in zip(*chunk)] + [sum(x) / n for x in zip(*chunk)] + [max(share), mean]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(pooled, net.layer)) - net.offset))
+
+
+def test_forward_pass():
+    rng = np.random.default_rng(5)
+    net = quality.start(4)
+    net.bias += rng.normal(size=quality.FILTERS).astype(np.float32)
+    net.layer[-2:] = (1.5, -2.0)
+    net.offset = 0.3
+    texts = [bytes(rng.integers(1, 255, n).astype(np.uint8)) for n in (0, 1, 27, 28, 29, 64, 92, 93, 500)] + [b"spam " * 60]
+    assert np.allclose(net.predict(texts), [plain_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_scores_of_long_and_missing_texts(spark):
+    net = quality.start(4)
+    rows = [(1, "word " * 300_000, 1), (1, "word " * 300_000, 2), (2, None, 1), (None, "", 1), (3, "a é 漢", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _score int")
+    got = sorted(((r["_id"] or 0, r["_score"]) for r in quality.score(d, net).collect()))
+    want = sorted((i or 0, net.predict([(t or "").encode()])[0]) for i, t, _ in rows)
+    assert [i for i, _ in got] == [0, 1, 1, 2, 3] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-5)
