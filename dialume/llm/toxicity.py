@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -254,9 +253,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def scorer(model: Model):
     """The probability as a function of a text column, for filters over whole rows."""
 
-    @F.pandas_udf("double")
-    def probability(text: pd.Series) -> pd.Series:
-        return pd.Series([model.probability(model.evidence(model.passages(tokens(t or "")))) for t in text])
+    @F.arrow_udf("double")
+    def probability(text: pa.Array) -> pa.Array:
+        return pa.array([model.probability(model.evidence(model.passages(tokens(t.as_py() or "")))) for t in text], pa.float64())
 
     return probability
 
