@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import documents_view, materialize, partitions
+from .common import documents_view, materialize, partitions, tidy
 
 LIMIT, END = 1024, 2
 #: Parts in which the pieces of a length are ranked; the driver gets a count for each.
@@ -116,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """Every document's tokens and the end token, cut only if longer than
     ``limit``; then the first piece is the short one."""
     view = documents_view(docs, id_col, text_col).select(F.col("_id").cast("long"), "_text")
-    return view.mapInArrow(_cut(tokenizer, limit, end), "_id long, piece int, start long, length long, ids_crc32 long")
+    return view.mapInArrow(tidy(_cut(tokenizer, limit, end)), "_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # the plan ------------------------------------------------------------------
@@ -227,6 +227,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     schema = "_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     ranked = short.withColumn("rank", F.row_number().over(W.partitionBy("length", "part").orderBy("row")))
-    placed = ranked.select("_id", "piece", "start", "length", "ids_crc32", "part", "rank").mapInArrow(assign, schema)
+    placed = ranked.select("_id", "piece", "start", "length", "ids_crc32", "part", "rank").mapInArrow(tidy(assign), schema)
     full = cut.filter(F.col("length") == limit).select(*placed.columns[:5], (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.unionByName(full)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import mix
-from .common import documents_view, materialize, partitions, salt_of
+from .common import documents_view, materialize, partitions, salt_of, tidy
 from .components import components
 from .rlz import SPACES
 
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     salts = max(16, partitions(spark))
     view = documents_view(docs, id_col, text_col).select(F.col("_id").cast("long"), "_text")
-    rows = materialize(view.mapInArrow(_fingerprints, "_id long, _fp long"), "fingerprints").withColumn("_salt", salt_of(F.struct("_id"), salts))
+    rows = materialize(view.mapInArrow(tidy(_fingerprints), "_id long, _fp long"), "fingerprints").withColumn("_salt", salt_of(F.struct("_id"), salts))
     part = rows.groupBy("_fp", "_salt").agg(F.min("_id").alias("_rep"))
     classes = materialize(part.groupBy("_fp").agg(F.min("_rep").alias("_rep")), "classes")
     links = linked(classes.filter("_rep is not null"))
@@ -258,9 +258,9 @@ def linked(classes: DataFrame) -> DataFrame:
     two bits of each other (a spanning forest of each bucket, not every pair)."""
     keys = F.array(*[(F.col("_fp").bitwiseAND(F.lit(_signed(m)))) for m in PAIRS])
     packed = F.transform(keys, lambda k, i: _pack32(k, i))
-    first = classes.select(F.explode(packed).alias("key"), "_fp", "_rep").repartition("key").sortWithinPartitions("key").mapInArrow(_links(False), LINK_SCHEMA)
+    first = classes.select(F.explode(packed).alias("key"), "_fp", "_rep").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_links(False)), LINK_SCHEMA)
     first = materialize(first, "links")
-    second = first.filter("kind = 1").select("key", "a", "b").repartition("key").sortWithinPartitions("key").mapInArrow(_links(True), LINK_SCHEMA)
+    second = first.filter("kind = 1").select("key", "a", "b").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_links(True)), LINK_SCHEMA)
     return first.filter("kind = 0").select("a", "b").union(second.select("a", "b"))
 
 
@@ -452,13 +452,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     salts, bits = max(16, partitions(docs.sparkSession)), radius(least)
     view = documents_view(docs, id_col, text_col).select(F.col("_id").cast("long"), "_text")
-    rows = materialize(view.mapInArrow(_sketches(shingle), "_id long, _fp binary, _sampled binary"), "sketches").withColumn("_salt", salt_of(F.struct("_id"), salts))
+    rows = materialize(view.mapInArrow(tidy(_sketches(shingle)), "_id long, _fp binary, _sampled binary"), "sketches").withColumn("_salt", salt_of(F.struct("_id"), salts))
     part = rows.groupBy("_fp", "_salt").agg(F.min("_id").alias("_rep"), F.min("_sampled").alias("_sampled"))
     classes = materialize(part.groupBy("_fp").agg(F.min("_rep").alias("_rep"), F.min("_sampled").alias("_sampled")), "classes")
-    members = classes.filter("_rep is not null").select("_rep", "_fp", "_sampled").mapInArrow(_members, MEMBER_SCHEMA)
+    members = classes.filter("_rep is not null").select("_rep", "_fp", "_sampled").mapInArrow(tidy(_members), MEMBER_SCHEMA)
     links = None
     for level in range(len(SAMPLED)):
-        found = materialize(members.repartition("key").sortWithinPartitions("key").mapInArrow(_near(level, bits), NEAR_SCHEMA), "links")
+        found = materialize(members.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_near(level, bits)), NEAR_SCHEMA), "links")
         these = found.filter("kind = 0").select("a", "b")
         links = these if links is None else links.union(these)
         members = found.filter("kind = 1").select("key", F.col("a").alias("rep"), "fp", "sampled")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_view
+from .common import documents_view, tidy
 from .training import SAMPLE, labelled_sample
 
 PREFIXES = (4, 5, 6)
@@ -247,15 +247,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(columns[: 2 + passages], names=["_id", "_score", "_passages"][: 2 + passages])
 
     id_type = view.schema["_id"].dataType.simpleString()
-    return view.mapInArrow(run, f"_id {id_type}, _score double" + ", _passages array<struct<first:int,end:int,score:double>>" * passages)
+    return view.mapInArrow(tidy(run), f"_id {id_type}, _score double" + ", _passages array<struct<first:int,end:int,score:double>>" * passages)
 
 
 def scorer(model: Model):
     """The probability as a function of a text column, for filters over whole rows."""
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([model.probability(model.evidence(model.passages(tokens(t.as_py() or "")))) for t in texts], pa.float64())
+        model.memo.clear()
+
     @F.arrow_udf("double")
-    def probability(text: pa.Array) -> pa.Array:
-        return pa.array([model.probability(model.evidence(model.passages(tokens(t.as_py() or "")))) for t in text], pa.float64())
+    def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(run)(batches)
 
     return probability
 
