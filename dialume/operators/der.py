@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from .attribute import BUCKET_MS, _bucketed
 from .intervals import islands, overlap_regions, subtract
-from .wer import best_matching
+from .wer import Order, best_matching
 
 
 def window_of(ref: DataFrame) -> DataFrame:
@@ -61,10 +61,10 @@ def _times(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     return swept.groupBy("clip_id").agg(s(F.col("nr")).alias("total_ms"), s(F.greatest(zero, F.col("nr") - F.col("nh"))).alias("miss_ms"), s(F.greatest(zero, F.col("nh") - F.col("nr"))).alias("fa_ms"), s(F.least("nr", "nh")).alias("both_ms"))
 
 
-def matching(cells: DataFrame) -> DataFrame:
-    """``clip_id, r, h, ms`` of the matched pairs."""
+def matching(cells: DataFrame, order: Order | None = None) -> DataFrame:
+    """``clip_id, r, h, ms`` of the matched pairs; ``order`` settles ties."""
     packed = cells.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("r", "h", "ms"))).alias("_c"))
-    pairs = packed.select("clip_id", F.explode(best_matching("_c")).alias("m")).select("clip_id", F.col("m.ref").alias("r"), F.col("m.hyp").alias("h"))
+    pairs = packed.select("clip_id", F.explode(best_matching("_c", order)).alias("m")).select("clip_id", F.col("m.ref").alias("r"), F.col("m.hyp").alias("h"))
     return cells.join(pairs, ["clip_id", "r", "h"])
 
 
@@ -85,14 +85,16 @@ def der(ref: DataFrame, hyp: DataFrame, regions: DataFrame | None = None) -> Dat
     return out.select("clip_id", z("total_ms").alias("total_ms"), z("miss_ms").alias("miss_ms"), z("fa_ms").alias("fa_ms"), conf.alias("conf_ms"), F.round(wrong / F.nullif(z("total_ms"), F.lit(0)), 6).alias("der"), "n_ref_speakers", z("n_hyp_speakers").alias("n_hyp_speakers"), F.col("n_hyp_speakers").isNull().alias("hyp_missing"))
 
 
-def jer(ref: DataFrame, hyp: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+def jer(ref: DataFrame, hyp: DataFrame, regions: DataFrame | None = None, order: Order | None = None) -> DataFrame:
     """Per clip ``n_speakers, error_sum, jer``: each reference speaker's share of
     the union with its match that is not shared (1 without a match), averaged. The
-    corpus value is the sum of ``error_sum`` over the sum of ``n_speakers``."""
+    corpus value is the sum of ``error_sum`` over the sum of ``n_speakers``. Of
+    matchings that share equal time, which differ in this rate, ``order`` names the
+    first (see ``best_matching``)."""
     regions = window_of(ref) if regions is None else regions
     a, b = _merged(ref, regions), _merged(hyp, regions)
     size = lambda t, k: t.groupBy("clip_id", F.col("speaker").alias(k)).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias(f"{k}_ms"))
-    pairs = matching(shared_time(a, b)).join(size(b, "h"), ["clip_id", "h"])
+    pairs = matching(shared_time(a, b), order).join(size(b, "h"), ["clip_id", "h"])
     each = size(a, "r").join(pairs, ["clip_id", "r"], "left")
     error = F.coalesce(1 - F.col("ms") / (F.col("r_ms") + F.col("h_ms") - F.col("ms")), F.lit(1.0))
     return each.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n_speakers"), F.round(F.sum(error), 6).alias("error_sum"), F.round(F.avg(error), 6).alias("jer"))

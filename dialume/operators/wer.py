@@ -102,7 +102,13 @@ def speaker_pairs(ref: DataFrame, hyp: DataFrame) -> DataFrame:
 def assign(cost: np.ndarray) -> np.ndarray:
     """The columns that rows take at the least total cost (Hungarian method, with
     potentials); rows must not outnumber columns. Of equals the lowest columns are
-    met first."""
+    met first, which need not be the first assignment of all (``first_of_equals``)."""
+    return _assign(cost)[0]
+
+
+def _assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``assign``, and each cell's cost above the potentials: nothing where some
+    best assignment may lie."""
     n, m = cost.shape
     u, v, match, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
     for i in range(1, n + 1):
@@ -130,7 +136,37 @@ def assign(cost: np.ndarray) -> np.ndarray:
     for j in range(1, m + 1):
         if match[j]:
             out[match[j] - 1] = j - 1
-    return out
+    return out, cost - u[1:, None] - v[1:]
+
+
+def first_of_equals(cost: np.ndarray) -> np.ndarray:
+    """Of all assignments of the least total cost (a square matrix of whole
+    numbers) the first, compared by the column of row 0, then of row 1, ..."""
+    to, above = _assign(cost)
+    may = above == 0  # a full assignment within these cells is a best one
+    for i in range(len(to)):
+        for j in np.flatnonzero(may[i, : to[i]]).tolist():
+            # later rows change columns along a path from j's owner to the column that row i leaves
+            owner = {int(c): r for r, c in enumerate(to) if r > i}
+            if j not in owner:
+                continue
+            seen, todo, came = {j}, [j], {}
+            while todo and to[i] not in came:
+                at = todo.pop()
+                for c in np.flatnonzero(may[owner[at]]).tolist():
+                    if c not in seen and (c == to[i] or c in owner):
+                        seen.add(c)
+                        came[c] = at
+                        if c != to[i]:
+                            todo.append(c)
+            c = int(to[i])
+            if c not in came:
+                continue
+            while c != j:
+                to[owner[came[c]]], c = c, came[c]
+            to[i] = j
+            break
+    return to
 
 
 def padded(costs: list, refs: list, hyps: list) -> np.ndarray:
@@ -283,25 +319,43 @@ def wder(ref: DataFrame, hyp: DataFrame, mapping: DataFrame) -> DataFrame:
     return spread(j, "clip_id").withColumn("_x", _wder("r", "h", "mapping")).select("clip_id", F.col("_x.wrong").alias("wder_errors"), F.col("_x.pairs").alias("wder_length"))
 
 
-def bag_mapping(ref: DataFrame, hyp: DataFrame) -> DataFrame:
+#: Names of reference and of hypothesis speakers, in the order that settles ties.
+Order = tuple[list[str], list[str]]
+
+
+def bag_mapping(ref: DataFrame, hyp: DataFrame, order: Order | None = None) -> DataFrame:
     """Hypothesis to reference speakers by shared words, where no cpWER matching
-    is at hand: ``clip_id, mapping``."""
+    is at hand: ``clip_id, mapping``. Ties as in ``best_matching``."""
     x = ref.groupBy("clip_id", F.col("speaker").alias("r"), "w").agg(F.count(F.lit(1)).alias("x"))
     y = hyp.groupBy("clip_id", F.col("speaker").alias("h"), "w").agg(F.count(F.lit(1)).alias("y"))
     common = x.join(y, ["clip_id", "w"]).groupBy("clip_id", "r", "h").agg(F.sum(F.least("x", "y")).alias("ms"))
-    return common.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("r", "h", "ms"))).alias("c")).select("clip_id", best_matching("c").alias("mapping"))
-
-
-@batched("array<struct<hyp:string,ref:string>>")
-def best_matching(cells: pd.Series) -> pd.Series:
-    """The one-to-one matching of the largest total ``ms`` over cells (r, h, ms)."""
-    out = []
-    for c in cells:
-        c = list(c)
-        rows, cols = sorted({x["r"] for x in c}), sorted({x["h"] for x in c})
-        gain = np.zeros((len(rows), max(len(cols), len(rows))))
-        for x in c:
-            gain[rows.index(x["r"]), cols.index(x["h"])] = x["ms"]
-        to = assign(-gain)
-        out.append([{"hyp": cols[j], "ref": rows[i]} for i, j in enumerate(to) if j < len(cols) and gain[i, j] > 0])
-    return pd.Series(out)
+    return common.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("r", "h", "ms"))).alias("c")).select("clip_id", best_matching("c", order).alias("mapping"))
+
+
+def best_matching(cells: Column | str, order: Order | None = None) -> Column:
+    """The one-to-one matching of the largest total ``ms`` over cells (r, h, ms).
+
+    Of equal totals, the first reference speaker takes the first hypothesis speaker
+    that it can, then the second, and so on. Speakers stand in the order given,
+    whether or not a clip has them (one may take an absent speaker, and stay
+    without a match); then come others, by name."""
+    refs, hyps = order or ([], [])
+
+    def ranked(names: set, first: list[str]) -> list:
+        return [*first, *sorted(names - set(first))]
+
+    @batched("array<struct<hyp:string,ref:string>>")
+    def matched(column: pd.Series) -> pd.Series:
+        out = []
+        for c in column:
+            c = list(c)
+            rows, cols = ranked({x["r"] for x in c}, refs), ranked({x["h"] for x in c}, hyps)
+            size = max(len(rows), len(cols))
+            gain = np.zeros((size, size))
+            for x in c:
+                gain[rows.index(x["r"]), cols.index(x["h"])] = x["ms"]
+            to = first_of_equals(-gain)
+            out.append([{"hyp": cols[j], "ref": rows[i]} for i, j in enumerate(to.tolist()) if gain[i, j] > 0])
+        return pd.Series(out)
+
+    return matched(cells)

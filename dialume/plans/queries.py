@@ -667,7 +667,7 @@ def wder(spark, sf):
 def wder_by_bags(spark, sf):
     ref = V.words_ref(spark, sf).select("clip_id", "wid", "speaker", "w")
     hyp = _attributed(spark, sf).select("clip_id", "wid", F.col("spk").alias("speaker"), "w")
-    return M.wder(ref, hyp, M.bag_mapping(ref, hyp))
+    return M.wder(ref, hyp, M.bag_mapping(ref, hyp, V.SPEAKERS))
 
 
 DER = f"WITH {V.sql('ref', 'hyp', 'der')}"
@@ -690,7 +690,7 @@ def der(spark, sf):
     SELECT clip_id, count(*) AS n_speakers, round(sum(x), 6) AS error_sum, round(avg(x), 6) AS jer FROM er GROUP BY ALL"""
 )
 def jer(spark, sf):
-    return E.jer(V.turns_ref(spark, sf), V.turns_hyp(spark, sf, "b"))
+    return E.jer(V.turns_ref(spark, sf), V.turns_hyp(spark, sf, "b"), order=V.SPEAKERS)
 
 
 def _regions_sql(choices: str) -> str:
@@ -805,7 +805,7 @@ BREAKDOWN_SQL = """, meta AS (SELECT clip_id, count(DISTINCT speaker)::VARCHAR A
 
 def breakdown_speakers(spark, sf):
     ref = V.turns_ref(spark, sf)
-    jers = S.union_all([E.jer(ref, V.turns_hyp(spark, sf, s)).withColumn("system", F.lit(s)) for s in "ab"])
+    jers = S.union_all([E.jer(ref, V.turns_hyp(spark, sf, s), order=V.SPEAKERS).withColumn("system", F.lit(s)) for s in "ab"])
     return report.breakdown(V.scores(spark, sf), _meta(spark, sf), "speakers", _ders(spark, sf), jers)
 
 

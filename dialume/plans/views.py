@@ -73,6 +73,9 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"))
 
 
+#: Reference and hypothesis speakers in the order in which the SQL tries matchings.
+SPEAKERS = (["user", "assistant", "system"], ["spk0", "spk1", "spk2"])
+
 #: The same views in DuckDB's SQL, for the oracles.
 SQL = {
     "ref": """

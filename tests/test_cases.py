@@ -180,6 +180,26 @@ def test_assignment_is_optimal():
             assert len(set(got)) == n and cost[np.arange(n), got].sum() == best
 
 
+def test_of_equal_assignments_the_first_counts():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 5):
+        for _ in range(60):
+            cost = -rng.integers(0, 3, (n, n)).astype(float)
+            want = min(itertools.permutations(range(n)), key=lambda p: (sum(cost[i, p[i]] for i in range(n)), p))
+            assert tuple(M.first_of_equals(cost)) == want
+
+
+def test_jer_tie_is_settled_by_the_order_of_speakers(spark):
+    """Matching either reference speaker with the only hypothesis shares 1000 ms."""
+    ref = turns(spark, ("a", 0, 1000), ("b", 1000, 4000))
+    hyp = turns(spark, ("y", 0, 2000))
+    error = lambda order: E.jer(ref, hyp, order=order).collect()[0]["error_sum"]
+    assert error(None) == error((["a", "b"], ["y"])) == 1.5
+    assert error((["b", "a"], ["y"])) == 1.75
+    # a speaker that the clip lacks comes first: the first speaker takes it
+    assert error((["a", "b"], ["x", "y"])) == 1.75
+
+
 def test_greedy_bound_and_alignment():
     refs = [["a", "b", "c"], ["d", "e"]]
     assert M.greedy_di(refs, [["a", "b"], ["d", "e"], ["c"]]) == 0
