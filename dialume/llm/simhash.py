@@ -39,12 +39,12 @@ LOWER[65:91] += 32
 SHINGLE, SEED, BITS = 3, 42, 2
 #: The similarity mode: words in a shingle, Jaccard similarity of a link.
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Its fingerprints' 64-bit words, sampled shingles that buckets are named by at
-#: each level, and rows of a bucket from which on it is dealt again.
-WORDS, SAMPLED, CROWDED = 8, (8, 2, 2), 4096
+#: Its fingerprints' 64-bit words, sampled shingles that buckets are named by, and
+#: rows of a bucket from which on it is cut into tiles of ``TILE`` times as many.
+WORDS, SAMPLED, CROWDED, TILE = 8, 8, 4096, 4
 _random = np.random.default_rng(42)
 LANES = _random.integers(0, 2**64, WORDS, dtype=np.uint64) | np.uint64(1)
-SAMPLERS = _random.integers(0, 2**64, sum(SAMPLED), dtype=np.uint64)
+SAMPLERS = _random.integers(0, 2**64, SAMPLED, dtype=np.uint64)
 LARGE, FAN = 2048, 16
 #: Bit masks of two of four 16-bit parts.
 PAIRS = [(0xFFFF << 16 * a) | (0xFFFF << 16 * b) for a, b in combinations(range(4), 2)]
@@ -317,17 +317,16 @@ def _sketches(shingle: int):
     return run
 
 
-MEMBER_SCHEMA = "key long, rep long, fp binary, sampled binary"
-NEAR_SCHEMA = "kind int, a long, b long, key long, fp binary, sampled binary"
+MEMBER_SCHEMA = "key long, rep long, fp binary"
+#: A link (kind 0) or a tile (kind 1: its bucket, its number as ``a``, and its rows'
+#: identifiers, components in the tile and fingerprints).
+NEAR_SCHEMA = "kind int, a long, b long, key long, reps binary, labels binary, fps binary"
 
 
-def _deal(level: int, key: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Names of a row's buckets on a level: the bucket that it comes from and one
-    more sampled shingle."""
-    first = sum(SAMPLED[:level])
-    own = keys[:, first : first + SAMPLED[level]]
-    chosen = np.arange(SAMPLED[level], dtype=np.uint64) + U(1)
-    return mix(mix(key.view(np.uint64)[:, None] + chosen * U(0x9E3779B97F4A7C15)) ^ own).view(np.int64)
+def _buckets(keys: np.ndarray) -> np.ndarray:
+    """Names of a row's buckets: the sampler's number and its shingle."""
+    chosen = np.arange(SAMPLED, dtype=np.uint64) + U(1)
+    return mix(mix(chosen * U(0x9E3779B97F4A7C15)) ^ keys).view(np.int64)
 
 
 #: Rows that are dealt to their buckets at a time, each becoming many.
@@ -339,22 +338,42 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes (rep, fingerprint, samples) in their buckets of the first level."""
+    """Classes (rep, fingerprint, samples) in their buckets."""
     for batch in (piece for whole in batches for piece in _pieces(whole)):
-        keys = _matrix(batch.column(2), len(SAMPLERS))
-        key = _deal(0, np.zeros(len(keys), np.int64), keys)
-        rows = pa.array(np.repeat(np.arange(len(keys)), SAMPLED[0]))
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *[batch.column(j).take(rows) for j in range(3)]], names=["key", "rep", "fp", "sampled"])
+        key = _buckets(_matrix(batch.column(2), SAMPLED))
+        rows = pa.array(np.repeat(np.arange(len(key)), SAMPLED))
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *[batch.column(j).take(rows) for j in range(2)]], names=["key", "rep", "fp"])
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, width)
 
 
-def similar_forest(fps: np.ndarray, bits: int, pivots: int = 8) -> np.ndarray:
+def pairs_within(x: np.ndarray, y: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of all fingerprints of ``x`` and ``y`` that differ in at most
+    ``bits`` bits: words are compared one by one until few pairs are left."""
+    block = max(1, (1 << 20) // max(1, len(y)))
+    y_words = np.ascontiguousarray(y.T)
+    for at in range(0, len(x), block):
+        part = x[at : at + block]
+        differ = np.zeros((len(part), len(y)), np.uint16)
+        for w in range(x.shape[1]):
+            differ += np.bitwise_count(part[:, w, None] ^ y_words[w])
+            near = differ <= bits
+            if w + 1 == x.shape[1] or np.count_nonzero(near) * 16 < near.size:
+                break
+        a, b = np.nonzero(near)
+        if w + 1 < x.shape[1]:
+            keep = differ[a, b] + np.bitwise_count(part[a, w + 1 :] ^ y[b, w + 1 :]).sum(1, dtype=np.int64) <= bits
+            a, b = a[keep], b[keep]
+        yield a + at, b
+
+
+def similar_forest(fps: np.ndarray, bits: int, pivots: int = 8, indexed: bool = True) -> np.ndarray:
     """The smallest place that links of at most ``bits`` bits reach, for each
     fingerprint. What one of the first few fingerprints is linked to needs no
-    comparison among itself; all other pairs go through the index."""
+    comparison among itself; all other pairs go through the index, or, where there
+    are very many, through ``pairs_within``."""
     label = np.arange(len(fps))
     for p in range(min(pivots, len(fps))):
         near = np.flatnonzero(np.bitwise_count(fps ^ fps[p]).sum(1) <= bits)
@@ -363,7 +382,7 @@ def similar_forest(fps: np.ndarray, bits: int, pivots: int = 8) -> np.ndarray:
     star = label == sizes.argmax()
     rest = np.flatnonzero(~star)
     if len(rest) * 4 > len(fps):
-        for a, b in close_pairs(fps, bits):
+        for a, b in close_pairs(fps, bits) if indexed else pairs_within(fps, fps, bits):
             label = forest(len(fps), a, b, label)
         return label
     whole = np.flatnonzero(star)
@@ -376,61 +395,117 @@ def similar_forest(fps: np.ndarray, bits: int, pivots: int = 8) -> np.ndarray:
     return label
 
 
-def _near(level: int, bits: int):
-    """From rows sorted by bucket: links within a bucket (kind 0); rows of a
-    crowded one, but on the last level, are dealt again (kind 1)."""
-    last = level == len(SAMPLED) - 1
+def joined_forest(fps: np.ndarray, label: np.ndarray, n: int, bits: int, pivots: int = 8) -> np.ndarray:
+    """The components of two tiles (the first ``n`` rows and the others) whose own
+    ones ``label`` holds. Every pair across is compared but those that a link
+    between large components has joined already."""
+    sides = (np.arange(n), np.arange(n, len(fps)))
+    sizes = np.bincount(label, minlength=len(fps))
+    for here, there in (sides, sides[::-1]):
+        for p in here[np.argsort(-sizes[here], kind="stable")[:pivots]]:  # roots of large components
+            near = there[np.bitwise_count(fps[there] ^ fps[p]).sum(1) <= bits]
+            label = forest(len(fps), np.full(len(near), p), near, label)
+    star = label == np.bincount(label).argmax()
+    if (~star).sum() * 4 > len(fps):
+        star[:] = False
+    first, second = sides
+    some = first[~star[first]]
+    for x, y in ((some, second), (first[star[first]], second[~star[second]])):
+        for a, b in pairs_within(fps[x], fps[y], bits) if len(x) and len(y) else ():
+            label = forest(len(fps), x[a], y[b], label)
+    return label
+
 
-    def out(kind: int, a: np.ndarray, b: np.ndarray, key: np.ndarray | None = None, fp=None, keys=None) -> pa.RecordBatch:
-        n = len(a)
-        none = pa.nulls(n, pa.binary())
-        columns = [pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b), pa.array(np.zeros(n, np.int64) if key is None else key), fp or none, keys or none]
-        return pa.RecordBatch.from_arrays(columns, names=["kind", "a", "b", "key", "fp", "sampled"])
+def _found(kind: int, a: np.ndarray, b: np.ndarray, key: int = 0, *bodies: bytes) -> pa.RecordBatch:
+    n = len(a)
+    columns = [pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b), pa.array(np.full(n, key, np.int64))]
+    columns += [pa.array([x], pa.binary()) for x in bodies] or [pa.nulls(n, pa.binary())] * 3
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "a", "b", "key", "reps", "labels", "fps"])
 
-    def again(part: pa.RecordBatch) -> pa.RecordBatch:
-        key = _deal(level + 1, part.column(0).to_numpy(), _matrix(part.column(3), len(SAMPLERS)))
-        rows = pa.array(np.repeat(np.arange(part.num_rows), SAMPLED[level + 1]))
-        rep = part.column(1).take(rows).to_numpy()
-        return out(1, rep, rep, key.ravel(), part.column(2).take(rows), part.column(3).take(rows))
 
-    def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near(bits: int):
+    """From rows sorted by bucket: links within a bucket. A crowded one is cut into
+    tiles; each gives its own links, and itself to be compared with the others."""
+
+    def solve(parts: list[pa.RecordBatch], tile: int | None = None) -> Iterator[pa.RecordBatch]:
         rep = np.concatenate([p.column(1).to_numpy() for p in parts])
-        if len(rep) < 2:
+        if len(rep) < 2 and tile is None:
             return
         fps = np.concatenate([_matrix(p.column(2), WORDS) for p in parts])
         order = np.argsort(rep, kind="stable")
-        rep = rep[order]
-        label = similar_forest(fps[order], bits)
+        rep, fps = rep[order], fps[order]
+        label = similar_forest(fps, bits, indexed=tile is None)
         linked = np.flatnonzero(label != np.arange(len(rep)))
         if len(linked):
-            yield out(0, rep[linked], rep[label[linked]])
+            yield _found(0, rep[linked], rep[label[linked]])
+        if tile is not None:
+            yield _found(1, np.array([tile]), np.array([0]), parts[0].column(0)[0].as_py(), rep.astype("<i8").tobytes(), label.astype("<i4").tobytes(), fps.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        now = crowded = None
+        now, n, tiles, most = None, 0, 0, TILE * CROWDED
         for batch in batches:
             key = batch.column(0).to_numpy()
             cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                part = batch.slice(s, e - s)
-                if held and now != key[s]:
-                    yield from solve(held)
-                    held = []
-                now = key[s]
-                if now == crowded:
-                    yield from map(again, _pieces(part))
-                    continue
-                held.append(part)
-                if not last and sum(p.num_rows for p in held) > CROWDED:
-                    crowded = now
-                    yield from (again(piece) for whole in held for piece in _pieces(whole))
-                    held = []
+                if now != key[s]:
+                    if held:
+                        yield from solve(held, tiles if tiles or n > CROWDED else None)
+                    held, now, n, tiles = [], key[s], 0, 0
+                while s < e:
+                    part = batch.slice(s, min(e - s, most - n))
+                    held.append(part)
+                    n, s = n + part.num_rows, s + part.num_rows
+                    if n == most:
+                        yield from solve(held, tiles)
+                        held, n, tiles = [], 0, tiles + 1
         if held:
-            yield from solve(held)
+            yield from solve(held, tiles if tiles or n > CROWDED else None)
 
     return run
 
 
+def _cells(bits: int):
+    """From pairs of tiles of one bucket, each pair's two in a row: links across
+    that join their components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rep, label, fps = (np.frombuffer(batch.column(j)[i].as_py(), t) for j, t in ((3, "<i8"), (4, "<i4"), (5, "<u8")))
+                tile = rep, label.astype(np.int64), fps.reshape(-1, WORDS)
+                if first is None:
+                    first = tile
+                    continue
+                n = len(first[0])
+                reps, own = np.r_[first[0], rep], np.r_[first[1], tile[1] + n]
+                label = joined_forest(np.concatenate([first[2], tile[2]]), own, n, bits)
+                first = None
+                linked = np.flatnonzero((own == np.arange(len(own))) & (label != own))
+                if len(linked):
+                    yield pa.RecordBatch.from_arrays([pa.array(reps[linked]), pa.array(reps[label[linked]])], names=["a", "b"])
+
+    return run
+
+
+def across(tiles: DataFrame) -> DataFrame:
+    """Every pair of tiles of a bucket: two rows, sorted next to each other."""
+    counts = tiles.groupBy("key").agg(F.max("a").alias("_last")).filter("_last > 0")
+    every = tiles.join(counts, "key").withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), "_last"))).filter("_other <> a")
+    cells = every.select("key", F.least("a", "_other").alias("lo"), F.greatest("a", "_other").alias("hi"), "reps", "labels", "fps")
+    return cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+
+def bucket_links(members: DataFrame, bits: int) -> DataFrame:
+    """Links ``a, b`` that join all rows (``key, rep, fp``) of a bucket that differ
+    in at most ``bits`` bits, whatever the bucket's size (not every pair)."""
+    found = materialize(members.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_near(bits)), NEAR_SCHEMA), "links")
+    tiles = found.filter("kind = 1").select("key", "a", "reps", "labels", "fps")
+    joined = materialize(across(tiles).mapInArrow(tidy(_cells(bits)), "a long, b long"), "links")
+    return found.filter("kind = 0").select("a", "b").union(joined)
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """``_id`` and ``_root``, the smallest identifier reachable over links, for
     every row of ``docs``.
@@ -442,7 +517,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     that the two surely share; so documents meet in buckets named by a sampled
     shingle (two texts of similarity 0.8 miss each other in all of them once in
     100,000 times), and a bucket is searched by the Gray-order index. A crowded
-    bucket is dealt again by further samples.
+    bucket is cut into tiles and every pair of tiles compared, so no link between
+    texts that share a sampled shingle is lost, however many share it.
 
     A-Z count as lower case. A text of fewer words has one shingle, all of it;
     texts without words link. Rows repeated with one identifier are rows of one
@@ -456,14 +532,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     part = rows.groupBy("_fp", "_salt").agg(F.min("_id").alias("_rep"), F.min("_sampled").alias("_sampled"))
     classes = materialize(part.groupBy("_fp").agg(F.min("_rep").alias("_rep"), F.min("_sampled").alias("_sampled")), "classes")
     members = classes.filter("_rep is not null").select("_rep", "_fp", "_sampled").mapInArrow(tidy(_members), MEMBER_SCHEMA)
-    links = None
-    for level in range(len(SAMPLED)):
-        found = materialize(members.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_near(level, bits)), NEAR_SCHEMA), "links")
-        these = found.filter("kind = 0").select("a", "b")
-        links = these if links is None else links.union(these)
-        members = found.filter("kind = 1").select("key", F.col("a").alias("rep"), "fp", "sampled")
-        if members.isEmpty():
-            break
+    links = bucket_links(members, bits)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = classes.join(roots, F.col("_rep") == F.col("node"), "left").select("_fp", F.coalesce("root", "_rep").alias("_root"))
     back = part.select("_fp", "_salt").join(named, "_fp")

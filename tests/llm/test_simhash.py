@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -184,6 +185,27 @@ def test_similar_documents(spark, monkeypatch):
     assert simhash.similar_documents(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [0, 500])
+def test_crowded_bucket_loses_no_link(spark, monkeypatch, crowd):
+    """Rows that share one sampled shingle and nothing else that is sampled: chains
+    of five far from each other, and, the second time, a crowd of near copies."""
+    rng = np.random.default_rng(crowd)
+    flip = lambda f, n: f ^ np.packbits(np.isin(np.arange(512), rng.choice(512, n, False)), bitorder="little").view("<u8")
+    fps = [rng.integers(0, 2**64, simhash.WORDS, dtype=np.uint64)]
+    for i in range(299):
+        fps.append(flip(fps[-1], 70) if i % 5 < 4 else rng.integers(0, 2**64, simhash.WORDS, dtype=np.uint64))
+    centre = rng.integers(0, 2**64, simhash.WORDS, dtype=np.uint64)
+    fps += [flip(centre, 30) for _ in range(crowd)]
+    fps = np.array(fps)[rng.permutation(300 + crowd)]
+    want = simhash.forest(len(fps), *np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None]).sum(2) <= 77))
+    assert len(set(want.tolist())) == 60 + (crowd > 0)
+    monkeypatch.setattr(simhash, "CROWDED", 8)
+    rows = spark.createDataFrame([(7, i, f.tobytes()) for i, f in enumerate(fps)] + [(8, 1, fps[1].tobytes())], "key long, rep long, fp binary").repartition(3)
+    links = simhash.bucket_links(rows, 77)
+    roots = {r["node"]: r["root"] for r in components.components(links.selectExpr("a u", "b v")).collect()}
+    assert [roots.get(i, i) for i in range(len(fps))] == want.tolist()
+
+
 def test_similar_documents_without_identifier_and_repeats(spark):
     t = " ".join(f"w{i}" for i in range(200))
     rows = [(None, t), (4, t), (4, t + " more"), (None, "p q"), (9, "zz"), (9, "yy"), (3, None)]
