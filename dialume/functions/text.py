@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import scripts
 from .udf import batched
 
 #: Bracketed asides and punctuation that scoring removes.
@@ -83,8 +84,15 @@ def language_of(counts: dict[str, Column]) -> Column:
     return F.when(best["n"] < 0, best["name"]).otherwise("unknown")
 
 
-def detect_language(text: Column) -> Column:
-    return language_of(script_counts(text))
+@batched("string")
+def detect_language(text: pd.Series) -> pd.Series:
+    """``language_of`` the ``script_counts`` of one text, counted in one pass."""
+
+    def one(t: str | None) -> str:
+        script = scripts.main_script(t)
+        return "unknown" if script is None else LANGUAGES.get(script, script)
+
+    return text.map(one)
 
 
 def clip_id(video: Column, start_sec: Column, end_sec: Column) -> Column:

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from dialume.functions import scripts
 from dialume.functions import text as T
 from dialume.operators import attribute as A
 from dialume.operators import decode as D
@@ -226,6 +227,29 @@ def test_language_and_counts(spark):
     assert [(r["l"], r["n"]) for r in got] == [("Devanagari (hi/mr)", 2), ("unknown", 1), ("Tamil", 3)]
 
 
+def test_letters_of_scripts_are_those_of_the_patterns(spark):
+    """Every code point, in texts of 64; and texts of all scripts, with asides."""
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c) not in "[]()"]
+    rng = random.Random(2)
+    some = [c for c in chars[:0x3000] if c.isalpha()]
+    texts = ["".join(chars[i : i + 64]) for i in range(0, 0x3000, 64)] + ["".join(chars[i : i + 64]) for i in range(0x3000, len(chars), 4096)]
+    texts += ["".join(rng.choices([*some, "[", "]", "(", ")", " ", "\n"], k=40)) for _ in range(300)] + ["", " ", "12", "ab(cd]", "a[b\nकख]", None]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8)
+    differ = d.filter(~T.detect_language(F.col("t")).eqNullSafe(T.language_of(T.script_counts(F.col("t")))))
+    assert differ.count() == 0
+    jvm = spark.sparkContext._jvm
+    everything = jvm.java.lang.StringBuilder("".join(chars))
+    for name, script in [(s, T.JAVA_NAMES.get(s, s)) for s in [*T.SCRIPTS, *T.MORE_SCRIPTS]]:
+        letters = jvm.java.util.regex.Pattern.compile(rf"[^\p{{Is{script}}}]|\P{{L}}").matcher(everything).replaceAll("")
+        assert letters == "".join(c for c, k in zip(chars, scripts._table()[[ord(c) for c in chars]] == scripts.NAMES.index(name) + 1) if k)
+
+
+def test_language_is_counted_once(spark):
+    """One pass over the text, however many scripts there are: no pattern in the plan."""
+    plan = spark.range(1).select(T.detect_language(F.lit("x")))._jdf.queryExecution().toString()
+    assert "regexp" not in plan
+
+
 def test_clip_id_and_condition(spark):
     d = spark.createDataFrame([("v", 1.0, 2.5, "x__a__b+rule"), ("v", 0.0005, 0.0015, "x__a")], "v string, a double, b double, c string")
     r = d.select(T.clip_id(F.col("v"), F.col("a"), F.col("b")).alias("id"), *[c.alias(f"c{i}") for i, c in enumerate(T.split_condition(F.col("c")))]).collect()
