@@ -175,10 +175,10 @@ def language_crosstab(docs: DataFrame, scripts: list[str]) -> DataFrame:
     """By recogniser and language that it detected: clips of each script, and the
     words found for every word of the reference. ``docs``: ``asr, clip_id,
     detected, script, hyp_words, ref_words``."""
-    named = docs.withColumn("script", F.when(F.col("script").isin(*scripts), F.col("script")).otherwise("other"))
     ratio = F.round(F.sum("hyp_words") / F.greatest(F.sum("ref_words"), F.lit(1)), 2)
-    words = docs.groupBy("asr", "detected").agg(ratio.alias("word_ratio"))
-    return named.groupBy("asr", "detected").pivot("script", [*scripts, "other"]).count().na.fill(0).join(words, ["asr", "detected"])
+    known = F.coalesce(F.col("script").isin(*scripts), F.lit(False))
+    found = [F.count_if(F.col("script") == s).alias(s) for s in scripts]
+    return docs.groupBy("asr", "detected").agg(*found, F.count_if(~known).alias("other"), ratio.alias("word_ratio"))
 
 
 def language_table(scores: DataFrame, meta: DataFrame, recognisers: list[str]) -> DataFrame:
