@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -60,6 +61,14 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Exchanges whose results have been written, and that nothing refers to any
+    more, leave the disk now: Spark removes them when the driver collects garbage,
+    which may be long after the next exchange."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 Batches = Iterator[pa.RecordBatch]
 
 

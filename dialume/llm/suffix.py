@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .blocks import NO_ID, U
-from .common import materialize
+from .common import materialize, release
 from .rlz import _power
 
 GRAM = 24
@@ -135,7 +135,7 @@ class Segments:
     def mixed(self) -> np.ndarray:
         """Numbers of the segments whose group holds different segments."""
         told = self.block.bodies.get(4, [])
-        return np.unique(np.concatenate([np.frombuffer(b, "<u4") for b in told])) if told else np.zeros(0, np.uint32)
+        return np.unique(np.concatenate([widened(b) for b in told])) if told else np.zeros(0, np.int64)
 
     def leading(self, some: np.ndarray) -> np.ndarray:
         """The leading bytes of these segments' suffixes, which the range partition looks at."""
@@ -145,6 +145,24 @@ class Segments:
         return out.view(f"S{self.gram}")[:, 0] if len(out) else np.zeros(0, f"S{self.gram}")
 
 
+def narrowed(values: np.ndarray) -> bytes:
+    """Whole numbers (one at least) in as many bytes each as their range needs."""
+    least = values.min()
+    above = values.astype("<i8").view("<u8") - np.array([least], "<i8").view("<u8")
+    width = max(1, (int(above.max()).bit_length() + 7) // 8)
+    return np.array([least, width, len(values)], "<i8").tobytes() + above.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def widened(body: bytes, at: int = 0) -> np.ndarray:
+    least, width, n = np.frombuffer(body, "<i8", 3, at).tolist()
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(body, np.uint8, n * width, at + 24).reshape(n, width)
+    return (out.view("<u8")[:, 0] + np.array([least], "<i8").view("<u8")).view("<i8")
+
+
+#: Bits of a gram's hash that the exchange of digests carries. The bucket adds its
+#: own; a chance match makes a group look mixed, so that its bytes are compared.
+GRAM_BITS = "<u4"
 DIGEST_SCHEMA = "bucket int, block long, numbers binary, grams binary, texts binary, ids binary"
 SEGMENT_SCHEMA = "bucket int, block long, numbers binary, sizes binary, places binary, ids binary, data binary"
 ANSWER = np.dtype([("segment", "<u4"), ("first", "<u2"), ("last", "<u2"), ("id", "<i8")])
@@ -161,21 +179,33 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 def _columns(batches: Iterator[pa.RecordBatch], kinds: tuple) -> tuple[list[int], list[np.ndarray], np.ndarray]:
-    """All rows' blocks, their binary columns joined, and whose each value is."""
+    """All rows' blocks, their binary columns joined (of a type, or ``narrowed``), and
+    whose each value is."""
     keys: list[int] = []
     parts: list[list[np.ndarray]] = [[] for _ in kinds]
     for batch in batches:
         keys += batch.column(1).to_pylist()
         for j, t in enumerate(kinds):
-            parts[j] += [np.frombuffer(x.as_py(), t) for x in batch.column(j + 2)]
+            parts[j] += [np.frombuffer(x.as_py(), t) if t else widened(x.as_py()) for x in batch.column(j + 2)]
     owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(p) for p in parts[0]])
-    return keys, [np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, kinds)], owner
+    return keys, [np.concatenate(p) if p else np.zeros(0, t or np.int64) for p, t in zip(parts, kinds)], owner
+
+
+def _told(owner: np.ndarray, keys: list[int], kind: int, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``blocks.by_owner`` for columns of numbers, ``narrowed`` one after another."""
+    order = np.argsort(owner, kind="stable")
+    owner = owner[order]
+    cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
+    ends = np.r_[cuts[1:], len(owner)] if len(owner) else cuts
+    rows = [(keys[owner[s]], kind, b"".join(narrowed(v[order[s:e]]) for v in values)) for s, e in zip(cuts, ends)]
+    for i in range(0, len(rows), 1000):
+        yield B._batch(B.RESPONSE_SCHEMA, rows[i : i + 1000])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups segments by gram: where all are equal, tells the smallest
-    identifier (kind 3); else, that the group is mixed (kind 4)."""
-    keys, (number, gram, text, ids), owner = _columns(batches, ("<u4", "<u8", "<u8", "<i8"))
+    identifier (kind 5); else, that the group is mixed (kind 4)."""
+    keys, (number, gram, text, ids), owner = _columns(batches, (None, GRAM_BITS, "<u8", None))
     if not keys:
         return
     order = np.argsort(gram, kind="stable")
@@ -187,11 +217,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     least = np.repeat(np.minimum.reduceat(i, first), counts)
     tell = ~mixed & (least < i)
     at = order[tell]
-    out = np.zeros(len(at), ANSWER)
-    out["segment"], out["last"], out["id"] = number[at], ALL, least[tell]
-    yield from B.by_owner(owner[at], keys, 3, out)
+    yield from _told(owner[at], keys, 5, number[at], least[tell])
     at = order[mixed]
-    yield from B.by_owner(owner[at], keys, 4, number[at])
+    yield from _told(owner[at], keys, 4, number[at])
 
 
 def _sort(window: int, gram: int):
@@ -199,10 +227,9 @@ def _sort(window: int, gram: int):
     sorts those: equal neighbours share the smallest identifier (kind 3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, (number, size, place, ids, data), owner = _columns(batches, ("<u4", "<u2", "<u2", "<i8", np.uint8))
+        keys, (number, size, place, ids, data), owner = _columns(batches, (None, None, None, None, np.uint8))
         if not keys:
             return
-        size, place = size.astype(np.int64), place.astype(np.int64)
         start = np.cumsum(size) - size
         lead = _matrix(data, start + place, gram)
         order = multikey_quicksort(lead)
@@ -277,15 +304,17 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     shared = B.in_buckets(packed.mapInArrow(ask_anchors, B.ANCHOR_SCHEMA), width, B.shared_among(hot_blocks), B.RESPONSE_SCHEMA)
     shared = B.settled(shared, "shared")
+    release(docs.sparkSession)
 
     def ask_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.unpack(batches):
             g = Segments(block, window)
             g.select(width)
-            yield B._batch(DIGEST_SCHEMA, _dealt(B.place(g.u_gram, width), lambda i: (block.key, i.astype("<u4").tobytes(), g.u_gram[i].tobytes(), g.u_text[i].tobytes(), g.u_id[i].tobytes())))
+            yield B._batch(DIGEST_SCHEMA, _dealt(B.place(g.u_gram, width), lambda i: (block.key, narrowed(i), g.u_gram[i].astype(GRAM_BITS).tobytes(), g.u_text[i].tobytes(), narrowed(g.u_id[i]))))
 
     told = B.in_buckets(B.answered(packed, shared).mapInArrow(ask_digests, DIGEST_SCHEMA), width, _compare, B.RESPONSE_SCHEMA)
     told = B.settled(told, "compared")
+    release(docs.sparkSession)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.unpack(batches):
@@ -304,11 +333,11 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for block in B.unpack(batches):
             g = Segments(block, window)
             g.select(width)
-            mixed = g.mixed().astype(np.int64)
+            mixed = g.mixed()
 
             def row(at: np.ndarray) -> tuple:
                 i = mixed[at]
-                return block.key, i.astype("<u4").tobytes(), g.u_size[i].astype("<u2").tobytes(), (g.u_anchor[i] - g.u_start[i]).astype("<u2").tobytes(), g.u_id[i].tobytes(), _gather(block.data, g.u_start[i], g.u_size[i]).tobytes()
+                return block.key, narrowed(i), narrowed(g.u_size[i]), narrowed(g.u_anchor[i] - g.u_start[i]), narrowed(g.u_id[i]), _gather(block.data, g.u_start[i], g.u_size[i]).tobytes()
 
             yield B._batch(SEGMENT_SCHEMA, _dealt(np.searchsorted(splitters, g.leading(mixed), "right"), row))
 
@@ -318,18 +347,27 @@ def duplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for block in B.unpack(batches):
             yield _cut(block, window, width)
 
-    last = B.gathered(materialize(last, "sorted"))
+    last = materialize(last, "sorted")
+    release(docs.sparkSession)
+    last = B.gathered(last)
     return B.answered(packed, shared, told, last).mapInArrow(cut, "_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
 
 
+def _whole(body: bytes) -> np.ndarray:
+    """Answers for all of a segment's windows."""
+    number = widened(body)
+    out = np.zeros(len(number), ANSWER)
+    out["segment"], out["last"], out["id"] = number, ALL, widened(body, 24 + int(np.frombuffer(body, "<i8", 2)[1]) * len(number))
+    return out
+
+
 def _cut(block: B.Block, window: int, width: int) -> pa.RecordBatch:
     g = Segments(block, window)
     g.select(width)
     n_docs, data = len(block.ids), block.data
     offset = np.cumsum(g.u_count) - g.u_count
     least = np.repeat(g.u_id, g.u_count)
-    for body in block.bodies.get(3, []):
-        told = np.frombuffer(body, ANSWER)
+    for told in [*(np.frombuffer(b, ANSWER) for b in block.bodies.get(3, [])), *map(_whole, block.bodies.get(5, []))]:
         stop = np.where(told["last"] == ALL, g.u_count[told["segment"]] - 1, told["last"])
         n = stop - told["first"].astype(np.int64) + 1
         at = np.repeat(offset[told["segment"]] + told["first"], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)

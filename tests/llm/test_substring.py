@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -161,3 +162,31 @@ def test_anchor_runs():
     start, place, _ = blocks.anchor_runs(codes, 4, 9, 7, chunk=300)
     assert np.array_equal(np.repeat(place, np.diff(np.r_[start, len(own)])), own)
     assert (place[1:] != place[:-1]).all()
+
+
+@pytest.mark.parametrize("values", [[5], [0, 255], [7, 263, 7], [-3, 2**40], [blocks.NO_ID, -(2**63), 0], list(range(1000, 1250))])
+def test_narrowed_numbers(values):
+    body = suffix.narrowed(np.array(values, np.int64))
+    assert suffix.widened(body).tolist() == values
+    assert suffix.widened(b"x" * 24 + body, 24).tolist() == values
+    assert max(values) - min(values) > 255 or len(body) == 24 + len(values)
+
+
+def test_finished_exchanges_leave_the_disk(spark):
+    """When the last pass is due, of the exchanges before at most the latest is left."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = manager.getAllFiles()
+        return {files.apply(i).getName().split("_")[1] for i in range(files.size()) if files.apply(i).getName().endswith(".data")}
+
+    rng = random.Random(3)
+    passages = ["".join(rng.choices("abcdef ", k=120)) for _ in range(20)]
+    rows = [(i, "".join(rng.choices("abcdef ", k=80)) + rng.choice(passages) + str(i)) for i in range(400)]
+    before = shuffles()
+    found = suffix.duplicate_bytes(table(spark, rows))
+    until = time.time() + 20
+    while len(left := shuffles() - before) > 1 and time.time() < until:
+        time.sleep(0.5)
+    assert len(left) <= 1
+    assert found.count() == 400
