@@ -250,6 +250,14 @@ def test_language_is_counted_once(spark):
     assert "regexp" not in plan
 
 
+def test_crosstab_reads_its_input_once(spark):
+    d = spark.range(6).selectExpr("'a' asr", "id clip_id", "'en' detected", "element_at(array('Latin', 'Thai', null), int(id % 3) + 1) script", "id hyp_words", "2L ref_words")
+    table = report.language_crosstab(d, ["Latin", "Tamil"])
+    assert table._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert table.columns == ["asr", "detected", "Latin", "Tamil", "other", "word_ratio"]
+    assert [tuple(r) for r in table.collect()] == [("a", "en", 2, 0, 4, 1.25)]
+
+
 def test_clip_id_and_condition(spark):
     d = spark.createDataFrame([("v", 1.0, 2.5, "x__a__b+rule"), ("v", 0.0005, 0.0015, "x__a")], "v string, a double, b double, c string")
     r = d.select(T.clip_id(F.col("v"), F.col("a"), F.col("b")).alias("id"), *[c.alias(f"c{i}") for i, c in enumerate(T.split_condition(F.col("c")))]).collect()
